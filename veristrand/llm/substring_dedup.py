@@ -22,9 +22,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import n_partitions, sorted_groups, words_of
 
@@ -32,6 +35,8 @@ LENGTH = 13
 GRAM = 5
 #: Documents, at most, that tell which anchors are frequent, and the share that makes them so.
 SAMPLE_DOCS, FREQUENT = 2000, 1 / 200
+#: Anchors that a task gathers before it settles copies among them.
+_ROWS = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,14 +92,56 @@ class Text:
         at = np.arange(len(view)) + wide - 1 - np.argmin(view[:, ::-1], axis=1)  # the last of equal ones
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         count = np.diff(np.r_[first, len(at)])
-        lead = (at[first] - first).astype(np.uint64)
-        context = _mix(self.runs(first, count + LENGTH - 1) + (lead << np.uint64(32)) + count.astype(np.uint64))
-        return gram[at[first]], context, first, count
+        return gram[at[first]], self.runs(first, count + LENGTH - 1), first, count
 
 
-def _checks(t: Text, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """32 bits of the run's digest: a span is only applied to the text it came from."""
-    return (t.runs(start, count + LENGTH - 1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+#: Kinds of rows: an anchor dealt out by itself, a frequent one dealt out by context, a settled one.
+_SEED, _FREQUENT, _SETTLED = 0, 1, 2
+_DEALT = "key long, context long, doc_id long, place long"
+_MET = "doc_id long, start int, windows int, check int, settled boolean"
+
+
+def _check(digest: np.ndarray) -> np.ndarray:
+    """31 bits of a run's digest: a span is only applied to the text that it came from."""
+    return (digest & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
+def _first_holders(key: np.ndarray, context: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, frequent: np.ndarray):
+    """Rows of ``_DEALT``. Within them, all but the first document of a context are settled."""
+    order = np.lexsort((doc, context, key))
+    a, c, d, s, m = (x[order] for x in (key, context, doc, start, windows))
+    new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
+    settled = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    hot = np.isin(a, frequent)
+    to = np.where(settled, _mix(d.astype(np.uint64) + s.astype(np.uint64)), np.where(hot, _mix(a ^ c), a))
+    kind = np.where(settled, _SETTLED, np.where(hot, _FREQUENT, _SEED))
+    return pd.DataFrame({"key": to.view(np.int64), "context": c.view(np.int64), "doc_id": d, "place": s << 8 | m << 3 | kind})
+
+
+def _meet(dealt: DataFrame) -> DataFrame:
+    """Rows of ``_DEALT`` -> ``_MET``: settled runs, and runs that need a look window by window."""
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in sorted_groups(batches, ["key"]):
+            key, c, d, place = (pdf[x].to_numpy() for x in ("key", "context", "doc_id", "place"))
+            kind = place & 7
+            group = np.r_[True, (key[1:] != key[:-1]) | ((kind[1:] == _SETTLED) != (kind[:-1] == _SETTLED))]
+            new = group | np.r_[True, c[1:] != c[:-1]]
+            settled = (kind == _SETTLED) | (d > d[np.flatnonzero(new)][np.cumsum(new) - 1])
+            g = np.cumsum(group) - 1
+            many = np.bincount(g, weights=new)[g] > 1
+            keep = settled | many | (kind == _FREQUENT)
+            place = place[keep]
+            yield pd.DataFrame({"doc_id": d[keep], "start": (place >> 8).astype(np.int32), "windows": (place >> 3 & 31).astype(np.int32), "check": _check(c[keep].view(np.uint64)), "settled": settled[keep]})
+
+    n = n_partitions(dealt.sparkSession)
+    by = ["key", F.col("place").bitwiseAND(2), "context", "doc_id"]  # settled rows apart
+    return dealt.repartition(n, "key").sortWithinPartitions(*by).mapInPandas(run, _MET)
+
+
+def _gathered(parts: list[tuple]) -> Iterator:
+    """Columns of per-document pieces, joined."""
+    return (np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -104,8 +151,6 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         cache = _Hashes()
         for pdf in batches:
             for text in pdf["text"]:
@@ -118,117 +163,101 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> runs of windows that an earlier document may hold.
-
-    settled: it does, for each of the run's windows. Else the windows need a look one by one.
-    Rows with a null doc_id or text take no part.
-    """
-    spark = docs.sparkSession
-    n = n_partitions(spark)
-    frequent = _frequent(docs)
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-
-    def seeds(batches: Iterator) -> Iterator:
-        import pandas as pd
+def _seeds(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, text) -> an anchor row each, as ``_DEALT``."""
 
+    def run(batches: Iterator) -> Iterator:
         cache = _Hashes()
+        parts: list[tuple] = []
+        rows = 0
         for pdf in batches:
-            parts: list[tuple] = []
             for d, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
                 w = words_of(text)
                 if len(w) < LENGTH:
                     continue
-                t = Text(w, cache)
-                a, c, s, m = t.anchors()
-                parts.append((a, c, np.full(len(a), d, dtype=np.int64), s.astype(np.int32), m.astype(np.int32), _checks(t, s, m)))
-            if not parts:
-                continue
-            a, c, d, s, m, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((d, c, a))
-            a, c, d, s, m, k = (x[order] for x in (a, c, d, s, m, k))
-            new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
-            lowest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            settled = d > lowest
-            hot = np.isin(a, frequent)
-            key = np.where(settled, _mix(d.astype(np.uint64) + s.astype(np.uint64)), np.where(hot, _mix(a ^ c), a))
-            yield pd.DataFrame({"key": key.view(np.int64), "kind": np.where(settled, 2, hot.astype(np.int8)).astype(np.int8), "anchor": a.view(np.int64), "context": c.view(np.int64), "doc_id": d, "start": s, "windows": m, "check": k})
-
-    def extend(batches: Iterator) -> Iterator:
-        import pandas as pd
+                a, c, s, m = Text(w, cache).anchors()
+                parts.append((a, c, np.full(len(a), d, dtype=np.int64), s, m))
+                rows += len(a)
+                if rows > _ROWS:
+                    yield _first_holders(*_gathered(parts), frequent)
+                    parts, rows = [], 0
+        if parts:
+            yield _first_holders(*_gathered(parts), frequent)
 
-        for pdf in sorted_groups(batches, ["key"]):
-            kind, a, c, d = (pdf[x].to_numpy() for x in ("kind", "anchor", "context", "doc_id"))
-            key = pdf["key"].to_numpy()
-            group = np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (kind[1:] != kind[:-1])]
-            new = group | np.r_[True, c[1:] != c[:-1]]
-            lowest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            settled = (kind == 2) | (d > lowest)
-            g = np.cumsum(group) - 1
-            many = np.bincount(g, weights=new)[g] > 1
-            look = ~settled & (many | (kind == 1))
-            keep = settled | look
-            out = pdf.loc[keep, ["anchor", "doc_id", "start", "windows", "check"]]
-            yield out.assign(settled=settled[keep])
-
-    dealt = texts.mapInPandas(seeds, "key long, kind byte, anchor long, context long, doc_id long, start int, windows int, check int")
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "kind", "anchor", "context", "doc_id").mapInPandas(extend, "anchor long, doc_id long, start int, windows int, check int, settled boolean")
+    return texts.mapInPandas(run, _DEALT)
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, spans of unsettled contexts) -> (window, anchor, doc_id, start, check)."""
+    """(doc_id, packed text, spans to look at) -> a row for each of their windows, as ``_DEALT``."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         cache = _Hashes()
+        parts: list[tuple] = []
+        n = 0
         for pdf in batches:
-            parts = []
-            for d, text, spans in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["spans"], strict=True):
-                t = Text(words_of(text), cache)
-                for s, m, k, a in _valid(t, spans):
-                    at = np.arange(s, s + m)
+            for d, packed, spans in zip(pdf["doc_id"].tolist(), pdf["packed"], pdf["spans"], strict=True):
+                t = Text(_unpack(packed).split(), cache)
+                s, m = _valid(t, spans)
+                if len(s):
+                    at = np.unique(np.repeat(s, m) + _count_up(m))
                     w = t.runs(at, LENGTH)
-                    parts.append((w, np.full(m, a, dtype=np.int64), np.full(m, d, dtype=np.int64), at, _checks(t, at, np.ones(m, dtype=np.int64))))
-            if parts:
-                w, a, d, s, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"window": w.view(np.int64), "anchor": a, "doc_id": d, "start": s.astype(np.int32), "check": k})
+                    parts.append((w, w, np.full(len(at), d, dtype=np.int64), at, np.ones(len(at), dtype=np.int64)))
+                    n += len(at)
+                    if n > _ROWS:
+                        yield _first_holders(*_gathered(parts), np.zeros(0, dtype=np.uint64))
+                        parts, n = [], 0
+        if parts:
+            yield _first_holders(*_gathered(parts), np.zeros(0, dtype=np.uint64))
+
+    return rows.select("doc_id", "packed", "spans").mapInPandas(run, _DEALT)
+
 
-    return rows.mapInPandas(run, "window long, anchor long, doc_id long, start int, check int")
+def _count_up(m: np.ndarray) -> np.ndarray:
+    """0..m[0]-1, 0..m[1]-1, ..."""
+    return np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
 
 
-def _valid(t: Text, spans) -> list[tuple]:
-    """Spans that fit this text: another text under the same doc_id may have sent them."""
+def _valid(t: Text, spans) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and windows of the spans that fit this text: a repeated doc_id may bring others."""
     if spans is None or not len(spans):
-        return []
-    rows = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in spans]
-    s, m, k = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-    fits = s + m + LENGTH - 1 <= t.n
-    ok = fits.copy()
-    if fits.any():
-        ok[fits] = _checks(t, s[fits], m[fits]) == k[fits]
-    return [r for r, good in zip(rows, ok.tolist(), strict=True) if good]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    x = np.array([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in spans], dtype=np.int64)
+    s, m, k = x[x[:, 0] + x[:, 1] + LENGTH - 1 <= t.n].T
+    ok = _check(t.runs(s, m + LENGTH - 1)) == k
+    return s[ok], m[ok]
+
+
+def _pack(text: str | None) -> bytes | None:
+    return None if text is None else zstandard.ZstdCompressor(level=3).compress(text.encode("utf-8", "surrogatepass"))
+
+
+def _unpack(packed: bytes | None) -> bytes:
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(text: pd.Series) -> pd.Series:
+    """Texts under zstandard: they go through a shuffle at a third of their size."""
+    return text.map(_pack)
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the spans to remove, for each row of docs, whatever its other columns."""
+    """docs with ``packed`` in place of text, and ``spans``: the runs to remove, or null."""
     n = n_partitions(docs.sparkSession)
-    met = repeated_spans(docs)
-    texts = docs.repartition(n, "doc_id")  # planned twice, shuffled once
-    lists = met.where("not settled").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "check", "anchor")).alias("spans"))
-    laid = _windows(texts.join(lists, "doc_id").select("doc_id", "text", "spans"))
-    first = laid.groupBy("window", "anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("high > low")
-    late = laid.join(first, ["window", "anchor"]).where("doc_id > low").select("doc_id", "start", F.lit(1).alias("windows"), "check")
-    spans = met.where("settled").select("doc_id", "start", "windows", "check").union(late)
-    return texts.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "check")).alias("spans")), "doc_id", "left")
+    met = _meet(_seeds(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text"), _frequent(docs)))
+    texts = docs.withColumn("packed", packed("text")).drop("text").repartition(n, "doc_id")  # planned twice, shuffled once
+    span = F.collect_list(F.struct("start", "windows", "check")).alias("spans")
+    look = met.where("not settled").groupBy("doc_id").agg(span)
+    late = _meet(_windows(texts.join(look, "doc_id"))).where("settled")
+    return texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
 
 
 def _removed(t: Text, spans) -> np.ndarray:
     """Mask of the words that the spans cover."""
     edge = np.zeros(t.n + 1, dtype=np.int64)
-    for s, m, _ in _valid(t, spans):
-        edge[s] += 1
-        edge[s + m + LENGTH - 1] -= 1
+    s, m = _valid(t, spans)
+    np.add.at(edge, s, 1)
+    np.add.at(edge, s + m + LENGTH - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -243,22 +272,18 @@ def substring_report(docs: DataFrame) -> DataFrame:
     rows = _resolved(docs.select(F.col("doc_id").cast("long"), "text"))
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         cache = _Hashes()
         for pdf in batches:
             out = []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-                words = words_of(text)
-                kept = words
+            for raw, spans in zip(pdf["packed"], pdf["spans"], strict=True):
+                words = kept = _unpack(raw).split()
                 if spans is not None and len(spans):
                     gone = _removed(Text(words, cache), spans)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, gone, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n, "n_removed": gone, "kept_sha256": sha})
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
-    return rows.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "packed", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_passages(text: str, gone: list[bool]) -> str:
@@ -271,27 +296,27 @@ def cut_passages(text: str, gone: list[bool]) -> str:
     return "".join(out).strip()
 
 
+def _cut(raw: bytes | None, spans) -> str | None:
+    if raw is None:
+        return None
+    text = _unpack(raw)
+    if spans is None or not len(spans):
+        return text.decode("utf-8", "surrogatepass")
+    return cut_passages(text.decode("utf-8", "surrogatepass"), _removed(Text(text.split(), _Hashes()), spans).tolist())
+
+
+@F.pandas_udf(T.StringType())
+def cut(raw: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([_cut(r, s) for r, s in zip(raw, spans, strict=True)], dtype=object)
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with later copies of passages cut out of the text; n_chars follows where present.
 
     Documents of which nothing is left are dropped; all other rows and columns stay.
     """
-    import pandas as pd
-
-    names = docs.columns
-    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = _resolved(docs)
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        cache, out = _Hashes(), []
-        for t, s in zip(text, spans, strict=True):
-            out.append(cut_passages(t, _removed(Text(words_of(t), cache), s).tolist()))
-        return pd.Series(out)
-
-    touched = rows.where("spans is not null").withColumn("text", cut("text", "spans")).where(n_words > 0)
-    whole = rows.where("spans is null")
-    both = touched.unionByName(whole)
-    if "n_chars" in names:
-        both = both.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(*names)
+    rows = _resolved(docs).withColumn("text", cut("packed", "spans"))
+    rows = rows.where("spans is null or text <> ''")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embedding_dedup, mixing, packing, simhash, substring_dedup, url_filter
+from . import ann_forest, embedding_dedup, language_id, mixing, packing, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -40,7 +40,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_low_discrepancy_mix": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
+    "op3_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_simhash_components": op5_simhash_components,
+    "op6_language_id": lambda spark, sf_dir: language_id.language_report(table(spark, sf_dir, "documents")),
     "op7_substring_dedup": op7_substring_dedup,
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_url_filter": op9_url_filter,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embedding_dedup, language_id, mixing, packing, simhash, substring_dedup, toxicity, url_filter
+from . import ann_forest, embedding_dedup, language_id, license_scan, mixing, packing, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -41,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_low_discrepancy_mix": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
     "op3_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_license_scan": lambda spark, sf_dir: license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_digests(spark)),
     "op5_simhash_components": op5_simhash_components,
     "op6_language_id": lambda spark, sf_dir: language_id.language_report(table(spark, sf_dir, "documents")),
     "op7_substring_dedup": op7_substring_dedup,
@@ -50,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.oracle_sql(),
     "op9_url_filter": """
         WITH cut AS (
           SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest

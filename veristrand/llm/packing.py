@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,27 +37,58 @@ class Encoder(dict):
     """White-space separated word -> its ids as little-endian 32-bit integers.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of
-    its words in turn. Cleared when it grows beyond its bound.
+    its words in turn. Words seen are kept, up to a bound; new ones made of Latin letters,
+    with or without punctuation behind, go straight to the vocabulary's merges, all others
+    through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.merges, self.marks = self.tokenizer.model.tokenize, {b"": b""}
+        # the byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        x = self[word] = np.array(ids, dtype="<u4").tobytes()
+        x = self[word] = self._encode(word)
         return x
 
+    def _encode(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,!?;:")
+        mark = word[len(core) :]
+        if core.isalpha():  # ASCII letters
+            text = core.lower().decode()
+        else:
+            text = core.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) > "\u012f":
+                return self._whole(word)
+            text = text.lower().encode().decode("latin-1").translate(self.alphabet)
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {b"": b""}
+            self.marks[mark] = self._whole(mark)
+        return array("I", [t.id for t in self.merges(text)]).tobytes() + self.marks[mark]
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def document(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "surrogatepass").split()
         return b"".join([*map(self.__getitem__, words), _END])
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker keeps the words it has seen from one task to the next."""
+    return Encoder(path)
+
+
 _END = np.array([END], dtype="<u4").tobytes()
 
 
@@ -103,13 +136,13 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     """
 
     def run(batches: Iterator) -> Iterator:
-        encoder = Encoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         first = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         tokens = 0
         for pdf in batches:
             for d, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                ids = encoder.document(text)
+                ids = words.document(text)
                 held.append((d, ids))
                 tokens += len(ids) // 4
                 if tokens >= BIN_TOKENS:
@@ -136,13 +169,13 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, pad: i
     """
 
     def run(batches: Iterator) -> Iterator:
-        encoder = Encoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         first = TaskContext.get().partitionId() << 40
         held: list[bytes] = []
         tokens = 0
         for pdf in batches:
             for text in pdf["text"]:
-                held.append(encoder.document(text))
+                held.append(words.document(text))
                 tokens += len(held[-1]) // 4
                 if tokens >= BIN_TOKENS:
                     out, n = _laid(held, first, length, pad)

@@ -1,4 +1,451 @@
-"""The registered queries and their DuckDB twins."""
+"""The registered queries over the driver's tables; each runs over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import PAPER_STATUSES
+from ..functions import generated, text
+from ..operators import chunks, evidence, graph, leases, pages, reports, store, synthesis
+from ..sources.generator import stream_answer as read_stream
+from . import frames
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def long(c: str) -> Column:
+    return F.col(c).cast("long").alias(c)
+
+
+def digest(c: str = "text") -> Column:
+    return F.sha2(c, 256).alias("digest")
+
+
+def joined(c: str) -> Column:
+    return F.array_join(c, ",").alias(c)
+
+
+def hashed(c: str) -> Column:
+    return F.sha2(F.col(c).cast("string"), 256)
+
+
+# Pages
+
+
+@query
+def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.paper_pages(spark, sf_dir).select("paper", long("number"), F.length("text").cast("long").alias("chars"), digest())
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = frames.paper_pages(spark, sf_dir)
+    ocr = F.when(F.col("number") % 2 == 0, F.concat(F.lit("read "), "text")).otherwise(F.lit(""))
+    cached = F.when(F.col("number") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("cached "), "text"))
+    cache = p.where("number % 5 = 0").select("paper", (F.col("number") - 1).alias("page_idx"), cached.alias("text"))
+    return pages.route_pages(p.withColumn("ocr", ocr), cache, budget=3)
+
+
+@query
+def page_ocr_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("paper", long("number"), "wants", "cached", "capped", "text", "method")
+
+
+@query
+def ocr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _routed(spark, sf_dir)
+    return r.groupBy("paper").agg(F.count_if(F.col("wants") & ~F.col("cached")).alias("fresh"), F.count_if("capped").alias("capped"))
+
+
+@query
+def ocr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.ocr_stats(frames.papers(spark, sf_dir), _routed(spark, sf_dir)).withColumn("summary", pages.ocr_summary())
+
+
+# Identity and routing
+
+
+@query
+def paper_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.papers(spark, sf_dir).select("paper", F.sha2("text", 256).alias("paper_hash"))
+    return d.withColumn("resource_key", F.concat(F.lit("sha256:"), "paper_hash"))
+
+
+@query
+def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, r = F.sha2("text", 256), F.col("doc_id") % 4
+    given = F.when(r == 0, h).when(r == 1, F.upper(h)).when(r == 2, F.substring(h, 1, 16))
+    return frames.read(spark, sf_dir, "documents").select("doc_id", given.alias("paper_hash")).withColumn("valid", text.is_identity("paper_hash"))
+
+
+@query
+def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.papers(spark, sf_dir).select("paper", F.sha2("text", 256).alias("paper_hash"))
+    return d.groupBy("paper_hash").agg(F.min("paper").alias("paper"), F.count(F.lit(1)).alias("copies"))
+
+
+def _tiered(spark: SparkSession, sf_dir: str, override: Column | None) -> DataFrame:
+    d = frames.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper"), "source", F.size(F.split("text", "\n")).alias("page_count"))
+    return d.select("paper", long("page_count"), text.select_model(F.col("page_count"), override).alias("model"))
+
+
+@query
+def tier_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiered(spark, sf_dir, F.when(F.col("source") == "src0", F.lit("own-model")))
+
+
+@query
+def tier_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.tier_order(_tiered(spark, sf_dir, None).select(F.col("paper").alias("path"), "model")).select("path", "model", long("ord"))
+
+
+# Chunks
+
+
+@query
+def fragment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = frames.papers(spark, sf_dir).select("paper", F.lit(1).alias("number"), "text", F.lit("native").alias("method"))
+    return chunks.fragments(whole, 1064).select("paper", long("part"), F.length("text").cast("long").alias("chars"), digest())
+
+
+@query
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = chunks.fragments(frames.paper_pages(spark, sf_dir), 3000)
+    m = chunks.chunk_fragments(f, chunks.chunk_bounds(f, char_cap=3000))
+    return chunks.chunk_summary(m).select("paper", *map(long, ("chunk_index", "page_start", "page_end", "fragments", "chars")))
+
+
+@query
+def chunk_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.render(frames.members(spark, sf_dir)).select("paper", long("chunk_index"), digest("content"))
+
+
+# Evidence
+
+
+@query
+def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.checked(spark, sf_dir).select("paper", long("chunk_index"), long("ord"), "kind", "support", long("page"), "accepted")
+
+
+@query
+def evidence_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.rejected_counts(frames.checked(spark, sf_dir)).withColumn("chunk_index", long("chunk_index"))
+
+
+@query
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.with_ids(frames.checked(spark, sf_dir)).select("paper", "evidence_id", "kind", "support", long("page"))
+
+
+@query
+def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.items(spark, sf_dir).select("paper", "evidence_id", "kind", "support", long("page"))
+
+
+@query
+def evidence_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.items(spark, sf_dir).groupBy("paper", "kind").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("page").alias("pages"))
+
+
+@query
+def kind_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.remainder_order(frames.items(spark, sf_dir), "logic").select("paper", "evidence_id", long("ord"))
+
+
+# Synthesis
+
+
+def _chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_summary(frames.members(spark, sf_dir))
+
+
+@query
+def coverage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = synthesis.coverage_order(_chunk_pages(spark, sf_dir), ["paper"], ["page_start", "page_end"], "chunk_index")
+    return c.select("paper", long("chunk_index"), long("ord"))
+
+
+@query
+def reduce_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synthesis.groups_of(_chunk_pages(spark, sf_dir), "chunk_index").groupBy("paper", "grp")
+    return g.agg(F.min("page_start").cast("long").alias("page_start"), F.max("page_end").cast("long").alias("page_end"), F.count(F.lit(1)).alias("children")).withColumn("grp", long("grp"))
+
+
+@query
+def reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunk_pages(spark, sf_dir).groupBy("paper").agg(F.count(F.lit(1)).alias("chunks"))
+    return c.select("paper", "chunks", synthesis.levels_of(F.col("chunks")).cast("long").alias("levels"))
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = frames.items(spark, sf_dir)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("ord", "evidence_id"))), lambda x: x["evidence_id"])
+    own = items.groupBy("paper", "chunk_index").agg(ids.alias("ids"))
+    c = _chunk_pages(spark, sf_dir).join(own, ["paper", "chunk_index"], "left")
+    return c.select("paper", (F.col("chunk_index") - 1).alias("idx"), "page_start", "page_end", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")), items
+
+
+@query
+def reduce_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves, items = _leaves(spark, sf_dir)
+    return synthesis.reduce_all(leaves, items, F.slice("available", 1, 4)).select("paper", long("page_start"), long("page_end"), joined("ids"), long("levels"))
+
+
+@query
+def relationship_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = synthesis.valid_relationships(frames.relations(frames.items(spark, sf_dir)))
+    return r.select("paper", long("nth"), joined("ids"), "description")
+
+
+@query
+def context_prefix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    p = frames.paper_pages(spark, sf_dir).select("paper", "number", F.length("text").alias("n"))
+    kept = synthesis.prefix_fit(p, ["paper"], "number", F.col("n"), 1500)
+    return kept.select("paper", long("number"), F.sum("n").over(Window.partitionBy("paper").orderBy("number")).alias("used"))
+
+
+@query
+def context_skip_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = frames.papers(spark, sf_dir).select("paper", F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("number"), F.length(x).alias("n"))).alias("e"))
+    kept = p.select("paper", synthesis.skip_fit(F.col("e"), lambda e: e["n"], 0, 1500).alias("kept")).where("size(kept) > 0")
+    total = lambda f: F.aggregate("kept", F.lit(0).cast("long"), lambda a, e: a + e[f])
+    return kept.select("paper", F.size("kept").cast("long").alias("entries"), total("number").alias("numbers"), total("n").alias("used"))
+
+
+@query
+def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded contexts of the section ``logic``: from lines of text to what a generator would read."""
+    from ..operators.context import contexts
+
+    leaves, items = _leaves(spark, sf_dir)
+    root = synthesis.reduce_all(leaves, items, F.slice("available", 1, 4))
+    n = frames.papers(spark, sf_dir).select("paper", F.size(F.split("text", "\n")).alias("page_count"))
+    summary = F.concat(F.lit("pages "), "page_start", F.lit(" to "), "page_end")
+    told = synthesis.valid_relationships(frames.relations(items))
+    out = contexts(root.join(n, "paper").withColumn("summary", summary), _chunk_pages(spark, sf_dir).withColumn("summary", summary), items, told, "logic", 6000)
+    return out.select("paper", F.length("context").cast("long").alias("chars"), digest("context"), "error")
+
+
+# Store
+
+
+@query
+def section_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.pending_sections(frames.stored(spark, sf_dir), "logic").select("paper_hash", "section", long("ord"))
+
+
+@query
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("sections_completed")
+    return frames.stored(spark, sf_dir).select("paper_hash", store.is_complete(done).alias("complete"), F.array_join(store.missing_sections(done), ",").alias("missing"))
+
+
+@query
+def latest_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest(frames.stored(spark, sf_dir), "pdf_path", F.desc("updated_at"), F.col("paper_hash")).select("pdf_path", "paper_hash", "updated_at")
+
+
+def _full_papers(rows: DataFrame, **values: Column) -> DataFrame:
+    from ..schemas import PAPERS
+
+    return rows.select(*(values.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PAPERS))
+
+
+@query
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.read(spark, sf_dir, "documents").select("doc_id", hashed("doc_id").alias("paper_hash"))
+    name = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string"))
+    old = F.lit("2024-01-01T00:00:00Z")
+    table = _full_papers(d.where("doc_id % 3 <> 0"), paper_name=name("old-"), source_corpus=F.when(F.col("doc_id") % 2 == 0, "corpus"), created_at=old, updated_at=old)
+    new = _full_papers(d.where("doc_id % 3 <> 1"), paper_name=name("new-"), source_corpus=F.lit("fresh"))
+    return store.upsert_meta(table, new, "2024-02-01T00:00:00Z").select("paper_hash", "paper_name", "source_corpus", "created_at", "updated_at")
+
+
+@query
+def clear_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _full_papers(frames.stored(spark, sf_dir), summary_md=F.lit("summary text"), symbolic_logic_md=F.lit("logic text"), source_corpus=F.lit("corpus"))
+    kept, _ = store.clear_section(table, spark.createDataFrame([], "paper_hash string"), "summary", "2024-02-01T00:00:00Z")
+    return kept.select("paper_hash", joined("sections_completed"), "summary_md", "symbolic_logic_md", "source_corpus")
+
+
+@query
+def cache_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = frames.paper_pages(spark, sf_dir).select("paper", F.col("number").alias("page_idx"), "text")
+    tries = F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit("second ").alias("word")), F.struct(F.lit(1).alias("seq"), F.lit("first ").alias("word"))))
+    new = p.where("page_idx % 2 = 0").withColumn("t", tries).select("paper", "page_idx", F.concat("t.word", "text").alias("text"), F.col("t.seq").alias("seq"))
+    return store.put_first(p.where("page_idx % 3 = 0"), new, ["paper", "page_idx"], "seq").select("paper", long("page_idx"), digest())
+
+
+@query
+def changed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = frames.stored(spark, sf_dir).select("paper_hash", "doc_id")
+    return store.changed_papers(p, p.where("doc_id % 4 = 0"))
+
+
+# Reports
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = frames.stored(spark, sf_dir)
+    new = F.concat(F.lit("/papers/"), "source", F.lit("/new.pdf")).alias("pdf_path")
+    files = known.select("pdf_path").distinct().union(frames.read(spark, sf_dir, "documents").select(new).distinct()).withColumn("content_hash", F.sha2("pdf_path", 256))
+    live = known.where("doc_id % 7 = 0").select(F.concat(F.lit("sha256:"), "paper_hash").alias("resource_key"))
+    return reports.paper_status(files, known, live)
+
+
+@query
+def paper_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).select("pdf_path", "status", joined("missing"), "in_progress")
+
+
+@query
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.batch_progress(_status(spark, sf_dir))
+
+
+@query
+def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.read(spark, sf_dir, "documents").select("doc_id")
+    drawn = d.select(F.when(F.col("doc_id") % 4 != 0, "<svg/>").alias("svg_content"))
+    return reports.entity_report(frames.stored(spark, sf_dir), drawn, frames.read(spark, sf_dir, "pages").select("page_id"), d.select((F.col("doc_id") % 7 == 0).alias("active")))
+
+
+@query
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, PAPER_STATUSES)), (F.col("doc_id") % 5).cast("int"))
+    return reports.status_histogram(frames.read(spark, sf_dir, "documents").select(status.alias("status"))).select(long("ord"), "status", "n")
+
+
+# Leases
+
+
+@query
+def in_progress_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = frames.lease_events(spark, sf_dir)
+    now = e.agg(F.max("ts")).first()[0] or 0.0
+    rows = e.groupBy("key").agg(F.max("ts").alias("renewed_at"), (F.max_by("kind", F.struct("ts", "event_id")) != "release").alias("active"))
+    return leases.in_progress(rows, now).select("key", "renewed_at")
+
+
+@query
+def lease_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leases.generations(frames.lease_events(spark, sf_dir))
+
+
+@query
+def lease_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leases.replay(frames.lease_events(spark, sf_dir)).select("key", "event_id", "kind", "accepted", "reclaimed", "holder", "now_generation", "renewed_at", "active")
+
+
+@query
+def fenced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = frames.lease_events(spark, sf_dir)
+    writes = e.where("kind = 'renew'").select("key", F.col("event_id").alias("write_id"), (F.col("ts") + 1).alias("ts"), "owner", "generation")
+    return leases.fenced_writes(writes, leases.replay(e)).select("key", "write_id", "accepted")
+
+
+# Graph
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evidence nodes and relation pairs, papers named by a digest."""
+    items = frames.items(spark, sf_dir)
+    nodes = items.select(F.concat_ws(":", hashed("paper"), "evidence_id").alias("qid"), "paper", "evidence_id", "kind", "page")
+    pairs = graph.relation_pairs(frames.relations(items).withColumn("paper_hash", hashed("paper")))
+    return nodes, pairs
+
+
+@query
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[0].withColumn("page", long("page"))
+
+
+@query
+def relationship_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _graph(spark, sf_dir)[1].groupBy("paper_hash", "a", "b").agg(F.max_by("description", "seq").alias("description"))
+    return last.select(F.concat_ws(":", "paper_hash", "a").alias("src"), F.concat_ws(":", "paper_hash", "b").alias("dst"), "description")
+
+
+@query
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = _graph(spark, sf_dir)
+    return graph.relates_to(pairs, nodes).select("src", "dst", "description")
+
+
+@query
+def graph_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = _graph(spark, sf_dir)
+    return graph.connected_nodes(nodes.select(F.col("qid").alias("id"), F.col("evidence_id").alias("label")), graph.relates_to(pairs, nodes))
+
+
+# Texts
+
+
+@query
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalise("text"), 256).alias("digest"))
+
+
+@query
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.format_string("schema=1|dpi=%d|lang=%s|tess=none|pymupdf=1|td=x", "n_chars", "lang")
+    profile = text.ocr_profile(F.col("n_chars"), F.col("lang"), F.lit("none"), F.lit("1"), F.lit("x"))
+    return frames.read(spark, sf_dir, "documents").select(
+        "doc_id", parts.alias("profile_parts"), profile.alias("profile"), text.strategy(F.col("doc_id") % 9, F.col("doc_id") % 3, F.col("n_chars")).alias("strategy"),
+        text.duration_text(F.col("n_chars")).alias("took"), text.section_markdown(F.lit("logic"), F.col("lang")).alias("section"),
+    )
+
+
+@query
+def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frames.read(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("text").alias("response"), F.col("role").alias("thinking"), F.lit(False).alias("done")))
+    return read_stream(c.select(F.col("conv_id").alias("request"), F.col("turn").alias("seq"), line.alias("line"))).select("request", "text", long("thinking_chars"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with two diagrams, the first one's end marker misspelled, the second's missing."""
+    one = F.concat(F.lit("intro ===DIAGRAM_START: First "), "lang", F.lit("===\ndigraph g"), F.col("doc_id").cast("string"), F.lit(" { a -> b }\n===DIARGAM_END===\n"))
+    return frames.read(spark, sf_dir, "documents").select("doc_id", F.concat(one, F.lit("===diagram_start: Second===\ngraph { c -- d }\n")).alias("raw"))
+
+
+@query
+def diagram_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _drawn(spark, sf_dir).select("doc_id", F.posexplode(generated.diagrams("raw")).alias("at", "d"))
+    return d.select("doc_id", (F.col("at") + 1).cast("long").alias("idx"), "d.title", "d.dot")
+
+
+@query
+def diagram_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _drawn(spark, sf_dir).select("doc_id", F.explode(generated.diagrams("raw")).alias("d"))
+    return d.select("doc_id", "d.title", generated.with_style("d.dot").alias("dot"))
+
+
+@query
+def dot_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.concat(F.lit("A [\"label='"), "lang", F.lit(" \\n \"x\"'\"]; B [\"label='y']; C [label=\"z\"];"))
+    return frames.read(spark, sf_dir, "documents").select("doc_id", generated.repair_labels(broken).alias("dot"))
+
+
+@query
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit('Sure: ```json\n{"chunk_summary": "'), "lang", F.lit(' \\dot{u} \\u0041", "evidence": []}\n```'))
+    d = frames.read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    from ..schemas import MAP_ANSWER
+
+    return d.select("doc_id", generated.json_object("raw", MAP_ANSWER)["chunk_summary"].alias("summary"), generated.first_json_object("raw").alias("object"))
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}

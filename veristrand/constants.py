@@ -30,7 +30,7 @@ BUNDLE_VERSION = 1
 OCR_MIN_CHARS, OCR_BUDGET = 100, 40
 LEASE_STALE_S, HEARTBEAT_S = 4 * 3600, 60
 GRAPH_CHARS = 500
-IDENTITY_PATTERN = "^[0-9a-f]{64}$"
+IDENTITY_PATTERN = r"\A[0-9a-f]{64}\z"
 IDENTITY_SCHEME = "sha256-full-v1"
 SCHEMA_VERSION = 4
 PAPER_STATUSES = ["COMPLETE", "PARTIAL", "ALREADY_COMPLETE", "CLAIMED_ELSEWHERE", "INTERRUPTED", "FAILED"]

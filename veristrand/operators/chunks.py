@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,7 @@ def chunk_bounds(frags: DataFrame, window: int = WINDOW, overlap: int = OVERLAP,
     check_windows(window, overlap, char_cap)
     sizes = frags.select("paper", "pos", F.length("text").cast("int").alias("n"))
 
-    def fold(keys: tuple, pdf):
-        import pandas as pd
-
+    def fold(keys, pdf):
         n = pdf.sort_values("pos")["n"].tolist()
         found = list(windows(n, window, overlap, char_cap))
         out = pd.DataFrame(found, columns=["first", "last"])

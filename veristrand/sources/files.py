@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,6 @@ def unique_papers(files: DataFrame) -> DataFrame:
 
 def page_counter(count) -> Column:
     """Pages by a function of a file's bytes; whatever fails counts 0."""
-    import pandas as pd
-
     def safe(raw) -> int:
         try:
             return int(count(bytes(raw)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,8 +87,6 @@ def stream_answer(lines: DataFrame) -> DataFrame:
 
 def rendered(dot: Column, render: Callable[[str], str | None]) -> Column:
     """SVG of DOT source by a renderer on the executors; null where it fails."""
-    import pandas as pd
-
     def safe(src: str | None) -> str | None:
         try:
             return None if src is None else render(src)

@@ -62,3 +62,16 @@ def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     linked = nodes.join(ends, "id", "left_semi")
     every = nodes.join(F.broadcast(none.where("__edges = 0").drop("__edges").withColumn("__all", F.lit(True))), F.lit(True), "left_semi")  # one row at most
     return linked.unionByName(every)
+
+
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """One node by id, or no row."""
+    return nodes.where(F.col("id") == node_id)
+
+
+def import_totals(bundles: DataFrame) -> DataFrame:
+    """paper_hash, evidence, relations: items and relation attempts, whether or not both ends exist."""
+    items = F.aggregate(F.coalesce(F.transform("bundle.chunks", lambda c: F.coalesce(F.size(c["evidence"]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + n)
+    size = lambda r: F.coalesce(F.size(r["evidence_ids"]), F.lit(0))
+    pairs = F.aggregate(F.coalesce(F.transform("bundle.root.relationships", lambda r: (size(r) * (size(r) - 1) / 2).cast("int")), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + n)
+    return bundles.select("paper_hash", items.cast("long").alias("evidence"), pairs.cast("long").alias("relations"))

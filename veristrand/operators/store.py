@@ -130,3 +130,41 @@ def dangling(diagrams: DataFrame, papers: DataFrame) -> DataFrame:
 def changed_papers(papers: DataFrame, seen: DataFrame) -> DataFrame:
     """Papers whose hash the other side has not seen, in order of hash."""
     return papers.join(seen.select("paper_hash"), "paper_hash", "left_anti").orderBy("paper_hash")
+
+
+def paper(papers: DataFrame, paper_hash: str) -> DataFrame:
+    """The paper of a hash, or no row."""
+    return papers.where(F.col("paper_hash") == paper_hash)
+
+
+def paper_by_path(papers: DataFrame, path: str) -> DataFrame:
+    """The newest paper at a path, or no row."""
+    return latest(papers.where(F.col("pdf_path") == path), "pdf_path", F.desc("updated_at"), F.col("paper_hash"))
+
+
+def diagrams_of(diagrams: DataFrame, paper_hash: str) -> DataFrame:
+    return diagrams.where(F.col("paper_hash") == paper_hash).orderBy("idx")
+
+
+def svg_of(diagrams: DataFrame, paper_hash: str, idx: int) -> DataFrame:
+    """title, svg_content of a rendered diagram, or no row."""
+    return diagrams.where((F.col("paper_hash") == paper_hash) & (F.col("idx") == idx) & F.col("svg_content").isNotNull()).select("title", "svg_content")
+
+
+def with_diagrams(papers: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """Papers that have a corpus, each with its diagrams in order (an empty list for none)."""
+    item = F.struct("idx", "title", "dot_src", "svg_content")
+    own = diagrams.groupBy("paper_hash").agg(F.sort_array(F.collect_list(item)).alias("diagrams"))
+    met = papers.where("source_corpus is not null").join(own, "paper_hash", "left")
+    return met.withColumn("diagrams", F.coalesce("diagrams", F.array().cast("array<struct<idx:int,title:string,dot_src:string,svg_content:string>>")))
+
+
+def write_raw_diagrams(table: DataFrame, raw: DataFrame, now: str) -> DataFrame:
+    """Next state of papers with answers (paper_hash, raw) that held no diagram; the section stays open."""
+    return _change(table, raw.select("paper_hash", F.col("raw").alias("__raw")), lambda hit: {"diagrams_raw": F.when(hit, F.col("__raw")).otherwise(F.col("diagrams_raw"))}, now)
+
+
+def fenced(changes: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes (with write_id) split into those that ``leases.fenced_writes`` accepted and the others."""
+    ok = judged.where("accepted").select("write_id")
+    return changes.join(ok, "write_id", "left_semi"), changes.join(ok, "write_id", "left_anti")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space between words, in every operator of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,3 +114,41 @@ def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator:
             held = [pdf.iloc[cut:]]
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+#: Rows of texts that a Python worker holds as objects at a time, and rows of an Arrow batch.
+SLICE, BATCH = 256, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows: texts have no bounded length, and a
+    batch lies in memory on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, after whose last batch the worker gives freed memory back; idle workers stay around."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
+def map_slices(df: DataFrame, f: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """Like ``mapInPandas``, but f meets small frames: a worker's memory doesn't follow the batch size."""
+    small_batches(df.sparkSession)
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator) -> Iterator:
+        for out in f(b.slice(i, SLICE).to_pandas() for b in batches for i in range(0, b.num_rows, SLICE)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(tidied(run), kind)

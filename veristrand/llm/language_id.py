@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices
 from .folds import fold, held_out, sampled
 
 #: Bytes of a dictionary; documents of a language and bytes of each that make it, at most.
@@ -127,4 +128,4 @@ def language_report(docs: DataFrame, reject: bool = False) -> DataFrame:
                 out.loc[~out["confident"], "lang_pred"] = UNKNOWN
             yield out.assign(doc_id=pdf["doc_id"].to_numpy(), held_out=pdf["held_out"].to_numpy())
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), held_out(), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 LENGTH = 2048
 END = 1
 BIN_TOKENS = 2_000_000
@@ -152,7 +154,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         if held:
             yield _packed(held, first, length)[0]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), _SCHEMA)
 
 
 def _packed(held: list[tuple], first: int, length: int) -> tuple[pd.DataFrame, int]:
@@ -184,7 +187,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, pad: i
         if held:
             yield _laid(held, first, length, pad)[0]
 
-    return docs.select("text").mapInPandas(run, "sequence_id long, ids array<int>, segments array<int>")
+    small_batches(docs.sparkSession)
+    return docs.select("text").mapInPandas(tidied(run), "sequence_id long, ids array<int>, segments array<int>")
 
 
 def _laid(held: list[bytes], first: int, length: int, pad: int) -> tuple[pd.DataFrame, int]:

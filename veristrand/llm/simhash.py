@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, min_labels, n_partitions, sorted_groups, words_of
+from .common import Scratch, map_slices, min_labels, n_partitions, sorted_groups, tidied, words_of
 from .components import connected_components
 
 RADIUS = 3
@@ -61,13 +61,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, th, fp): a digest of the text and the fingerprint, signed longs."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
             fps = np.array([fingerprint(words_of(t, lower=True)) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "fp": fps.view(np.int64)})
+            yield pdf[["doc_id", "th"]].assign(fp=fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text")).mapInPandas(run, "doc_id long, th long, fp long")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text")), run, "doc_id long, th long, fp long")
 
 
 def text_digest() -> Column:
@@ -101,7 +99,7 @@ def similar_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = _bucket_links(pdf["k"].to_numpy(), pdf["v"].to_numpy(), pdf["fp"].to_numpy(), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt.repartition(n, "k", "v").sortWithinPartitions("k", "v", "fp").mapInPandas(run, "a long, b long")
+    return dealt.repartition(n, "k", "v").sortWithinPartitions("k", "v", "fp").mapInPandas(tidied(run), "a long, b long")
 
 
 def _bucket_links(k: np.ndarray, v: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

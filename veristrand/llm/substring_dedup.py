@@ -23,20 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import n_partitions, sorted_groups, words_of
+from .common import SLICE, Scratch, map_slices, n_partitions, small_batches, sorted_groups, tidied, words_of
 
 LENGTH = 13
 GRAM = 5
 #: Documents, at most, that tell which anchors are frequent, and the share that makes them so.
 SAMPLE_DOCS, FREQUENT = 2000, 1 / 200
 #: Anchors that a task gathers before it settles copies among them.
-_ROWS = 400_000
+_ROWS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,7 +48,7 @@ class _Hashes(dict):
     """64-bit digests of words; cleared when it grows beyond its bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         x = self[w] = xxhash.xxh64_intdigest(w, 1)
         return x
@@ -136,7 +139,7 @@ def _meet(dealt: DataFrame) -> DataFrame:
 
     n = n_partitions(dealt.sparkSession)
     by = ["key", F.col("place").bitwiseAND(2), "context", "doc_id"]  # settled rows apart
-    return dealt.repartition(n, "key").sortWithinPartitions(*by).mapInPandas(run, _MET)
+    return dealt.repartition(n, "key").sortWithinPartitions(*by).mapInPandas(tidied(run), _MET)
 
 
 def _gathered(parts: list[tuple]) -> Iterator:
@@ -158,7 +161,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 if len(w) >= LENGTH:
                     yield pd.DataFrame({"anchor": np.unique(Text(w, cache).anchors()[0]).view(np.int64)})
 
-    found = docs.where(F.col("doc_id").isin(ids)).select("text").mapInPandas(run, "anchor long").groupBy("anchor").count()
+    found = map_slices(docs.where(F.col("doc_id").isin(ids)).select("text"), run, "anchor long").groupBy("anchor").count()
     rows = found.where(F.col("count") > max(3, FREQUENT * len(ids))).orderBy(F.desc("count"), "anchor").limit(20_000).collect()
     return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
 
@@ -184,7 +187,7 @@ def _seeds(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
         if parts:
             yield _first_holders(*_gathered(parts), frequent)
 
-    return texts.mapInPandas(run, _DEALT)
+    return map_slices(texts, run, _DEALT)
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -209,7 +212,7 @@ def _windows(rows: DataFrame) -> DataFrame:
         if parts:
             yield _first_holders(*_gathered(parts), np.zeros(0, dtype=np.uint64))
 
-    return rows.select("doc_id", "packed", "spans").mapInPandas(run, _DEALT)
+    return map_slices(rows.select("doc_id", "packed", "spans"), run, _DEALT)
 
 
 def _count_up(m: np.ndarray) -> np.ndarray:
@@ -235,21 +238,36 @@ def _unpack(packed: bytes | None) -> bytes:
     return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(text: pd.Series) -> pd.Series:
-    """Texts under zstandard: they go through a shuffle at a third of their size."""
-    return text.map(_pack)
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with ``packed``, texts under zstandard, in place of text: a third of the bytes to shuffle."""
+    at = docs.columns.index("text")
+    schema = T.StructType([T.StructField("packed", T.BinaryType()) if i == at else f for i, f in enumerate(docs.schema)])
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            out: list = []
+            for i in range(0, b.num_rows, SLICE):
+                out += [_pack(t) for t in b.column(at).slice(i, SLICE).to_pylist()]
+            columns = [pa.array(out, pa.binary()) if i == at else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
     """docs with ``packed`` in place of text, and ``spans``: the runs to remove, or null."""
     n = n_partitions(docs.sparkSession)
-    met = _meet(_seeds(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text"), _frequent(docs)))
-    texts = docs.withColumn("packed", packed("text")).drop("text").repartition(n, "doc_id")  # planned twice, shuffled once
+    known = docs.where("doc_id is not null")
+    met = _meet(_seeds(known.where("text is not null").select(F.col("doc_id").cast("long"), "text"), _frequent(known)))
+    met = Scratch(docs.sparkSession, "substring").write(met)
+    texts = _packed(known).repartition(n, "doc_id")  # planned twice, shuffled once
     span = F.collect_list(F.struct("start", "windows", "check")).alias("spans")
     look = met.where("not settled").groupBy("doc_id").agg(span)
-    late = _meet(_windows(texts.join(look, "doc_id"))).where("settled")
-    return texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
+    late = _meet(_windows(texts.join(look, "doc_id", "left"))).where("settled")
+    found = texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
+    alone = _packed(docs.where("doc_id is null")).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    return found.unionByName(alone)
 
 
 def _removed(t: Text, spans) -> np.ndarray:
@@ -283,7 +301,7 @@ def substring_report(docs: DataFrame) -> DataFrame:
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
-    return rows.select("doc_id", "packed", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_slices(rows.select("doc_id", "packed", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_passages(text: str, gone: list[bool]) -> str:
@@ -305,18 +323,34 @@ def _cut(raw: bytes | None, spans) -> str | None:
     return cut_passages(text.decode("utf-8", "surrogatepass"), _removed(Text(text.split(), _Hashes()), spans).tolist())
 
 
-@F.pandas_udf(T.StringType())
-def cut(raw: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([_cut(r, s) for r, s in zip(raw, spans, strict=True)], dtype=object)
-
-
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with later copies of passages cut out of the text; n_chars follows where present.
 
     Documents of which nothing is left are dropped; all other rows and columns stay.
     """
-    rows = _resolved(docs).withColumn("text", cut("packed", "spans"))
-    rows = rows.where("spans is null or text <> ''")
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    names, schema = docs.columns, docs.schema
+    counted = names.index("n_chars") if "n_chars" in names else -1
+    inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]  # columns of any name pass
+    rows = _resolved(docs.toDF(*inner))
+    rows = rows.select(*("packed" if c == "text" else c for c in inner), "spans")
+
+    def run(batches: Iterator) -> Iterator:
+        at, kinds = names.index("text"), to_arrow_schema(schema)
+        for b in batches:
+            texts, sizes = [], []
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                spans = part.column(b.num_columns - 1).to_pylist()
+                found = [_cut(r, s) for r, s in zip(part.column(at).to_pylist(), spans, strict=True)]
+                old = part.column(counted).to_pylist() if counted >= 0 else [None] * len(found)
+                sizes += [n if s is None else len(t or "") for t, s, n in zip(found, spans, old, strict=True)]
+                texts += [None if s is not None and not t else t for t, s in zip(found, spans, strict=True)]
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, kinds.field(at).type)
+            if counted >= 0:
+                columns[counted] = pa.array(sizes, kinds.field(counted).type)
+            out = pa.RecordBatch.from_arrays(columns, names)
+            gone = pa.compute.and_(b.column(b.num_columns - 1).is_valid(), columns[at].is_null())
+            yield out.filter(pa.compute.invert(gone))
+
+    return rows.mapInArrow(tidied(run), schema)

@@ -79,10 +79,10 @@ def display_path(c: Column, width: int = 58) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """B, KB, MB, GB without decimals, TB with one; null: a question mark."""
-    out = F.format_string("%.1fTB", n / 1024.0**4)
+    """B, KB, MB, GB without decimals, TB with one, halves to even; null: a question mark."""
+    out = F.format_string("%.1fTB", F.bround(n / 1024.0**4, 1))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.0f{unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.bround(n / 1024.0**power).cast("long").cast("string"), F.lit(unit))).otherwise(out)
     return F.when(n.isNull(), F.lit("?")).otherwise(out)
 
 

@@ -208,4 +208,14 @@ ORACLES = {
           || chr(10) || '  edge  [color="#FF00FF" penwidth=2.0];' || tail AS dot FROM t""",
     "dot_repair": """SELECT doc_id, 'A [label="' || lang || ' \\\\n \\"x\\""]; B [label="y"]; C [label="z"];' AS dot FROM documents""",
     "json_repair": """SELECT doc_id, lang || ' \\dot{u} A' AS summary, '{"chunk_summary":"' || lang || ' \\\\dot{u} A","evidence":[]}' AS object FROM documents""",
+    "bundle_reusable": "SELECT doc_id, doc_id % 5 = 0 AND doc_id % 7 <> 0 AS reusable FROM documents",
+    "import_totals": "SELECT sha256(doc_id::VARCHAR) AS paper_hash, 2::BIGINT AS evidence, (doc_id % 4 * 3)::BIGINT AS relations FROM documents WHERE doc_id % 7 <> 0",
+    "papers_with_diagrams": "SELECT sha256(doc_id::VARCHAR) AS paper_hash, ['', '1', '1,2'][doc_id % 3 + 1] AS diagrams FROM documents",
+    "incomplete_papers": f"WITH {STORED} SELECT paper_hash FROM stored WHERE len(sections_completed) < 5",
+    "owned_leases": f"""WITH RECURSIVE {_FOLD}, l AS (SELECT * FROM state WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1)
+        SELECT key, coalesce(active AND holder = 'own' AND (SELECT max(moment) FROM state) + 3600 - renewed < 14400, false) AS owned FROM l""",
+    "display_formats": f"""WITH t AS (SELECT *, 'folder/' || repeat('p', (doc_id % 70)::INT) || '.pdf' AS path, n_chars * 1000 AS n FROM documents)
+        SELECT doc_id, CASE WHEN length(path) > 58 THEN '…' || right(path, 57) ELSE path END AS path,
+          CASE WHEN n < 1024 THEN printf('%.0fB', n::DOUBLE) WHEN n < 1048576 THEN printf('%.0fKB', n / 1024) WHEN n < 1073741824 THEN printf('%.0fMB', n / 1048576) ELSE printf('%.0fGB', n / 1073741824) END AS bytes,
+          CASE WHEN source = 'src1' THEN 'coder' ELSE '{MODEL_TIERS["default"]}' END AS code_model, 'Write logic of ' || lang || ': logic.' AS prompt FROM t""",
 }

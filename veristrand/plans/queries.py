@@ -449,3 +449,66 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", generated.json_object("raw", MAP_ANSWER)["chunk_summary"].alias("summary"), generated.first_json_object("raw").alias("object"))
 
 
+
+
+# Bundles, lookups, remaining formats
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle for each document: by doc_id % 5 sound, of another version, model, kind, or with an unknown id at its root."""
+    from ..schemas import BUNDLE
+
+    r = F.col("doc_id") % 5
+    fact = lambda i: F.struct(F.lit(f"C001-E00{i}").alias("evidence_id"), F.lit(1).alias("chunk_index"), F.when(r == 3, "guess").otherwise("method").alias("kind"), F.lit("s").alias("statement"), F.lit("q").alias("support"), F.lit(1).alias("page"))
+    chunk = F.struct(F.lit(1).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("x").alias("summary"), F.array(fact(1), fact(2)).alias("evidence"), F.lit(0).alias("rejected_items"))
+    one = F.struct(F.array(*map(F.lit, ("C001-E001", "C001-E002", "C001-E003"))).alias("evidence_ids"), F.lit("d").alias("description"))
+    told = F.array_repeat(one, (F.col("doc_id") % 4).cast("int"))
+    root = F.struct(F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("x").alias("summary"), F.array(F.when(r == 4, "C009-E001").otherwise("C001-E002")).alias("selected_evidence_ids"), told.alias("relationships"))
+    bundle = F.struct(F.when(r == 1, 2).otherwise(1).alias("schema_version"), F.col("paper_hash"), F.when(r == 2, "other").otherwise("m").alias("model"), F.lit(1).alias("physical_page_count"), F.array(chunk).alias("chunks"), root.alias("root"), F.lit(0).alias("reduction_levels"))
+    corpus = F.when(F.col("doc_id") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(bundle.cast(BUNDLE)))
+    d = frames.read(spark, sf_dir, "documents").select("doc_id", hashed("doc_id").alias("paper_hash"))
+    return d.select("doc_id", "paper_hash", F.lit("m").alias("model_used"), corpus.alias("source_corpus"))
+
+
+@query
+def bundle_reusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.bundles import reusable
+
+    return reusable(_bundles(spark, sf_dir)).select("doc_id", "reusable")
+
+
+@query
+def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.import_totals(graph.parsed(_bundles(spark, sf_dir)))
+
+
+@query
+def papers_with_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _bundles(spark, sf_dir)
+    drawn = p.where("doc_id % 3 > 0").select("paper_hash", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))).alias("idx"), F.lit("t").alias("title"), F.lit("d").alias("dot_src"), F.lit(None).cast("string").alias("svg_content"))
+    return store.with_diagrams(p, drawn).select("paper_hash", F.array_join(F.transform("diagrams", lambda d: d["idx"].cast("string")), ",").alias("diagrams"))
+
+
+@query
+def incomplete_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.stored(spark, sf_dir).where(~store.is_complete(F.col("sections_completed"))).select("paper_hash")
+
+
+@query
+def owned_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leases that their last claimant still holds an hour after the log's end."""
+    log = leases.replay(frames.lease_events(spark, sf_dir))
+    now = log.agg(F.max("ts")).first()[0] or 0.0
+    last = log.groupBy("key").agg(F.max_by(F.struct("holder", "now_generation", "renewed_at", "active"), F.struct("ts", "event_id")).alias("s"))
+    rows = last.select("key", F.col("s.holder").alias("owner_id"), F.col("s.now_generation").alias("generation"), F.col("s.renewed_at").alias("renewed_at"), F.col("s.active").alias("active"))
+    return rows.select("key", F.coalesce(leases.is_current(F.lit("own"), F.col("generation"), F.lit(now + 3600)), F.lit(False)).alias("owned"))
+
+
+@query
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("folder/"), F.repeat(F.lit("p"), (F.col("doc_id") % 70).cast("int")), F.lit(".pdf"))
+    n = F.col("n_chars") * 1000
+    d = frames.read(spark, sf_dir, "documents")
+    code = F.coalesce(F.when(F.col("source") == "src1", "coder"), text.select_model(F.lit(1)))
+    prompt = text.template("Write {section} of {lang}: {section}.", section=F.lit("logic"), lang=F.col("lang"))
+    return d.select("doc_id", text.display_path(path).alias("path"), text.bytes_text(n).alias("bytes"), code.alias("code_model"), prompt.alias("prompt"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import IDENTITY_SCHEME, PAPER_STATUSES, SCHEMA_VERSION
+from ..session import cut_lineage
 from .store import is_complete, latest, missing_sections
 
 
@@ -58,12 +59,18 @@ def status_histogram(results: DataFrame) -> DataFrame:
 
 
 def tier_order(papers: DataFrame) -> DataFrame:
-    """papers (model, path) with ``ord`` (from 1): models together, so that each is loaded once."""
-    from pyspark.sql import Window
+    """papers (model, path) with ``ord`` (from 1): models together, so that each is loaded once.
 
-    return papers.withColumn("ord", F.row_number().over(Window.orderBy("model", "path")))
+    Ranks within ranges of the order, then adds the ranges' running totals: no task sorts
+    the whole.
+    """
+    ranged = cut_lineage(by_model(papers).withColumn("__part", F.spark_partition_id()))
+    run = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("model", "path"))
+    return ranged.join(before, "__part").withColumn("ord", F.col("__before") + nth).drop("__part", "__before")
 
 
 def by_model(papers: DataFrame) -> DataFrame:
     """papers dealt out by model, sorted within, for a generator that holds one model at a time."""
-    return papers.repartitionByRange("model").sortWithinPartitions("model", "path")
+    return papers.repartitionByRange("model", "path").sortWithinPartitions("model", "path")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import CONTEXT_CAPS, OVERLAP, SECTIONS, SUMMARY_CHARS, WINDOW
 from ..functions import generated, text
 from ..operators import bundles, chunks, context, evidence, store, synthesis
-from ..schemas import MAP_ANSWER, REDUCE_ANSWER
+from ..schemas import BUNDLE, MAP_ANSWER, REDUCE_ANSWER
 from ..session import cut_lineage
 from ..sources.generator import Generator, generate, map_prompt
 
@@ -125,3 +125,14 @@ def corpora(found: Evidence, papers: DataFrame) -> DataFrame:
     """paper_hash, source_corpus: bundles for the papers table."""
     b = bundles.build(papers.select("paper", "paper_hash", "model", "page_count"), found.chunks, found.items, found.roots, found.relations)
     return b.join(papers.select("paper", "paper_hash"), "paper").select("paper_hash", "source_corpus")
+
+
+def load(papers: DataFrame) -> Evidence:
+    """Evidence out of stored bundles: papers (paper, source_corpus, ...)."""
+    b = cut_lineage(papers.withColumn("b", F.from_json("source_corpus", BUNDLE)).where("b is not null").select("paper", "b"))
+    c = b.select("paper", F.explode("b.chunks").alias("c"))
+    about = c.select("paper", "c.chunk_index", "c.page_start", "c.page_end", "c.summary", "c.rejected_items")
+    items = c.select("paper", F.posexplode("c.evidence").alias("ord", "e")).select("paper", "ord", "e.*")
+    roots = b.select("paper", "b.root.page_start", "b.root.page_end", F.col("b.root.selected_evidence_ids").alias("ids"), F.col("b.reduction_levels").alias("levels"), "b.root.summary")
+    relations = b.select("paper", F.posexplode("b.root.relationships").alias("nth", "r")).select("paper", "nth", F.col("r.evidence_ids").alias("ids"), "r.description")
+    return Evidence(about, items, roots, relations, b.select("paper", F.lit("").alias("error")).where("false"))

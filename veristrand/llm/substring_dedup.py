@@ -48,7 +48,7 @@ class _Hashes(dict):
     """64-bit digests of words; cleared when it grows beyond its bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 300_000:
             self.clear()
         x = self[w] = xxhash.xxh64_intdigest(w, 1)
         return x
@@ -199,6 +199,8 @@ def _windows(rows: DataFrame) -> DataFrame:
         n = 0
         for pdf in batches:
             for d, packed, spans in zip(pdf["doc_id"].tolist(), pdf["packed"], pdf["spans"], strict=True):
+                if spans is None or not len(spans):
+                    continue
                 t = Text(_unpack(packed).split(), cache)
                 s, m = _valid(t, spans)
                 if len(s):

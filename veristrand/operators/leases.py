@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,23 +59,40 @@ def fold(events: Iterable[tuple], stale: float, lease: Lease | None = None) -> I
         yield accepted, reclaimed, lease.owner, lease.generation, lease.renewed_at, lease.active
 
 
+_STATE = ["accepted", "reclaimed", "holder", "now_generation", "renewed_at", "active"]
+
+
 def replay(events: DataFrame, stale: float = LEASE_STALE_S) -> DataFrame:
-    """events with accepted, reclaimed and the state after each."""
+    """events with accepted, reclaimed and the state after each; rows with a null key take no part.
+
+    A key's events pass in order with its lease at hand, so a task holds one batch of events
+    and one lease, however many events a key has.
+    """
     if stale <= 0:
         raise ValueError("a lease needs a positive time to live")
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["ts", "event_id"])
-        gens = [None if pd.isna(g) else int(g) for g in pdf["generation"]]
-        rows = list(fold(zip(pdf["kind"], pdf["owner"], gens, pdf["ts"], strict=True), stale))
-        state = pd.DataFrame(rows, columns=["accepted", "reclaimed", "holder", "now_generation", "renewed_at", "active"], index=pdf.index)
-        return pd.concat([pdf[["key", "event_id", "ts", "kind", "owner"]], state], axis=1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, lease = None, Lease()
+        for pdf in batches:
+            out: list[tuple] = []
+            keys = pdf["key"].tolist()
+            gens = [None if pd.isna(g) else int(g) for g in pdf["generation"]]
+            rows = list(zip(pdf["kind"], pdf["owner"], gens, pdf["ts"], strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != current:
+                    current, lease = keys[at], Lease()
+                out += fold(rows[at:end], stale, lease)
+                at = end
+            yield pd.concat([pdf[["key", "event_id", "ts", "kind", "owner"]], pd.DataFrame(out, columns=_STATE, index=pdf.index)], axis=1)
 
     kind = events.schema["key"].dataType.simpleString()
     schema = f"key {kind}, event_id long, ts double, kind string, owner string, accepted boolean, reclaimed boolean, holder string, now_generation long, renewed_at double, active boolean"
-    return events.select("key", "event_id", "ts", "kind", "owner", F.col("generation").cast("long").alias("generation")).groupBy("key").applyInPandas(run, schema)
+    rows = events.where("key is not null").select("key", "event_id", "ts", "kind", "owner", F.col("generation").cast("long").alias("generation"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, schema)
 
 
 def generations(events: DataFrame, stale: float = LEASE_STALE_S) -> DataFrame:

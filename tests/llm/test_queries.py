@@ -1,11 +1,16 @@
 """The registered queries: DuckDB twins where they exist, and the pipeline against its stages."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
+from test_simhash import plain_components, plain_fingerprint
+from test_substring_dedup import brute
 
 import corpus_pipeline
-from veristrand.llm import queries
+from veristrand.llm import mixing, queries, toxicity
+from veristrand.llm.common import words_of
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -27,13 +32,33 @@ def test_registered():
 
 
 def test_pipeline(spark, sf_dir):
+    """Stage by stage against plain restatements of what each keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows, kept = docs, [docs.count()]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, kept = docs, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, sf_dir)
+        rows = spark.createDataFrame(stage(spark, rows, sf_dir).toPandas(), docs.schema)
         assert rows.columns == docs.columns
-        kept.append(rows.count())
-    assert kept[0] > kept[1] > kept[2] >= kept[3] > 0
-    out = corpus_pipeline.run(spark, sf_dir)
-    sizes = out.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
-    assert sizes.max() == 2048 and set(r[0] for r in out.select("doc_id").distinct().collect()) <= {r[0] for r in docs.select("doc_id").collect()}
+        kept.append([(r["doc_id"], r["text"]) for r in rows.collect()])
+    toxic = {r["doc_id"] for r in toxicity.toxicity_report(docs, labels).collect() if r["predicted"]}
+    clean = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in toxic]
+    assert sorted(kept[0]) == sorted(clean)
+
+    ids, fps = [i for i, _ in clean], [plain_fingerprint(t) for _, t in clean]
+    group = plain_components(ids, fps)
+    single = [(i, t) for (i, t), f in zip(clean, fps, strict=True) if group[i, f] == i]
+    assert sorted(kept[1]) == sorted(single)
+
+    left = {i: (n - gone, sha) for i, n, gone, sha in brute(single)}
+    assert {i: (len(words_of(t)), hashlib.sha256(b" ".join(words_of(t))).hexdigest()) for i, t in kept[2]} == {i: x for i, x in left.items() if x[0]}
+
+    taken: dict = {}
+    for i, t in kept[3]:
+        taken.setdefault(i, []).append(len(words_of(t)))
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    cut = spark.createDataFrame([(i, t, "en", source[i], 0) for i, t in kept[2]], docs.schema)
+    assert {i: sum(n) for i, n in taken.items()} == {r["doc_id"]: r["taken"] for r in mixing.mix_report(cut).collect() if r["taken"]}
+
+    out = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert out.groupby("sequence_id")["length"].sum().max() == 2048
+    assert out[out["start"] == 0].groupby("doc_id").size().to_dict() == {i: len(n) for i, n in taken.items()}

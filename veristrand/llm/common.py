@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if at is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="veristrand-"))
         at = sc.getCheckpointDir()

@@ -27,7 +27,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir", None)
-        if at is None and not sc.master.startswith("local"):
+        if at is None and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="veristrand-"))
     return df.checkpoint()

@@ -32,18 +32,16 @@ def chunk_bounds(frags: DataFrame, window: int = WINDOW, overlap: int = OVERLAP,
     are folded in order; texts stay out of it.
     """
     check_windows(window, overlap, char_cap)
-    sizes = frags.select("paper", "pos", F.length("text").cast("int").alias("n"))
+    size = F.struct("pos", F.length("text").cast("int").alias("n"))
+    sizes = frags.groupBy("paper").agg(F.transform(F.sort_array(F.collect_list(size)), lambda x: x["n"]).alias("sizes"))
 
-    def fold(keys, pdf):
-        n = pdf.sort_values("pos")["n"].tolist()
-        found = list(windows(n, window, overlap, char_cap))
-        out = pd.DataFrame(found, columns=["first", "last"])
-        out.insert(0, "chunk_index", range(1, len(out) + 1))
-        out.insert(0, "paper", keys[0])
-        return out
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, i, *w) for p, n in zip(pdf["paper"], pdf["sizes"], strict=True) for i, w in enumerate(windows(n.tolist(), window, overlap, char_cap), 1)]
+            yield pd.DataFrame(rows, columns=["paper", "chunk_index", "first", "last"])
 
     kind = frags.schema["paper"].dataType.simpleString()
-    return sizes.groupBy("paper").applyInPandas(fold, f"paper {kind}, chunk_index int, first int, last int")
+    return sizes.mapInPandas(fold, f"paper {kind}, chunk_index int, first int, last int")
 
 
 def windows(sizes: list[int], window: int = WINDOW, overlap: int = OVERLAP, char_cap: int = CHAR_CAP) -> Iterator[tuple[int, int]]:

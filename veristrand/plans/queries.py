@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import PAPER_STATUSES
 from ..functions import generated, text
 from ..operators import chunks, evidence, graph, leases, pages, reports, store, synthesis
+from ..session import cut_lineage
 from ..sources.generator import stream_answer as read_stream
 from . import frames
 from .oracles import ORACLES
@@ -189,7 +190,7 @@ def reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = frames.items(spark, sf_dir)
+    items = cut_lineage(frames.items(spark, sf_dir))  # read by every level and by the contexts
     ids = F.transform(F.sort_array(F.collect_list(F.struct("ord", "evidence_id"))), lambda x: x["evidence_id"])
     own = items.groupBy("paper", "chunk_index").agg(ids.alias("ids"))
     c = _chunk_pages(spark, sf_dir).join(own, ["paper", "chunk_index"], "left")
@@ -231,7 +232,7 @@ def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import contexts
 
     leaves, items = _leaves(spark, sf_dir)
-    root = synthesis.reduce_all(leaves, items, F.slice("available", 1, 4))
+    root = cut_lineage(synthesis.reduce_all(leaves, items, F.slice("available", 1, 4)))
     n = frames.papers(spark, sf_dir).select("paper", F.size(F.split("text", "\n")).alias("page_count"))
     summary = F.concat(F.lit("pages "), "page_start", F.lit(" to "), "page_end")
     told = synthesis.valid_relationships(frames.relations(items))

@@ -202,7 +202,11 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Between rows of one doc_id the text digest decides; of repeated rows one stays. Rows
     with a null doc_id stay as they are: they can't name a group.
     """
-    marked, of = _grouped(docs, radius)
+    return keep_first(docs, *_grouped(docs, radius))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of docs that ``simhash_dedup`` keeps, of marked (doc_id, th, fp) and of (fp, root)."""
     first = marked.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     keep = first.join(of, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
     mine = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})

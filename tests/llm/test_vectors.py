@@ -101,3 +101,16 @@ def test_links_of_small_tables(spark):
     assert [tuple(x) for x in embedding_dedup.near_embeddings(table(spark, [(4, [1.0] * 8, 1)])).collect()] == [(4, 0, 4, True)]
     twice = embedding_dedup.near_embeddings(table(spark, [(4, [1.0] * 8, 1), (4, [1.0] * 8, 1)])).collect()
     assert [tuple(x) for x in twice] == [(4, 1, 4, True)] * 2
+
+
+def test_links_inside_a_dense_group(spark, monkeypatch):
+    """No split runs inside a large group of distinct near copies."""
+    monkeypatch.setattr(embedding_dedup, "LEAF_TARGET", 64)
+    r = np.random.default_rng(6)
+    centre = r.standard_normal(32)
+    spread = np.linalg.norm(centre) * 0.24 / np.sqrt(32)
+    rows = [(i, r.standard_normal(32), 0) for i in range(1600)] + [(5000 + i, centre + r.standard_normal(32) * spread, 0) for i in range(800)]
+    got = sorted(tuple(x) for x in embedding_dedup.near_embeddings(table(spark, rows)).collect())
+    want = brute_links(rows)
+    assert sum(w[1] for w in want) > 300_000
+    assert got == want

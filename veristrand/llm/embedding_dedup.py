@@ -5,6 +5,11 @@ with its number of copies. Each tree splits recursively on random directions at
 of a bounded sample; rows near a split go both ways (spill). Classes are compared within
 leaves of equal label only, and every pair is verified in double precision.
 
+Dense groups of distinct vectors are peeled off before the trees, so that no split runs
+inside them: around a sampled vector with ``DENSE`` sampled ones within the radius, all rows
+within twice the radius form a leaf, and rows beyond the radius go on. No link is lost there:
+an end within the radius has the other within twice of it.
+
 Leaves may be of any size: one above ``LEAF_ROWS`` is dealt out as pairs of its chunks, so
 a task holds two chunks at most and no leaf is truncated. A pair that shares several leaves
 is counted in the first of them only. A leaf's task returns a row for each class, with its
@@ -30,6 +35,8 @@ TREES = 6
 SPILL = 0.12
 #: Rows of a label that a leaf should hold.
 LEAF_TARGET = 512
+#: Sampled rows within the radius of one, itself included, that make a dense group.
+DENSE = 4
 #: Rows above which a leaf is dealt out in chunks.
 LEAF_ROWS = 4096
 _BLOCK = 1024
@@ -71,6 +78,39 @@ def build_tree(u: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> Tr
     return Tree(dirs, low, high, depth)
 
 
+def dense_pivots(u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sample rows around which dense groups are peeled off, in turn, and the rows that remain."""
+    left = np.ones(len(u), dtype=bool)
+    if threshold <= 0:  # twice the radius would be everything
+        return u[:0], u
+    close = u @ u.T >= threshold
+    count, pivots = close.sum(axis=1), []
+    while len(u):
+        i = int(np.argmax(np.where(left, count, 0)))
+        if not left[i] or count[i] < DENSE:
+            break
+        gone = left & close[i]
+        gone[i] = True
+        pivots.append(i)
+        left &= ~gone
+        count = count - close[:, gone].sum(axis=1)
+    return u[pivots], u[left]
+
+
+def peel(u: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot) for each dense leaf that a row of u falls into, and the rows that remain."""
+    rest, rows, at = np.arange(len(u)), [], []
+    p = u @ pivots.T
+    outer = 2 * threshold * threshold - 1  # the cosine of twice the angle
+    for k in range(len(pivots)):
+        q = p[rest, k]
+        mine = rest[q >= outer - 1e-9]
+        rows.append(mine)
+        at.append(np.full(len(mine), k))
+        rest = rest[q < threshold + 1e-9]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *rows]), np.concatenate([np.zeros(0, dtype=np.int64), *at]), rest
+
+
 def near_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept.
 
@@ -102,13 +142,12 @@ def _leaf_links(classes: DataFrame, threshold: float, trees: int, scratch: Scrat
     """(cid, links, low) rows whose sums of links and union of (cid, low) are the whole."""
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     fits = sample(classes, F.col("cid"))
-    depth = max(0, math.ceil(math.log2(max(1, largest) / LEAF_TARGET)))
-    depth = min(depth, 12)
     forests = {}
     for d, x in fits.items():
-        u = x / np.linalg.norm(x, axis=1)[:, None]
-        at = min(depth, int(math.log2(max(1, len(u) / 8))))
-        forests[d] = [build_tree(u, at, seed) for seed in range(trees)]
+        pivots, u = dense_pivots(x / np.linalg.norm(x, axis=1)[:, None], threshold)
+        depth = max(0, math.ceil(math.log2(max(1, largest * len(u) / len(x)) / LEAF_TARGET)))
+        at = min(depth, 12, int(math.log2(max(1, len(u) / 8))))
+        forests[d] = pivots, [build_tree(u, at, seed) for seed in range(trees)]
 
     def assign(batches):
         import pandas as pd
@@ -124,9 +163,13 @@ def _leaf_links(classes: DataFrame, threshold: float, trees: int, scratch: Scrat
                     continue
                 x = matrix(pdf["v"].iloc[at])
                 u = x / np.linalg.norm(x, axis=1)[:, None]
-                for t, tree in enumerate(forests[d]):
-                    for r, leaf in zip(*(a.tolist() for a in tree.leaves(u)), strict=True):
-                        codes[at[r]].append(t << 32 | leaf)
+                pivots, forest = forests[d]
+                rows, ball, rest = peel(u, pivots, threshold)
+                for r, k in zip(rows.tolist(), ball.tolist(), strict=True):
+                    codes[at[r]].append(k)
+                for t, tree in enumerate(forest, 1):
+                    for r, leaf in zip(*(a.tolist() for a in tree.leaves(u[rest])), strict=True):
+                        codes[at[rest[r]]].append(t << 32 | leaf)
             yield pd.DataFrame({"cid": pdf["cid"], "label": pdf["label"], "v": pdf["v"], "copies": pdf["copies"], "dim": dims.astype(np.int32), "leaves": codes})
 
     label = classes.schema["label"].dataType.simpleString()

@@ -62,9 +62,65 @@ def test_filter_keeps_columns_and_clean_rows(corpus):
     assert kept.select("score").first()[0] == 7
 
 
-def test_repetition_is_no_evidence():
-    m = toxicity.Model({"vile": 3.0}, 0.1, 2.0)
-    assert m.score("vile " * 1000) == m.score("vile") > 0.5 > m.score("kind words") > m.score("") - 1e-9
+def plain_models(shared, rows):
+    """Kneser-Ney as the module states it, over tokens of all texts and of (tokens, toxic) rows: evidence of words and of pairs."""
+    import math
+    from collections import Counter
+
+    def less(n, d):
+        return max(0.0, n - d[min(n, 3) - 1]) if n else 0.0
+
+    s = Counter(w for text in shared for w in set(text))
+    n = Counter(min(c, 5) for c in s.values())
+    n1, n2, n3, n4 = (max(1, n[i]) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    d = [min(max(x, 0.5), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+    every = sum(s.values())
+    floor = (1 - sum(less(c, d) for c in s.values()) / every) / (len(s) + 1)
+    big = (1.0, 2.0, 2.9)
+    pair = [Counter(p for w, toxic in rows if toxic == c for p in set(zip(["", *w], w, strict=False))) for c in (1, 0)]
+    word = [Counter(w for _, w in p) for p in pair]
+    left = [sum(less(c, big) for c in k.values()) for k in word]
+    lam = max(1 - x / sum(k.values()) for x, k in zip(left, word, strict=True))
+    p1 = lambda c, w: (1 - lam) * less(word[c][w], big) / left[c] + lam * (less(s[w], d) / every + floor)
+    words = {w: math.log(p1(0, w) / p1(1, w)) for w in {*word[0], *word[1]} if any(less(k[w], big) for k in word)}
+    pairs = {}
+    for v in {v for p in pair for v, _ in p if v}:
+        own = [{w: n for (b, w), n in p.items() if b == v} for p in pair]
+        kept = [sum(less(n, big) for n in k.values()) for k in own]
+        if not all(kept):
+            continue
+        back = max(1 - x / sum(k.values()) for x, k in zip(kept, own, strict=True))
+        p2 = lambda c, w, own=own, kept=kept, back=back: (1 - back) * less(own[c].get(w, 0), big) / kept[c] + back * p1(c, w)
+        pairs |= {f"{v} {w}": math.log(p2(0, w) / p2(1, w)) for w in {*own[0], *own[1]} if any(less(k.get(w, 0), big) for k in own)}
+    return words, pairs
+
+
+def test_evidence_against_plain_models(corpus):
+    docs, labels, truth = corpus
+    model = toxicity.learn(docs, labels)
+    texts = {r["doc_id"]: toxicity.tokens(r["text"]) for r in docs.dropDuplicates(["doc_id", "text"]).where("doc_id < 5000").collect()}
+    every = [toxicity.tokens(r["text"]) for r in docs.collect() if r["text"] is not None]
+    fit = [(texts[i], int(bad)) for i, bad in truth.items() if zlib.crc32(str(i).encode()) % 5 > 1]
+    fit += [(texts[5], 0)] if zlib.crc32(b"5") % 5 > 1 else []  # a repeated row
+    words, pairs = plain_models(every, fit)
+    assert model.words == pytest.approx(words) and model.pairs == pytest.approx(pairs)
+    assert set(MEAN) <= set(words) and min(words[m] for m in MEAN) > 1 and min(words.values()) < 0  # ordinary evidence stays
+
+
+def test_features_are_normalised_by_length():
+    m = toxicity.Model({"vile": 3.0, "kind": -1.0}, {"so vile": 5.0})
+    one, four, sixteen, whole, *pair, length = m.features("so vile and kind")
+    assert (one, four, sixteen, whole) == (3.0, 0.5, 0.125, 0.125) and pair[0] == 5.0 and pair[3] == 0.25 and length > 0
+    assert m.features("vile " * 1000)[:4] == [3.0] * 4
+    assert m.features(None) == m.features(" 	") == [0.0] * 9
+    assert m.score("vile " * 1000) >= m.score("vile") > 0.5 > m.score("kind words") >= m.score("") - 1e-9
+
+
+def test_scores_are_spread(corpus):
+    docs, labels, truth = corpus
+    scores = {r["score"] for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert len(scores) > 0.8 * len(truth)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0, 0)], [(1, 1, 1, 0)]])

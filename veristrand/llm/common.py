@@ -56,7 +56,14 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        self._delete(df.scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables, once what was learned of them is in the driver."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -45,3 +45,45 @@ def test_narrow_margin_is_rejected():
 def test_small_tables(docs_of, rows):
     got = [r["lang_pred"] for r in language_id.language_report(docs_of(rows)).collect()]
     assert got == (["aa"] * 3 if len(rows) == 3 else ["und"] * len(rows))
+
+
+def test_plain_restatement():
+    """The classifier against one compression by a plain dictionary for each language."""
+    import zstandard
+
+    held = {k: " ".join(speak(k, 50, i) for i in range(60)).lower().replace(".", "").encode() for k in SOUNDS}
+    c = language_id.Classifier(held)
+
+    def sizes(text):
+        raw, out = language_id.plain(text), {}
+        for k, d in held.items():
+            of = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            out[k] = len(of.compress(raw))
+        return out
+
+    wide = 0
+    for seed in range(60):
+        text = speak(list(SOUNDS)[seed % 3], 2 + seed, 1000 + seed)
+        one, two = sorted(sizes(text).values())[:2]
+        if (two - one) / two >= language_id.QUICK_MARGIN:  # else the thorough setting decides
+            wide += 1
+            assert c(text)[0] == min(sizes(text), key=lambda k: (sizes(text)[k], k))
+    assert wide >= 20
+
+
+def test_every_language_is_learned(docs_of):
+    r = random.Random(70)
+    sounds = {f"l{n:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 6))) for _ in range(12)] for n in range(70)}
+    rows = []
+    for n, (lang, words) in enumerate(sounds.items()):
+        for i in range(12):
+            rows.append((n * 100 + i, " ".join(r.choice(words) for _ in range(40)), lang))
+    got = language_id.language_report(docs_of(rows)).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert {x["lang_pred"] for x in got} == set(sounds)
+    assert sum(x["lang_pred"] == truth[x["doc_id"]] for x in got) >= 0.97 * len(rows)
+
+
+@pytest.mark.parametrize("text", ["\u00b2", "\u00bd \u2460 12", "\u2167 _ !"])
+def test_numerals_are_no_letters(text):
+    assert language_id.plain(text) == b"" and language_id.Classifier({"aa": b"ba ro", "bb": b"lon"})(text)[0] == "und"

@@ -1,16 +1,20 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, made of excerpts of a bounded sample
-of its texts. A text is put into plain words and compressed under each dictionary; the
-smallest result names the language. A quick setting decides where the margin is wide; a
-narrow margin is rejected there and settled by a thorough one. What stays narrow is marked
-as not confident.
+Every language has a raw-content zstandard dictionary, made of excerpts of a bounded sample
+of its texts: of about ``SAMPLE`` documents a stretch of ``EXCERPT`` bytes each, from a place
+that a hash chooses, up to ``DICTIONARY`` bytes. With many languages all dictionaries shrink
+so that together they stay within ``BUDGET``; none is left out. A whole text is put into
+plain words and compressed under each dictionary; the smallest result names the language. A
+quick setting decides where the margin is wide; a narrow margin is rejected there and settled
+by a thorough one. What stays narrow is marked as not confident.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,13 +29,15 @@ from .folds import fold, held_out, sampled
 
 #: Bytes of a dictionary; documents of a language and bytes of each that make it, at most.
 DICTIONARY, SAMPLE, EXCERPT = 256_000, 800, 1_000
-#: Languages at most, the most frequent ones.
-LANGUAGES = 64
+#: Bytes of all dictionaries together, about.
+BUDGET = 32_000_000
 #: Relative margin under which the quick result is rejected, and under which none is confident.
 QUICK_MARGIN, MARGIN = 0.05, 0.01
 PIECE = 1 << 15
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are no letters: numerals such as a superscript two or a half.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def plain(text: str | None) -> bytes:
@@ -48,24 +54,31 @@ def _excerpt(text: bytes, at: int) -> bytes:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """language -> dictionary, from rows outside fold 0 with a language. Driver memory is bounded
-    by LANGUAGES x SAMPLE x EXCERPT bytes."""
+    """language -> dictionary, of every language of rows outside fold 0; driver memory is bounded
+    by BUDGET and one word of overlap a language."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() != 0)
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = sampled(known.where(F.col("lang").isin(langs)).select("doc_id", "lang").distinct(), "lang", SAMPLE)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # LANGUAGES x SAMPLE ids at most
+    ids = sampled(known.select("doc_id", "lang").distinct(), "lang", SAMPLE)
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # about SAMPLE ids a language
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
             cut = [_excerpt(plain(t), h & 0x7FFFFFFF) for t, h in zip(pdf["text"], pdf["h"], strict=True)]
             yield pd.DataFrame({"lang": pdf["lang"], "h": pdf["h"], "cut": cut})
 
-    found = rows.select("lang", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "lang string, h long, cut binary").orderBy("lang", "h", "cut").limit(LANGUAGES * SAMPLE).collect()
-    out: dict[str, bytes] = {lang: b"" for lang in sorted(langs)}
-    for r in found:
-        if len(out[r["lang"]]) < DICTIONARY and bytes(r["cut"]) not in out[r["lang"]]:
-            out[r["lang"]] += bytes(r["cut"]) + b" "
-    return {k: v[-DICTIONARY:] for k, v in out.items()}
+    cuts = rows.select("lang", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "lang string, h long, cut binary")
+    langs = ids.select("lang").distinct().count()
+    room = min(DICTIONARY, max(1, BUDGET // max(1, langs)))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, size = {}, 0
+        for cut in map(bytes, pdf.sort_values(["h", "cut"])["cut"]):
+            if size >= room:
+                break
+            if cut not in held:
+                held[cut], size = None, size + len(cut) + 1
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "raw": [b"".join(c + b" " for c in held)[-room:]]})
+
+    return {r["lang"]: bytes(r["raw"]) for r in cuts.groupBy("lang").applyInPandas(fill, "lang string, raw binary").collect()}
 
 
 @dataclass
@@ -114,8 +127,10 @@ def language_report(docs: DataFrame, reject: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, confident for each row of docs.
 
     lang_pred: a learned language; ``und`` if the text is null or has no letter, and, with
-    reject, where the margin stays narrow. score: 0 to 1, the chosen language's share.
-    Repeated rows each give a row. Columns other than doc_id, text and lang are ignored.
+    reject, where the margin stays narrow. Of equal sizes the first language by code point is
+    chosen. score: 0 to 1, the chosen language's share. Without a learned language everything is
+    ``und``. Very long texts are compressed whole, in pieces. Repeated rows each give a row; an
+    empty table gives none. Columns other than doc_id, text and lang are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(learn(docs))
 

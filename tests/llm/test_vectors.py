@@ -53,6 +53,38 @@ def test_search_needs_no_other_rows(spark):
     assert ann_forest.nearest(table(spark, [(100, [1.0] * 8, 0)]), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def clustered(n, dim=16, groups=200, seed=5):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((groups, dim))
+    return [(i, centres[r.integers(groups)] + 0.35 * r.standard_normal(dim), 0) for i in range(n)]
+
+
+def recall(spark, rows, **how):
+    got = {}
+    for x in ann_forest.nearest(table(spark, rows), F.col("vec_id") % 100 == 0, **how).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    want = brute_search(rows)
+    return np.mean([len({j for _, j in near} & got[q]) / len(near) for q, near in want.items()])
+
+
+def test_recall_with_a_small_share(spark, monkeypatch):
+    """A forest that meets 4 % of the rows finds 0.9 of the neighbours in clustered vectors; the share is measured."""
+    rows = clustered(10_000)
+    monkeypatch.setattr(ann_forest, "LEAST", 16)
+    share = 0.04
+    assert recall(spark, rows, share=share) >= 0.9
+    x = np.stack([v for _, v, _ in rows])
+    forest = ann_forest.Forest(x, ann_forest.Hashes(x[:2048], ann_forest.TREES, ann_forest.BITS))
+    met = [len(m) / len(x) for m in forest.candidates(x[::100], int(share * len(x)))]
+    assert share <= np.mean(met) <= 2.5 * share
+
+
+def test_recall_above_the_exhaustive_size(spark):
+    """With the production settings, over four times the rows below which everything is met."""
+    rows = clustered(4 * ann_forest.LEAST, dim=12, seed=6)
+    assert recall(spark, rows) >= 0.9
+
+
 def test_forest_takes_whole_ranges():
     r = np.random.default_rng(2)
     x = np.repeat(r.standard_normal((40, 8)), 5, axis=0)
@@ -114,3 +146,29 @@ def test_links_inside_a_dense_group(spark, monkeypatch):
     want = brute_links(rows)
     assert sum(w[1] for w in want) > 300_000
     assert got == want
+
+
+def test_deep_trees(spark, monkeypatch):
+    """Depth follows a label's size over several rounds, and leaves stay small."""
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 24)
+    monkeypatch.setattr(embedding_dedup, "LEAF_TARGET", 8)
+    monkeypatch.setattr(embedding_dedup, "FIT", 256)
+    r = np.random.default_rng(9)
+    rows = [(i, r.standard_normal(32), 0) for i in range(6000)]
+    rows += [(10_000 + i, rows[i][1] + r.standard_normal(32) * 0.15, 0) for i in range(0, 1500, 3)]
+    rows += [(20_000 + i, r.standard_normal(32), 1) for i in range(20)]  # a label of one leaf
+    rows_, fits = table(spark, rows), []
+    built = embedding_dedup._leaves
+
+    def watched(*a):
+        out = built(*a)
+        fits.append(out.groupBy("leaf").count().agg(F.max("count"), F.count("leaf")).first())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "_leaves", watched)
+    got = sorted(tuple(x) for x in embedding_dedup.near_embeddings(rows_).collect())
+    want = brute_links(rows)
+    links = sum(w[1] for w in want)
+    assert links >= 900 and sum(g[1] for g in got) >= 0.9 * links
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert fits[0][0] <= 24 * 2 and fits[0][1] > 6 * 2**8  # more leaves a tree than eight levels have

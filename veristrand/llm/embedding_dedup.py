@@ -1,16 +1,19 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Equal vectors of one label are united first; what follows sees one row for each class,
-with its number of copies. Each tree splits recursively on random directions at medians
-of a bounded sample; rows near a split go both ways (spill). Classes are compared within
-leaves of equal label only, and every pair is verified in double precision.
-
-Dense groups of distinct vectors are peeled off before the trees, so that no split runs
-inside them: around a sampled vector with ``DENSE`` sampled ones within the radius, all rows
-within twice the radius form a leaf, and rows beyond the radius go on. No link is lost there:
-an end within the radius has the other within twice of it.
-
-Leaves may be of any size: one above ``LEAF_ROWS`` is dealt out as pairs of its chunks, so
+with its number of copies. A label of more than ``LEAF_ROWS`` classes gets trees of its own.
+They grow in rounds of a few levels: of each node that is still too large a bounded sample,
+taken from all of that node's rows, gives random directions and medians; rows near a split go
+both ways (spill). So depth follows a label's size, whatever it is, and leaves stay small.
+Classes are compared within leaves only, and every pair is verified in double precision.
+
+Dense groups of distinct vectors are peeled off a node before it is split, so that no split
+runs inside them: around a sampled vector with ``DENSE`` sampled ones within the radius, all
+rows within twice the radius form a leaf, and rows beyond the radius go on. No link is lost
+there: an end within the radius has the other within twice of it.
+
+A node that splitting doesn't make smaller (vectors too alike) becomes a leaf as it is. Leaves
+may be of any size: one above ``LEAF_ROWS`` is dealt out as pairs of its chunks, so
 a task holds two chunks at most and no leaf is truncated. A pair that shares several leaves
 is counted in the first of them only. A leaf's task returns a row for each class, with its
 count of links and the smallest class of its group there, never the pairs.
@@ -19,6 +22,7 @@ count of links and the smallest class of its group there, never the pairs.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +31,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, min_labels
 from .components import connected_components
-from .vectors import as_vectors, matrix, sample, usable
+from .vectors import as_vectors, matrix, usable
 
 THRESHOLD = 0.93
 TREES = 6
 #: Share of a node's rows that go both ways.
 SPILL = 0.12
-#: Rows of a label that a leaf should hold.
-LEAF_TARGET = 512
+#: Rows that a leaf should hold, about.
+LEAF_TARGET = 1024
+#: Levels that a node is split at once, rows on which they are fitted, about, and dense groups peeled off at once.
+LEVELS, FIT, PIVOTS = 4, 1024, 16
+#: A child larger than this share of its node is no progress.
+PROGRESS = 0.8
+#: Rows that a task assigns at a time, about.
+CHUNK = 8192
 #: Sampled rows within the radius of one, itself included, that make a dense group.
 DENSE = 4
 #: Rows above which a leaf is dealt out in chunks.
@@ -85,7 +95,7 @@ def dense_pivots(u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarra
         return u[:0], u
     close = u @ u.T >= threshold
     count, pivots = close.sum(axis=1), []
-    while len(u):
+    while len(u) and len(pivots) < PIVOTS:  # others are peeled off a level further down
         i = int(np.argmax(np.where(left, count, 0)))
         if not left[i] or count[i] < DENSE:
             break
@@ -116,8 +126,9 @@ def near_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Links: pairs of equal, non-null label and equal length with cosine >= threshold. Vectors
     that are null, zero or hold null or non-finite components, and rows with a null label,
-    link with nothing (n_links 0, component_id their own id). Repeated rows count as vectors
-    of their own. A class is named by a 64-bit digest of label and vector. Columns other than
+    link with nothing (n_links 0, component_id their own id). A cosine equal to the threshold
+    links. Repeated rows count as vectors of their own; an empty table gives none. Vectors have
+    no text; their length may differ from row to row. A class is named by a 64-bit digest of label and vector. Columns other than
     the three named are ignored.
     """
     spark = df.sparkSession
@@ -138,42 +149,96 @@ def near_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return linked.union(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _leaf_links(classes: DataFrame, threshold: float, trees: int, scratch: Scratch) -> DataFrame:
-    """(cid, links, low) rows whose sums of links and union of (cid, low) are the whole."""
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    fits = sample(classes, F.col("cid"))
-    forests = {}
-    for d, x in fits.items():
-        pivots, u = dense_pivots(x / np.linalg.norm(x, axis=1)[:, None], threshold)
-        depth = max(0, math.ceil(math.log2(max(1, largest * len(u) / len(x)) / LEAF_TARGET)))
-        at = min(depth, 12, int(math.log2(max(1, len(u) / 8))))
-        forests[d] = pivots, [build_tree(u, at, seed) for seed in range(trees)]
-
-    def assign(batches):
-        import pandas as pd
+_RANGE = 1 << 30
+
+
+@dataclass
+class Split:
+    """How a node's rows go on: dense groups, then one subtree (at the root: one for each tree)."""
+
+    pivots: np.ndarray
+    trees: list[Tree]
+
+
+def _seed(*of: int) -> int:
+    return int(np.random.SeedSequence([x % (1 << 63) for x in of]).generate_state(1)[0])
+
 
-        for pdf in batches:
-            codes: list[list[int]] = [[] for _ in range(len(pdf))]
-            dims = pdf["v"].map(len).to_numpy()
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                if d not in forests:  # a length too rare for the sample: one leaf
-                    for i in at:
-                        codes[i].append(0)
-                    continue
-                x = matrix(pdf["v"].iloc[at])
-                u = x / np.linalg.norm(x, axis=1)[:, None]
-                pivots, forest = forests[d]
-                rows, ball, rest = peel(u, pivots, threshold)
-                for r, k in zip(rows.tolist(), ball.tolist(), strict=True):
-                    codes[at[r]].append(k)
-                for t, tree in enumerate(forest, 1):
-                    for r, leaf in zip(*(a.tolist() for a in tree.leaves(u[rest])), strict=True):
-                        codes[at[rest[r]]].append(t << 32 | leaf)
-            yield pd.DataFrame({"cid": pdf["cid"], "label": pdf["label"], "v": pdf["v"], "copies": pdf["copies"], "dim": dims.astype(np.int32), "leaves": codes})
+def fit(u: np.ndarray, node: int, rows: int, threshold: float, trees: int, target: int = LEAF_TARGET) -> Split:
+    """The split of a node of so many rows, of which u is a sample (unit vectors)."""
+    pivots, rest = dense_pivots(u, threshold)
+    wanted = math.ceil(math.log2(max(1.0, rows * len(rest) / max(1, len(u)) / target)))
+    depth = max(0, min(LEVELS, wanted, int(math.log2(max(1.0, len(rest) / 8)))))
+    return Split(pivots, [build_tree(rest, depth, _seed(node, t)) for t in range(trees if node == 0 else 1)])
 
+
+def _leaves(classes: DataFrame, threshold: float, trees: int, scratch: Scratch) -> DataFrame:
+    """cid, leaf: every leaf that a class falls into; leaf codes are unique within label and length."""
     label = classes.schema["label"].dataType.simpleString()
-    placed = scratch.write(classes.mapInPandas(assign, f"cid long, label {label}, v array<double>, copies long, dim int, leaves array<long>"))
+    key, target = ["label", "dim", "node"], LEAF_TARGET
+    state = classes.select("cid", "label", F.size("v").alias("dim"), F.lit(0).cast("long").alias("node"), "v", F.lit(None).cast("long").alias("within"), F.lit(False).alias("ball"))
+    parts: list[DataFrame] = []
+
+    def fitted(pdf):
+        import pandas as pd
+
+        x = matrix(pdf.sort_values("cid", kind="stable")["v"])
+        one = pdf.iloc[:1]
+        split = fit(x / np.linalg.norm(x, axis=1)[:, None], int(one["node"].iloc[0]), int(one["n"].iloc[0]), threshold, trees, target)
+        return pd.DataFrame({"label": one["label"], "dim": one["dim"], "node": one["node"], "n": one["n"], "split": [pickle.dumps(split)]})
+
+    def assign(rows, fits):
+        import pandas as pd
+        import xxhash
+
+        names = ["cid", "label", "dim", "node", "v", "within", "ball"]
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        node = int(rows["node"].iloc[0])
+        if not len(fits):  # no row of the node was sampled: it stays whole
+            return rows.assign(within=np.int64(0), ball=True)[names]
+        split = pickle.loads(fits["split"].iloc[0])
+        x = matrix(rows["v"])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        at, kid, rest = peel(u, split.pivots, threshold)
+        where, code, ball = [at], [2 * kid], [np.ones(len(at), dtype=bool)]
+        for t, tree in enumerate(split.trees):
+            r, leaf = tree.leaves(u[rest])
+            where.append(rest[r])
+            code.append(2 * (t << 32 | leaf) + 1)
+            ball.append(np.zeros(len(r), dtype=bool))
+        where, code = np.concatenate(where), np.concatenate(code)
+        named = {c: np.uint64(xxhash.xxh64_intdigest(f"{node},{c}")).view(np.int64) for c in np.unique(code).tolist()}
+        out = rows.iloc[where].copy()
+        out["node"] = [named[c] for c in code.tolist()]
+        out["within"], out["ball"] = np.int64(fits["n"].iloc[0]), np.concatenate(ball)
+        return out[names]
+
+    while True:
+        sizes = state.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        sized = state.join(sizes, key)
+        shut = F.col("ball") | (F.col("n") <= LEAF_ROWS) | F.coalesce(F.col("n") > PROGRESS * F.col("within"), F.lit(False))
+        parts.append(sized.where(shut).select("cid", F.col("node").alias("leaf")))
+        open_ = scratch.write(sized.where(~shut).select(*key, "cid", "v", "n"))
+        if open_.isEmpty():
+            break
+        near = F.pmod(F.xxhash64("cid", "node", F.lit(13)), F.lit(_RANGE)) < F.ceil(F.lit(FIT) / F.col("n") * _RANGE)
+        fits = scratch.write(open_.where(near).groupBy(*key).applyInPandas(fitted, f"label {label}, dim int, node long, n long, split binary"))
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        dealt = open_.withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(17)), chunks).cast("int"))
+        spread = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        by = [*key, "chunk"]
+        state = scratch.write(dealt.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(assign, f"cid long, label {label}, dim int, node long, v array<double>, within long, ball boolean"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _leaf_links(classes: DataFrame, threshold: float, trees: int, scratch: Scratch) -> DataFrame:
+    """(cid, links, low) rows whose sums of links and union of (cid, low) are the whole."""
+    own = _leaves(classes, threshold, trees, scratch).groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    placed = scratch.write(classes.join(own, "cid").select("cid", "label", "v", "copies", F.size("v").alias("dim"), "leaves"))
     key = ["label", "dim", "leaf"]
     spread = placed.withColumn("leaf", F.explode("leaves"))
     large = spread.groupBy(*key).count().where(F.col("count") > LEAF_ROWS).select(*key, F.ceil(F.col("count") / LEAF_ROWS).cast("int").alias("chunks"))

@@ -55,6 +55,22 @@ def test_mix_takes_what_the_report_says(docs_of, rows):
     assert got == {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect() if r["taken"]}
 
 
+def test_mix_tells_sources_apart(spark, docs_of, prose):
+    """Rows of equal doc_id and text in two sources: each source gets the words that the report says."""
+    docs = docs_of([(1, "one two three", "en", "x"), (1, "one two three", "de", "y"), *((i, prose(40, i), "en", "xy"[i % 2]) for i in range(10, 30))])
+    words: dict = {}
+    for r in mixing.mix(docs).collect():
+        key = r["doc_id"], r["source"]
+        words[key] = words.get(key, 0) + len(words_of(r["text"]))
+        assert r["lang"] == ("de" if key == (1, "y") else "en") and r["digest"] == 7
+    sizes = {s: sum(len(words_of(r["text"])) for r in docs.where(f"source = '{s}'").collect()) for s in "xy"}
+    want = targets(sizes)
+    for s in "xy":
+        assert abs(sum(n for (_, src), n in words.items() if src == s) - want[s]) <= max(3, 0.02 * want[s])
+    report = sum(r["taken"] for r in mixing.mix_report(docs).collect())
+    assert sum(words.values()) == report
+
+
 def test_schedule_is_spread_out(spark, docs_of, prose):
     docs = docs_of([(i, prose(500, i), "en", "ab"[i % 2]) for i in range(40)])
     _, goals = mixing._prepared(docs)

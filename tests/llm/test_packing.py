@@ -44,6 +44,36 @@ def test_plan_fills_sequences(sizes):
         assert total <= 2048 and total & (total - 1) == 0
 
 
+def plain_plan(sizes, length=2048):
+    """The rule of the module word for word: whole sequences first, then the longest rest to the cheapest sequence with room."""
+    out, free, n = [], [], 0
+    for i, size in enumerate(sizes):
+        for at in range(0, size // length * length, length):
+            out.append((i, at, length, n, 0))
+            n += 1
+    rests = sorted(((s % length, i) for i, s in enumerate(sizes) if s % length), key=lambda x: (-x[0], x[1]))
+    total = sum(r for r, _ in rests)
+    free = [[0.0, n + k, length, 0] for k in range(total // length)]  # cost, number, room, used
+    last, tail = n + len(free), total % length
+    tails = [[0.0, last + k, 1 << b, 0] for k, b in enumerate(b for b in range(11, -1, -1) if tail >> b & 1)]
+    for left, i in rests:
+        at = sizes[i] - left
+        while left:
+            open_ = [f for f in free if f[3] < f[2]] or [t for t in tails if t[3] < t[2]][:1]
+            f = min(open_, key=lambda x: (x[0], x[1]))
+            m = min(left, f[2] - f[3])
+            out.append((i, at, m, f[1], f[3]))
+            f[0], f[3] = f[0] + packing.LINEAR * m + packing.QUADRATIC * m * m, f[3] + m
+            at, left = at + m, left - m
+    return out
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 5000), max_size=40))
+def test_plan_against_plain_rule(sizes):
+    assert sorted(packing.plan(sizes)[0]) == sorted(plain_plan(sizes))
+
+
 def test_costs_are_balanced():
     sizes = [random.Random(i).randrange(50, 1500) for i in range(400)]
     pieces, n = packing.plan(sizes)
@@ -64,6 +94,7 @@ def test_pack(docs_of, prose, tokenizer, monkeypatch):
     for r in got.fillna(-1).itertuples():
         assert any(len(a) == r.doc_tokens and zlib.crc32(a[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for a in ids[int(r.doc_id)])
     assert got["length"].sum() == sum(len(a) for own in ids.values() for a in own)
+    assert got["row_id"].nunique() == len(rows) and (got.groupby("row_id")["length"].sum() == got.groupby("row_id")["doc_tokens"].first()).all()
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert list(s["offset"]) == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
 
@@ -74,6 +105,11 @@ def test_sequences_hold_the_ids(docs_of, prose, tokenizer):
     want = sorted(x for _, t in rows for x in [*tokenizer.encode(t, add_special_tokens=False).ids, 1])
     assert sorted(x for r in out for x, s in zip(r["ids"], r["segments"], strict=True) if s) == want
     assert all(len(r["ids"]) == len(r["segments"]) <= 2048 for r in out)
+    own = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    for r in out:
+        for k, (d, at) in enumerate(zip(r["doc_ids"], r["starts"], strict=True), 1):
+            piece = [x for x, s in zip(r["ids"], r["segments"], strict=True) if s == k]
+            assert own[d][at : at + len(piece)] == piece
 
 
 def test_empty_table(docs_of):

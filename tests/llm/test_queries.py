@@ -5,7 +5,7 @@ import hashlib
 import duckdb
 import pandas as pd
 import pytest
-from test_simhash import plain_components, plain_fingerprint
+from test_near_dedup import plain_keep
 from test_substring_dedup import brute
 
 import corpus_pipeline
@@ -44,9 +44,8 @@ def test_pipeline(spark, sf_dir):
     clean = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in toxic]
     assert sorted(kept[0]) == sorted(clean)
 
-    ids, fps = [i for i, _ in clean], [plain_fingerprint(t) for _, t in clean]
-    group = plain_components(ids, fps)
-    single = [(i, t) for (i, t), f in zip(clean, fps, strict=True) if group[i, f] == i]
+    stay = set(plain_keep(clean))
+    single = [(i, t) for i, t in clean if i in stay]
     assert sorted(kept[1]) == sorted(single)
 
     left = {i: (n - gone, sha) for i, n, gone, sha in brute(single)}
@@ -59,6 +58,48 @@ def test_pipeline(spark, sf_dir):
     cut = spark.createDataFrame([(i, t, "en", source[i], 0) for i, t in kept[2]], docs.schema)
     assert {i: sum(n) for i, n in taken.items()} == {r["doc_id"]: r["taken"] for r in mixing.mix_report(cut).collect() if r["taken"]}
 
-    out = corpus_pipeline.run(spark, sf_dir).toPandas()
-    assert out.groupby("sequence_id")["length"].sum().max() == 2048
-    assert out[out["start"] == 0].groupby("doc_id").size().to_dict() == {i: len(n) for i, n in taken.items()}
+    check_packed(corpus_pipeline.run(spark, sf_dir).collect(), {i: len(n) for i, n in taken.items()})
+
+
+def check_packed(out, passes):
+    """Sequences hold each pass of each document once, from its start, and nothing else."""
+    starts: dict = {}
+    for r in out:
+        n = len(r["ids"])
+        assert n == len(r["segments"]) == sum(s > 0 for s in r["segments"]) and (n == 2048 or n & (n - 1) == 0)
+        assert len(r["doc_ids"]) == len(r["row_ids"]) == len(r["starts"]) == max(r["segments"])
+        for d, row, at in zip(r["doc_ids"], r["row_ids"], r["starts"], strict=True):
+            starts.setdefault((d, row), []).append(at)
+    assert all(len(set(x)) == len(x) and 0 in x for x in starts.values())
+    got: dict = {}
+    for d, _ in starts:
+        got[d] = got.get(d, 0) + 1
+    assert got == passes
+
+
+def test_pipeline_of_odd_rows(spark, docs_of, prose, tmp_path):
+    """Nulls, empty and very long texts, repeats, ties, clashing names, and an empty table."""
+    long, mild = prose(100_000, 9), prose(150, 3)
+    rows = [(i, prose(20 + i, i), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(50, None), (51, ""), (52, long, None, "s1"), (3, rows[3][1], "en", "s0"), (53, mild, "en", None), (54, mild, "en", "s2"), (None, prose(60, 8), "en", "s1"), (None, prose(60, 8), "en", "s1")]
+    rows += [(60 + i, f"{prose(30, 60 + i)} vile vile rot", "en", "s1") for i in range(20)]
+    docs = docs_of(rows)
+    spark.createDataFrame([(i, 1, int(i >= 60)) for i in [*range(40), *range(60, 80)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = spark.createDataFrame([tuple(r) for r in stage(spark, at, str(tmp_path)).collect()], docs.schema)
+        kept.append(at.collect())
+    assert all(r["size"] == 7 and r["digest"] == 7 for rs in kept for r in rs)
+    assert {r["doc_id"] for r in kept[0]} >= {*range(40), 50, 51, 52, 53, 54, None}
+    assert [sum(r["doc_id"] == 3 for r in rs) for rs in kept[:2]] == [2, 1] and not {51, 54} & {r["doc_id"] for r in kept[1]}
+    passes: dict = {}
+    for r in kept[3]:
+        assert r["text"]
+        passes[r["doc_id"]] = passes.get(r["doc_id"], 0) + 1
+    assert 52 in passes and max(n for d, n in passes.items() if d is not None) <= 3
+    check_packed(corpus_pipeline.run(spark, str(tmp_path)).collect(), passes)
+    empty = f"{tmp_path}/empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made = threading.local()
+
+
 class Scratch:
     """Intermediate tables of one query in the shared folder.
 
@@ -45,6 +50,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _made.__dict__.setdefault("all", []).append(self)
+
+    @staticmethod
+    def sweep(since: int) -> None:
+        """Delete the tables of scratches made in this thread since there were so many: what they served is written."""
+        for s in _made.all[since:]:
+            s.clear()
+        del _made.all[since:]
+
+    @staticmethod
+    def made() -> int:
+        return len(_made.__dict__.setdefault("all", []))
 
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -76,6 +93,19 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def plain_names(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1, ..., but for those to keep, so that no name clashes with added ones; and the names."""
+    names = [c if c in keep else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def one_of_each(rows: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """The first of rows with equal key, by the other columns' values as JSON: no matter how rows are dealt."""
+    others = [F.col(c) for c in names if c != "text"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json(F.struct(*others))))
+    return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, one_of_each, plain_names
 
 #: Weights by position of the source in code point order.
 WEIGHTS = (1, 2, 3)
@@ -39,9 +39,17 @@ def words_in(text: str = "text") -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source key, size, and two digests that name and shuffle the row."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in().alias("size"), F.xxhash64("text", F.lit(3)).alias("digest"))
-    return rows.select("doc_id", key.alias("src"), "size", "digest", F.xxhash64("doc_id", "digest", F.lit(5)).alias("h"))
+    rows = docs.select("doc_id", source_key().alias("src"), words_in().alias("size"), text_digest().alias("digest"))
+    return rows.withColumn("h", F.xxhash64("doc_id", "digest", F.lit(5)))
+
+
+def source_key() -> Column:
+    """The source, told apart from a null one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def text_digest() -> Column:
+    return F.xxhash64("text", F.lit(3))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -130,8 +138,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
     size: words of the text (null: 0); taken: words that the mix takes of the row, repeats
     counted, at most three times its size. Sources weigh 1, 2, 3, 1, ... in code point order,
-    a null source last. Repeated rows are documents of their own. The result depends on the
-    rows alone. Columns other than doc_id, text and source are ignored.
+    a null source last. Null and empty texts have size 0 and are never taken. Repeated rows are
+    documents of their own; an empty table gives none. The result depends on the rows alone. Columns other than doc_id, text and source are ignored.
     """
     rows, goals = _prepared(docs)
     uses = schedule(goals).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
@@ -145,17 +153,21 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of docs, each as often as passes take it, all columns.
 
     Where a pass ends within a document, that row's text is cut to the words taken (joined by
-    one space, n_chars follows where present). Of rows with equal doc_id and text, one stands
-    for all in the other columns.
+    one space, n_chars follows where present). Of rows with equal doc_id, source and text, the
+    first by its other columns stands for all. Null and empty texts have no words and are never
+    taken; an empty table gives none. Texts are shuffled once, to their takes.
     """
     rows, goals = _prepared(docs)
     met = _pieces(rows, goals).join(schedule(goals), ["src", "block"])
-    takes = met.groupBy("src", "at", "pass", "h", "digest", "size").agg(F.sum("words").alias("__words")).withColumnsRenamed({"h": "__h", "digest": "__digest", "size": "__size"}).select("__h", "__digest", "__size", "__words")
-    mine = docs.withColumn("__digest", F.xxhash64("text", F.lit(3))).withColumn("__h", F.xxhash64("doc_id", "__digest", F.lit(5)))
-    out = takes.join(mine.dropDuplicates(["__h", "__digest"]), ["__h", "__digest"])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__words").cast("int")), " ")
-    part = F.col("__words") < F.col("__size")
+    takes = met.groupBy("src", "at", "pass", "h", "digest", "size").agg(F.sum("words").alias("take")).select("src", "h", "digest", "size", "take")
+    mine, names = plain_names(docs, "doc_id", "text", "source")
+    mine = mine.withColumns({"src": source_key(), "digest": text_digest()}).withColumn("h", F.xxhash64("doc_id", "digest", F.lit(5)))
+    key = ["src", "h", "digest"]
+    out = takes.join(one_of_each(mine, key, names), key)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("take").cast("int")), " ")
+    part = F.col("take") < F.col("size")
     out = out.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        at = names[docs.columns.index("n_chars")]
+        out = out.withColumn(at, F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at)))
+    return out.select(*names).toDF(*docs.columns)

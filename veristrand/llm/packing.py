@@ -32,7 +32,8 @@ END = 1
 BIN_TOKENS = 2_000_000
 #: Relative cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
+_TASK = 40
 
 
 class Encoder(dict):
@@ -130,78 +131,78 @@ def plan(sizes: list[int], length: int = LENGTH) -> tuple[list[tuple[int, int, i
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    A document is its text's ids and the end id; null or empty text is the end id alone.
-    Repeated rows are packed as documents of their own. Columns other than doc_id and text
-    are ignored.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id.
+
+    A document is its text's ids and the end id; null or empty text is the end id alone. Very
+    long texts span sequences. Documents of equal length are taken in the order they are read.
+    Repeated rows are packed as documents of their own, and row_id, a number of the input row,
+    tells their pieces apart; an empty table gives none. Numbers of sequences and rows follow
+    the tasks that read them: a repeated task gives the same, another dealing of rows others.
+    Columns other than doc_id and text are ignored.
     """
 
+    return _binned(docs, tokenizer_path, length, _packed, _SCHEMA)
+
+
+def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str) -> DataFrame:
+    """lay's frames for each bin of a task's rows: (row_id, doc_id, ids) triples, first sequence, length."""
+
     def run(batches: Iterator) -> Iterator:
         words = encoder(tokenizer_path)
-        first = TaskContext.get().partitionId() << 40
+        first = row = TaskContext.get().partitionId() << _TASK
         held: list[tuple] = []
         tokens = 0
         for pdf in batches:
             for d, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
                 ids = words.document(text)
-                held.append((d, ids))
+                held.append((row, d, ids))
+                row += 1
                 tokens += len(ids) // 4
                 if tokens >= BIN_TOKENS:
-                    out, n = _packed(held, first, length)
+                    out, n = lay(held, first, length)
                     yield out
                     first, held, tokens = first + n, [], 0
         if held:
-            yield _packed(held, first, length)[0]
+            yield lay(held, first, length)[0]
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), schema)
 
 
 def _packed(held: list[tuple], first: int, length: int) -> tuple[pd.DataFrame, int]:
-    pieces, n = plan([len(ids) // 4 for _, ids in held], length)
-    rows = [(held[i][0], at, m, zlib.crc32(memoryview(held[i][1])[4 * at : 4 * (at + m)]), len(held[i][1]) // 4, first + s, o) for i, at, m, s, o in pieces]
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    pieces, n = plan([len(ids) // 4 for _, _, ids in held], length)
+    rows = [(held[i][1], at, m, zlib.crc32(memoryview(held[i][2])[4 * at : 4 * (at + m)]), len(held[i][2]) // 4, first + s, o, held[i][0]) for i, at, m, s, o in pieces]
+    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id"])
     return out.astype({"doc_id": "Int64"}), n
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, pad: int = 0) -> DataFrame:
-    """Packed training rows: sequence_id, ids (padded to length, but for powers of two), segments.
+    """Packed training rows: sequence_id, ids (padded to length, but for powers of two), segments,
+    and of each piece in turn doc_ids, row_ids and starts.
 
-    segments numbers the pieces from 1 along the sequence, 0 for padding.
+    segments numbers the pieces from 1 along the sequence, 0 for padding. Rows are treated as
+    ``pack`` treats them.
     """
 
-    def run(batches: Iterator) -> Iterator:
-        words = encoder(tokenizer_path)
-        first = TaskContext.get().partitionId() << 40
-        held: list[bytes] = []
-        tokens = 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.append(words.document(text))
-                tokens += len(held[-1]) // 4
-                if tokens >= BIN_TOKENS:
-                    out, n = _laid(held, first, length, pad)
-                    yield out
-                    first, held, tokens = first + n, [], 0
-        if held:
-            yield _laid(held, first, length, pad)[0]
+    def lay(held: list[tuple], first: int, length: int) -> tuple[pd.DataFrame, int]:
+        return _laid(held, first, length, pad)
 
-    small_batches(docs.sparkSession)
-    return docs.select("text").mapInPandas(tidied(run), "sequence_id long, ids array<int>, segments array<int>")
+    return _binned(docs, tokenizer_path, length, lay, "sequence_id long, ids array<int>, segments array<int>, doc_ids array<long>, row_ids array<long>, starts array<long>")
 
 
-def _laid(held: list[bytes], first: int, length: int, pad: int) -> tuple[pd.DataFrame, int]:
-    pieces, n = plan([len(x) // 4 for x in held], length)
+def _laid(held: list[tuple], first: int, length: int, pad: int) -> tuple[pd.DataFrame, int]:
+    pieces, n = plan([len(ids) // 4 for _, _, ids in held], length)
     by: list[list] = [[] for _ in range(n)]
     for i, at, m, s, o in pieces:
-        by[s].append((o, np.frombuffer(held[i], dtype="<i4", count=m, offset=4 * at)))
-    ids, segments = [], []
+        by[s].append((o, np.frombuffer(held[i][2], dtype="<i4", count=m, offset=4 * at), None if pd.isna(held[i][1]) else int(held[i][1]), held[i][0], at))
+    out: dict[str, list] = {k: [] for k in ("ids", "segments", "doc_ids", "row_ids", "starts")}
     for own in by:
         own.sort(key=lambda x: x[0])
-        row = np.concatenate([x for _, x in own])
-        seg = np.repeat(np.arange(1, len(own) + 1, dtype=np.int32), [len(x) for _, x in own])
+        row = np.concatenate([x[1] for x in own])
+        seg = np.repeat(np.arange(1, len(own) + 1, dtype=np.int32), [len(x[1]) for x in own])
         lack = 0 if len(row) & (len(row) - 1) == 0 else length - len(row)
-        ids.append(np.pad(row, (0, lack), constant_values=pad))
-        segments.append(np.pad(seg, (0, lack)))
-    return pd.DataFrame({"sequence_id": np.arange(first, first + n), "ids": ids, "segments": segments}), n
+        out["ids"].append(np.pad(row, (0, lack), constant_values=pad))
+        out["segments"].append(np.pad(seg, (0, lack)))
+        for k, at in (("doc_ids", 2), ("row_ids", 3), ("starts", 4)):
+            out[k].append([x[at] for x in own])
+    return pd.DataFrame({"sequence_id": np.arange(first, first + n), **out}), n

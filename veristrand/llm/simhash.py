@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, min_labels, n_partitions, sorted_groups, tidied, words_of
+from .common import Scratch, map_slices, min_labels, n_partitions, one_of_each, plain_names, sorted_groups, tidied, words_of
 from .components import connected_components
 
 RADIUS = 3
@@ -160,7 +160,7 @@ def _grow(x: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
                 if not len(rows):
                     continue
                 rows = rows[lab[rows] < 0]
-                near = rows[np.abs(ts[rows, 0] - ts[m, 0]) <= radius]
+                near = rows[np.abs(ts[rows] - ts[m]).max(axis=1) <= radius]  # maximum coordinate difference
                 near = near[np.bitwise_count(xs[near] ^ xs[m]) <= radius]
                 lab[near] = seed
                 todo.extend(near.tolist())
@@ -186,8 +186,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     component_id: smallest doc_id reachable over links, itself included. Null or empty text
     has the fingerprint zero and links like any other. A row with a null doc_id takes part
-    but never names a group; a group of such rows only has a null component_id. Repeated
-    rows each give a row. Columns other than doc_id and text are ignored.
+    but never names a group; a group of such rows only has a null component_id. Very long texts
+    are read whole. Repeated rows each give a row; an empty table gives none. Columns other than doc_id and text are ignored.
     """
     marked, of = _grouped(docs, radius)
     low = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(of, "fp")
@@ -199,8 +199,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each group, with all columns: the one of the smallest doc_id.
 
-    Between rows of one doc_id the text digest decides; of repeated rows one stays. Rows
-    with a null doc_id stay as they are: they can't name a group.
+    Between rows of one doc_id the text digest decides; of rows equal in both, the first by its
+    other columns. Columns may have any names. Rows with a null doc_id stay as they are: they can't name a group.
     """
     return keep_first(docs, *_grouped(docs, radius))
 
@@ -209,6 +209,8 @@ def keep_first(docs: DataFrame, marked: DataFrame, of: DataFrame) -> DataFrame:
     """The rows of docs that ``simhash_dedup`` keeps, of marked (doc_id, th, fp) and of (fp, root)."""
     first = marked.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     keep = first.join(of, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
-    mine = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    hit = mine.join(keep.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), ["__id", "__th"], "left_semi")
-    return hit.dropDuplicates(["__id", "__th"]).drop("__id", "__th").unionByName(docs.where("doc_id is null"))
+    mine, names = plain_names(docs, "doc_id", "text")
+    key = ["id", "th"]
+    mine = mine.withColumns({"id": F.col("doc_id").cast("long"), "th": F.xxhash64("text")}).join(keep.select(F.col("doc_id").alias("id"), "th"), key, "left_semi")
+    kept = one_of_each(mine, key, names).select(*names).toDF(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))

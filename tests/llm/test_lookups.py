@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from veristrand.llm import license_scan, url_filter
+from veristrand.llm import license_scan, license_texts, url_filter
 
 URLS = [
     "http://a.example.com/en/1", "https://www.Example.com/en/?q", "https://x.www.example.com/en/2#top", "ftp://shop.net/es/", "shop.net/es/", None, "", "http://net/fr/a", "http://botnet/fr/",
@@ -50,7 +50,7 @@ def test_no_pages(spark):
 
 
 def test_licences(spark, docs_of):
-    full = license_scan.KNOWN[-1][1]
+    full = dict(license_texts.TEXTS)["0BSD"]
     rows = [
         (1, "released UNDER the mit license"), (2, "some text\nReleased under the MIT Licence!\nLicensed under CC BY-NC 4.0.\n(c) 2020 me"), (3, f"Copyright 2021 Someone\n{full.upper()}"), (4, None), (5, ""),
         (6, "Released under the MIT License. More."), (7, "x " * 100_000), (2, "other"), (1, "released UNDER the mit license"), (None, "Licensed under CC BY 4.0"),
@@ -62,3 +62,13 @@ def test_licences(spark, docs_of):
     assert {g for g in got if g[0] not in (3,)} == {w for w in want if w[0] != 3}
     assert license_scan.scan(docs_of([]), license_scan.known_digests(spark)).count() == 0
     assert license_scan.scan(docs_of(rows), license_scan.known_digests(spark, [])).where("license is not null").count() == 0
+
+
+def test_whole_licence_texts(spark, docs_of, tmp_path):
+    mit = dict(license_texts.TEXTS)["MIT"]
+    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), (2, mit.replace(" ", "\n")), (3, mit + " More."), (4, "My own licence: be\nkind.")]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_digests(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None, 4: None}
+    (tmp_path / "Own-1.0.txt").write_text("Copyright me\nMY OWN LICENSE; be kind")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_files(spark, str(tmp_path))).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: "Own-1.0"}

@@ -3,7 +3,9 @@
 A text is put into canonical form (case, copyright lines, equivalent spellings,
 punctuation, white space) and its digest is looked up among those of known licence texts by
 a hash join on entire texts. Whole documents are looked up, and each of their lines, since
-short notices are licence texts of one line.
+short notices are licence texts of one line. The form is made line by line, once: that of a
+text is its lines' joined. Lines whose form has no known length aren't hashed. ``known_files``
+reads a digest table from a folder of licence texts in place of the built-in list.
 """
 
 from __future__ import annotations
@@ -11,45 +13,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Short notices and short licence texts, by SPDX-style name.
-KNOWN = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    (
-        "0BSD",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
-        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
-]
+from .common import Scratch
+from .license_texts import KNOWN
+
 # Spelling, and the one that stands for it.
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("authorise", "authorize"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("sub-license", "sublicense"), ("http://", "https://")]
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case; copyright lines gone; equivalent spellings; words of letters and digits joined by one space."""
-    x = F.regexp_replace(F.lower(text), _COPYRIGHT, F.lit("\n"))
+def canonical_line(line: Column) -> Column:
+    """Lower case; nothing of a copyright line; equivalent spellings; words of letters and digits joined by one space."""
+    x = F.regexp_replace(F.lower(line), _COPYRIGHT, F.lit(""))
     for one, other in SPELLINGS:
         x = F.replace(x, F.lit(one), F.lit(other))
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", F.lit(" ")))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in canonical form, without those that have nothing left."""
+    return F.filter(F.transform(F.split(text, "\n"), canonical_line), lambda x: x != "")
+
+
+def _known(texts: DataFrame) -> DataFrame:
+    """license, text -> license, digest, chars: each digest once (of names that share one, the first by code point)."""
+    form = texts.select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("form"))
+    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("form")).alias("chars"))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, digest: each digest once (of names that share one, the first by code point)."""
+    """The digest table of a list of (license, text)."""
     rows = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in known)) if known else F.array().cast("array<struct<license:string,text:string>>")
-    table = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", digest(F.col("k.text")).alias("digest"))
-    return table.groupBy("digest").agg(F.min("license").alias("license"))
+    return _known(spark.range(1).select(F.explode(rows).alias("k")).select("k.*"))
+
+
+def known_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest table of a folder of licence texts, each named by its file without the ending."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt|\.md)?$", 1)
+    return _known(spark.read.text(folder, wholetext=True).select(name.alias("license"), F.col("value").alias("text")))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -57,14 +57,18 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     digest: of the whole canonical text (null for a null text); license: the known licence
     that the whole text is, or null; notices: known licences among its lines, sorted, joined
-    by commas, empty if none. Only documents with a hit are grouped; the lookup table is
-    small and its size decides whether it is broadcast. Repeated rows count as one document
-    when they agree in doc_id and text. Columns other than doc_id and text are ignored.
+    by commas, empty if none. A text over several lines inside a longer document is not found,
+    nor is a notice wrapped over two. Only documents with a hit are grouped; the lookup table's
+    size decides whether it is broadcast, and only its distinct text lengths go to the driver.
+    Very long texts are read whole. Repeated rows count as one document when they agree in
+    doc_id and text; an empty table gives none. Columns other than doc_id and text are ignored.
     """
-    rows = docs.select("doc_id", "text")
-    lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    found = lines.withColumn("digest", digest(F.col("line"))).join(known, "digest").groupBy("doc_id", "th").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("doc_id", F.xxhash64("text").alias("th"), digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    lengths = [r[0] for r in known.select("chars").distinct().collect()]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), canonical_lines(F.col("text")).alias("lines"))
+    rows = rows.select("doc_id", "th", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.transform(F.array_distinct(F.filter("lines", lambda x: F.length(x).isin(lengths))), lambda x: F.sha2(x, 256)).alias("some"))
+    rows = Scratch(docs.sparkSession, "license").write(rows)
+    found = rows.select("doc_id", "th", F.explode("some").alias("digest")).join(known, "digest").groupBy("doc_id", "th").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = rows.select("doc_id", "th", "digest").join(known, "digest", "left")
     hit = found.withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"})
     out = whole.join(hit, whole["doc_id"].eqNullSafe(hit["hit_id"]) & (whole["th"] == hit["hit_th"]), "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -66,7 +66,7 @@ def test_licences(spark, docs_of):
 
 def test_whole_licence_texts(spark, docs_of, tmp_path):
     mit = dict(license_texts.TEXTS)["MIT"]
-    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), (2, mit.replace(" ", "\n")), (3, mit + " More."), (4, "My own licence: be\nkind.")]
+    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), (2, mit.replace(", ", ",\n")), (3, mit + " More."), (4, "My own licence: be\nkind.")]
     got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_digests(spark)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None}
     (tmp_path / "Own-1.0.txt").write_text("Copyright me\nMY OWN LICENSE; be kind")

@@ -4,7 +4,7 @@ import pytest
 from test_paper_run import answer
 
 from veristrand.__main__ import main
-from veristrand.plans.batch import Tables, claim, run_batch, status_of, still_held
+from veristrand.plans.batch import Heartbeat, LeaseLost, Ocr, Tables, claim, run_batch, status_of, still_held
 
 CALLS = "calls.txt"
 
@@ -52,14 +52,18 @@ def statuses(df):
 def test_batch(spark, folder, tmp_path, capsys):
     t = Tables(spark, f"file://{tmp_path}/tables")
     log = tmp_path / CALLS
-    assert statuses(run_batch(t, str(folder), no_diagrams(log), lambda: 1000.0)) == ["FAILED", "PARTIAL"]
+    scanned = Ocr(lambda raw, at: "A page of paper 1 as it was read." if b"paper 1" in raw else "", "profile-a", budget=2)
+    assert statuses(run_batch(t, str(folder), no_diagrams(log), lambda: 1000.0, ocr=scanned)) == ["FAILED", "PARTIAL"]
+    assert sorted((r["page_idx"], r["ocr_profile"], r["text"][:6]) for r in t.ocr_cache.read().collect()) == [(0, "profile-a", ""), (0, "profile-a", "A page"), (1, "profile-a", "A page")]
     first = log.read_text().split()
     assert first.count("Quote") >= 1
-    assert statuses(run_batch(t, str(folder), drawing(log), lambda: 2000.0)) == ["COMPLETE", "FAILED"]
+    assert statuses(run_batch(t, str(folder), drawing(log), lambda: 2000.0, render=lambda dot: f"<svg>{len(dot)}</svg>")) == ["COMPLETE", "FAILED"]
+    assert t.diagrams.read().first()["svg_content"].startswith("<svg>")
     later = log.read_text().split()[len(first) :]
-    assert later.count("Summarise") == 0  # the evidence of the first run is used again
+    assert later.count("Quote") == 2  # those of the failed paper: the evidence of the first run is used again
     assert statuses(run_batch(t, str(folder), drawing(log), lambda: 3000.0)) == ["ALREADY_COMPLETE", "FAILED"]
     paper = t.papers.read().where("paper_name = 'copy'").first()
+    assert paper["strategy"].startswith("hierarchical-evidence-v1 (1 chunks, 0 reduce levels") and t.papers.read().count() == 1  # nothing of a failed paper
     assert paper["page_count"] == 5 and paper["source_corpus"] and len(paper["sections_completed"]) == 5 and t.diagrams.read().count() == 1
     got = {r["pdf_path"].rsplit("/", 1)[1]: r["status"] for r in status_of(t, str(folder), 4000.0).collect()}
     assert got["copy.txt"] == "complete" and got["one.txt"] == "not started"  # the same bytes, known by their first path
@@ -67,7 +71,9 @@ def test_batch(spark, folder, tmp_path, capsys):
         assert main(["--tables", f"file://{tmp_path}/tables", *command]) == 0
     out = capsys.readouterr().out
     assert "+   " in out and "processing_leases" in out
-    assert spark.read.parquet(str(tmp_path / "graph" / "edges")).count() >= 6
+    assert spark.read.parquet(str(tmp_path / "graph" / "edges")).count() >= 5
+    assert main(["--tables", f"file://{tmp_path}/tables", "clear", "diagrams"]) == 0
+    assert t.diagrams.read().count() == 0 and "diagrams" not in t.papers.read().first()["sections_completed"]
 
 
 def test_claims(spark, tmp_path):
@@ -86,3 +92,47 @@ def test_claims(spark, tmp_path):
 def test_unknown_section(spark, tmp_path):
     with pytest.raises(ValueError):
         run_batch(Tables(spark, f"file://{tmp_path}"), str(tmp_path), answer, lambda: 0.0, reprocess="poem")
+
+
+def test_racing_claims(spark, tmp_path):
+    """Of claimants at once one wins each key."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = Tables(spark, f"file://{tmp_path}/tables")
+    keys = spark.createDataFrame([("sha256:a",), ("sha256:b",)], "resource_key string")
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(lambda who: [tuple(r) for r in claim(t, keys, who, 0.0, stale=100).select("resource_key", "owner_id").collect()], ["x", "y", "z"]))
+    assert sorted(k for w in won for k, _ in w) == ["sha256:a", "sha256:b"] and t.leases.read().count() == 2
+
+
+def test_heartbeat(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/tables")
+    now = [0.0]
+    mine = claim(t, spark.createDataFrame([("sha256:a",), ("sha256:b",)], "resource_key string"), "me", 0.0, stale=100)
+    for interval in (0, 50, 100):
+        with pytest.raises(ValueError):
+            Heartbeat(t, mine, lambda: 0.0, interval, 100)
+    beat = Heartbeat(t, mine, lambda: now[0], 10, 100)
+    now[0] = 90.0
+    assert beat.held().count() == 2
+    now[0] = 180.0  # without the renewal at 90 another could have it
+    assert claim(t, spark.createDataFrame([("sha256:a",)], "resource_key string"), "you", 180.0, stale=100).count() == 0
+    assert claim(t, spark.createDataFrame([("sha256:a",)], "resource_key string"), "you", 195.0, stale=100).count() == 1
+    now[0] = 185.0
+    with pytest.raises(LeaseLost):
+        now[0] = 195.0
+        beat.held()
+
+
+def test_lost_leases_stop_before_sections(spark, folder, tmp_path):
+    """A batch whose papers another claims while it reads evidence writes no section and no row."""
+    t = Tables(spark, f"file://{tmp_path}/tables")
+    log, now = tmp_path / CALLS, [0.0]
+
+    def clock():
+        now[0] += 60.0  # each look at the clock is later than a lease lives
+        return now[0]
+
+    assert statuses(run_batch(t, str(folder), drawing(log), clock, interval=20, stale=50)) == ["CLAIMED_ELSEWHERE"] * 2
+    assert t.papers.read().count() == 0 and t.diagrams.read().count() == 0
+    assert "Draw" not in (log.read_text() if log.exists() else "")

@@ -24,7 +24,7 @@ def answer(model, prompt):
             return "I can not."
         return "```json\n" + json.dumps({"chunk_summary": f"{len(items)} items", "evidence": items}) + "\n```"
     if prompt.startswith("Summarise"):
-        ids = re.findall(r"C\d+-E\d+", prompt)
+        ids = list(dict.fromkeys(re.findall(r"C\d+-E\d+", prompt)))
         return json.dumps({"summary": "root", "selected_evidence_ids": ids, "relationships": [{"evidence_ids": ids[:2], "description": "go together"}, {"evidence_ids": [ids[0], "C9-E9"], "description": "bad"}]})
     if prompt.startswith("Write diagrams"):
         return "===DIAGRAM_START: One===\ndigraph A { a [\"label='x'\"] }\n===DIARGAM_END===" if "A page of paper 1" in prompt else "no picture"
@@ -44,7 +44,7 @@ def test_evidence(run):
     found, _ = run
     items = found.items.orderBy("evidence_id").collect()
     assert sum(r["paper"] == 1 for r in items) == 30 and sum(r["paper"] == 2 for r in items) == 1  # overlapping pages count once
-    assert {(r["paper"], r["error"]) for r in found.failed.collect()} == {(3, "no JSON object with chunk_summary")}
+    assert {(r["paper"], r["error"]) for r in found.failed.collect()} == {(3, "chunk 1: no JSON object with chunk_summary")}
     assert {r["rejected_items"] for r in found.chunks.where("paper = 1").collect()} == {1}
     roots = {r["paper"]: r for r in found.roots.collect()}
     assert (roots[1]["page_start"], roots[1]["page_end"], roots[1]["levels"], len(roots[1]["ids"])) == (1, 30, 1, 16)
@@ -91,3 +91,50 @@ def test_fenced_split(spark):
 def test_page_reader(spark):
     df = spark.createDataFrame([(b"image",), (b"",), (None,)], "image binary")
     assert [r[0] for r in df.select(read_image(F.col("image"), lambda raw: f"{1 // len(raw)} read")).collect()] == ["0 read", "", ""]
+
+
+def liar(model, prompt):
+    """Quotes nothing that is there at first in chunk 2, never in chunk 3 of paper 7, selects an unknown id at first and for ever in paper 8."""
+    again = "failed validation" in prompt
+    if prompt.startswith("Quote"):
+        chunk = int(re.search(r"Chunk: (\d+)", prompt)[1])
+        if chunk == 2 and not again or chunk == 3 and "paper 7" in prompt:
+            return json.dumps({"chunk_summary": "s", "evidence": [{"kind": "method", "statement": "x", "support": "nowhere", "page": 1}]})
+        return answer(model, prompt)
+    if prompt.startswith("Summarise"):
+        ids = list(dict.fromkeys(re.findall(r"C\d+-E\d+", prompt.split("The last response")[0])))
+        extra = ["C999-E001"] if not again or "paper 8" in prompt else []
+        return json.dumps({"summary": "fixed" if again else "first", "selected_evidence_ids": [*ids[-3:], *extra], "relationships": []})
+    return answer(model, prompt)
+
+
+def test_retries_and_failures(spark):
+    pages = [(i, n, f"A page of paper {i}, number {n}, says something.", "native") for i in (6, 7, 8) for n in range(1, 26)]
+    p = spark.createDataFrame(pages, "paper int, number int, text string, method string")
+    found = paper_run.extract(p, spark.createDataFrame([(i, "m") for i in (6, 7, 8)], "paper int, model string"), liar)
+    failed = {r["paper"]: r["error"] for r in found.failed.collect()}
+    assert failed[7] == "chunk 3: all proposed evidence failed source verification"
+    assert failed[8].startswith("reduction, group 1: unknown evidence ids: C999-E001") and set(failed) == {7, 8}
+    roots = found.roots.collect()
+    assert [(r["paper"], r["summary"]) for r in roots] == [(6, "fixed")]
+    last = {r["evidence_id"] for r in found.items.orderBy("chunk_index", "ord").collect()[-3:]}
+    assert last <= set(roots[0]["ids"]) and len(roots[0]["ids"]) <= 16
+    assert {r["paper"] for r in found.items.collect()} == {6} == {r["paper"] for r in found.chunks.collect()}
+
+
+def test_empty_answers_reload_the_model(spark):
+    from veristrand.sources.generator import AnswerTimeout, generate
+
+    class Model:
+        loaded = False
+
+        def __call__(self, model, prompt):
+            if prompt == "slow":
+                raise AnswerTimeout("900 s")
+            return "fine" if self.loaded else " "
+
+        def reload(self, model):
+            self.loaded = True
+
+    rows = generate(spark.createDataFrame([("m", "ask"), ("m", "slow")], "model string, prompt string").coalesce(1), Model()).collect()
+    assert [(r["answer"], r["error"], r["attempts"]) for r in rows] == [("fine", None, 2), (None, "AnswerTimeout: 900 s", 1)]

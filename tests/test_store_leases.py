@@ -72,7 +72,35 @@ def test_versioned_table(spark, tmp_path):
     assert t.version() == 0 and t.read().count() == 0
     t.write(papers(spark, {"paper_hash": H[0], "paper_name": "one"}))
     t.write(store.upsert_meta(t.read(), papers(spark, {"paper_hash": H[1], "paper_name": "two"}), "t1"))
-    assert t.version() == 2 and t.read().count() == 2
+    assert t.version() == 2 and t.read().count() == 2 and t.read(1).count() == 1
+    other = tables.Table(spark, f"file://{tmp_path}", "more", PAPERS)
+    assert tables.update([t, other], lambda v: [t.read(v).limit(1), t.read(v)]) == 3  # both in one step
+    assert t.read().count() == 1 and other.read().count() == 2 and other.read(2).count() == 0
+    late = t.stage(t.read())
+    with pytest.raises(tables.Conflict):
+        t.commits.commit(late, 2)
+    (tmp_path / "_commits" / "00000004.json").write_text('{"schema_version": 9, "identity_scheme": "sha256-full-v1", "tables": {}}')
+    with pytest.raises(ValueError, match="newer"):
+        t.read()
+
+
+def test_upgrade_of_older_layouts(spark, tmp_path):
+    from veristrand.sources import migrations
+
+    old = {
+        "papers": spark.createDataFrame([(H[0], "one")], "paper_hash string, paper_name string"),
+        "processing_locks": spark.createDataFrame([("p", 1.0, "me"), ("q", 2.0, None)], "pdf_path string, claimed_at double, claimed_by string"),
+        "ocr_cache": spark.createDataFrame([(H[0], 0, "text")], "paper_hash string, page_idx int, text string"),
+    }
+    assert migrations.adopt(spark, f"file://{tmp_path}", old, 0) == 1
+    read = {k: tables.Table(spark, f"file://{tmp_path}", k, s).read() for k, s in migrations.SCHEMAS.items()}
+    assert read["papers"].first()["paper_name"] == "one" and read["papers"].columns == PAPERS.names
+    assert {(r["resource_key"], r["owner_id"], r["active"]) for r in read["processing_leases"].collect()} == {("p", "me", True), ("q", "legacy-null-owner", False)}
+    assert read["ocr_cache"].count() == 0 and read["ocr_cache"].columns[2] == "ocr_profile"  # texts of unknown readers go
+    short = {"papers": spark.createDataFrame([("abc", "x")], "paper_hash string, paper_name string")}
+    for version, marker in ((0, None), (4, "sha256-full-v1"), (2, "other"), (9, None)):
+        with pytest.raises(ValueError):
+            migrations.upgrade(spark, short, version, marker)
 
 
 def test_migrations(spark):

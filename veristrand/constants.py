@@ -25,6 +25,7 @@ FRAGMENT_SLACK, FRAGMENT_CHARS_EXTRA, MIN_CHAR_CAP = 64, 32, 1_000
 # Evidence synthesis.
 GROUP, MAX_SELECTED, REPRESENTATIVES = 4, 16, 2
 STATEMENT_CHARS, SUPPORT_CHARS, SUMMARY_CHARS, RELATION_CHARS = 1_000, 600, 3_000, 1_500
+CHUNK_SUMMARY_CHARS, RETRIES = 4_000, 1
 BUNDLE_VERSION = 1
 # Page routing, leases, graph.
 OCR_MIN_CHARS, OCR_BUDGET = 100, 40

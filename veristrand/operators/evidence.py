@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import STATEMENT_CHARS, SUPPORT_CHARS
 from ..functions.text import bounded, evidence_id, is_kind, normalise, strip
@@ -18,7 +19,11 @@ def check_proposals(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     support (cut first) that its page holds, both normalised. The join is on (paper, chunk,
     page); texts are normalised once, before it.
     """
-    number = F.coalesce(F.expr("try_cast(page as int)"), F.floor(F.expr("try_cast(page as double)")).cast("int"))
+    kind_of = proposals.schema["page"].dataType
+    if isinstance(kind_of, T.StringType):  # a text names a page only as a whole number, once blanks around it are gone
+        number = F.when(F.regexp_like(F.trim("page"), F.lit(r"^[+-]?[0-9]+(\.0*)?$")), F.expr("try_cast(try_cast(trim(page) as double) as int)"))
+    else:
+        number = F.expr("try_cast(page as int)")  # a number is cut towards zero
     rows = proposals.select("paper", "chunk_index", "ord", F.lower(strip("kind")).alias("kind"), bounded("statement", STATEMENT_CHARS).alias("statement"), bounded("support", SUPPORT_CHARS).alias("support"), number.alias("page"))
     rows = rows.withColumn("needle", normalise("support"))
     held = pages.select("paper", "chunk_index", F.col("number").alias("page"), normalise("text").alias("hay"))
@@ -39,6 +44,11 @@ def first_claims(items: DataFrame) -> DataFrame:
     return items.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
 
 
+def chunk_error(accepted: Column, rejected: Column) -> Column:
+    """What is wrong with a chunk that proposed something and of which nothing holds."""
+    return F.when((F.coalesce(rejected, F.lit(0)) > 0) & (F.coalesce(accepted, F.lit(0)) == 0), "all proposed evidence failed source verification")
+
+
 def rejected_counts(checked: DataFrame) -> DataFrame:
     """paper, chunk_index, accepted_items, rejected_items."""
     ok = F.col("accepted")

@@ -70,30 +70,46 @@ def groups_of(rows: DataFrame, order: str, size: int = GROUP) -> DataFrame:
     return rows.withColumn("grp", F.floor((F.row_number().over(Window.partitionBy("paper").orderBy(order)) - 1) / size).cast("int"))
 
 
-def reduce_level(dossiers: DataFrame, items: DataFrame, choose: Column | None = None) -> DataFrame:
-    """One level of reduction, consecutive groups of four dossiers to one each.
+def group_level(dossiers: DataFrame, items: DataFrame) -> DataFrame:
+    """Consecutive groups of four dossiers: paper, grp, page_start, page_end, reps, available.
 
     dossiers: paper, idx (from 0), page_start, page_end, ids. items: paper, evidence_id,
-    page. choose: picks further ids out of ``available`` (an array column); the generator's
-    part, none by default. Two representatives of each child in coverage order come first,
-    then what was chosen; all of it in coverage order, sixteen at most.
+    page. reps: two representatives of each child in coverage order; available: all ids of
+    the group, each once, in order.
     """
-    child = groups_of(dossiers, "idx").select("paper", "grp", "idx", "page_start", "page_end", F.posexplode("ids").alias("nth", "evidence_id"))
+    child = groups_of(dossiers, "idx").select("paper", "grp", "idx", F.posexplode("ids").alias("nth", "evidence_id"))
     known = child.join(items.select("paper", "evidence_id", "page"), ["paper", "evidence_id"])
     spread = coverage_order(known, ["paper", "grp", "idx"], ["page"], "nth")
     first = F.when(F.col("ord") < REPRESENTATIVES, F.struct("idx", "ord", "evidence_id"))
-    all_ids = F.struct("idx", "nth", "evidence_id")
-    ids = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["evidence_id"])
-    met = spread.groupBy("paper", "grp").agg(ids(first).alias("reps"), F.array_distinct(ids(all_ids)).alias("available"))
-    wanted = F.array_intersect(choose, F.col("available")) if choose is not None else F.array().cast("array<string>")
-    met = met.select("paper", "grp", F.posexplode(F.array_distinct(F.concat("reps", wanted))).alias("nth", "evidence_id")).join(items.select("paper", "evidence_id", "page"), ["paper", "evidence_id"])
-    kept = coverage_order(met, ["paper", "grp"], ["page"], "nth").where(F.col("ord") < MAX_SELECTED)
-    kept = kept.groupBy("paper", "grp").agg(ids(F.struct("ord", "evidence_id")).alias("ids"))
+    met = spread.groupBy("paper", "grp").agg(_ids(first).alias("reps"), F.array_distinct(_ids(F.struct("idx", "nth", "evidence_id"))).alias("available"))
     bounds = groups_of(dossiers, "idx").groupBy("paper", "grp").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
-    out = bounds.join(kept, ["paper", "grp"], "left")
+    none = F.array().cast("array<string>")
+    return bounds.join(met, ["paper", "grp"], "left").select("paper", "grp", "page_start", "page_end", F.coalesce("reps", none).alias("reps"), F.coalesce("available", none).alias("available"))
+
+
+def _ids(c: Column) -> Column:
+    return F.transform(F.sort_array(F.collect_list(c)), lambda x: x["evidence_id"])
+
+
+def select_level(groups: DataFrame, items: DataFrame, wanted: Column) -> DataFrame:
+    """The dossiers that groups (as ``group_level`` gives them) become: paper, idx, page_start, page_end, ids.
+
+    Representatives come first, then those of wanted that are available; all of it in
+    coverage order, sixteen at most.
+    """
+    named = F.array_distinct(F.concat("reps", F.array_intersect(wanted, F.col("available"))))
+    met = groups.select("paper", "grp", F.posexplode(named).alias("nth", "evidence_id")).join(items.select("paper", "evidence_id", "page"), ["paper", "evidence_id"])
+    kept = coverage_order(met, ["paper", "grp"], ["page"], "nth").where(F.col("ord") < MAX_SELECTED)
+    kept = kept.groupBy("paper", "grp").agg(_ids(F.struct("ord", "evidence_id")).alias("ids"))
+    out = groups.select("paper", "grp", "page_start", "page_end").join(kept, ["paper", "grp"], "left")
     return out.select("paper", F.col("grp").alias("idx"), "page_start", "page_end", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
+def reduce_level(dossiers: DataFrame, items: DataFrame, choose: Column | None = None) -> DataFrame:
+    """One level of reduction. choose: picks further ids out of ``available`` (an array column), none by default."""
+    return select_level(group_level(dossiers, items), items, F.array().cast("array<string>") if choose is None else choose)
+
+
 def levels_of(n: Column) -> Column:
     """How often n dossiers are reduced until one is left."""
     steps = F.sequence(F.lit(1), F.lit(40))

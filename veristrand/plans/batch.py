@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import LEASE_STALE_S, SECTIONS
-from ..functions.text import select_model
+from ..constants import HEARTBEAT_S, LEASE_STALE_S, OCR_BUDGET, SECTIONS
+from ..functions.text import select_model, strategy
 from ..operators import bundles, leases, pages, reports, store
-from ..schemas import DIAGRAMS, LEASES, OCR_CACHE, PAPERS
+from ..schemas import BUNDLE, DIAGRAMS, LEASES, OCR_CACHE, PAPERS
 from ..session import cut_lineage
 from ..sources.files import content_hash, list_files
 from ..sources.generator import Generator
-from ..sources.tables import Table, check_identities
+from ..sources.tables import Table, check_identities, update
 from . import paper_run
 
 #: Instructions of the sections; callers may bring their own.
@@ -41,58 +43,185 @@ class Tables:
         self.spark = spark
         self.papers, self.diagrams = Table(spark, root, "papers", PAPERS), Table(spark, root, "diagrams", DIAGRAMS)
         self.ocr_cache, self.leases = Table(spark, root, "ocr_cache", OCR_CACHE), Table(spark, root, "processing_leases", LEASES)
+        self.commits = self.papers.commits
 
 
 def claim(tables: Tables, keys: DataFrame, owner: str, now: float, stale: float = LEASE_STALE_S) -> DataFrame:
     """Claim keys (resource_key) for owner; the rows of those granted, with their generation.
 
-    A key is refused while another claim on it is active and fresh. Writers of the lease
-    table must be serialised by the caller, as its folder has one writer at a time.
+    A key is refused while another claim on it is active and fresh. Of two claimants at once
+    one commits first; the other judges anew on what it finds then.
     """
-    held = cut_lineage(tables.leases.read())
+    if stale <= 0:
+        raise ValueError("a lease needs a positive time to live")
     asked = cut_lineage(keys.select("resource_key").distinct().withColumn("asked", F.lit(True)))
-    met = held.join(asked, "resource_key", "full")
-    free = F.col("asked") & ~F.coalesce(F.col("active") & (F.lit(now) - F.col("renewed_at") < stale), F.lit(False))
-    free = F.coalesce(free, F.lit(False))
-    state = met.select(
-        "resource_key", F.when(free, F.lit(owner)).otherwise(F.col("owner_id")).alias("owner_id"), F.when(free, F.coalesce("generation", F.lit(0)) + 1).otherwise(F.col("generation")).alias("generation"),
-        F.when(free, F.lit(now)).otherwise(F.col("renewed_at")).alias("renewed_at"), F.when(free, F.lit(True)).otherwise(F.col("active")).alias("active"), free.alias("granted"),
-    )
-    state = cut_lineage(state)
-    tables.leases.write(state.drop("granted"))
-    return state.where("granted").drop("granted")
+    got: list[DataFrame] = []
+
+    def change(version: int) -> list[DataFrame]:
+        met = tables.leases.read(version).join(asked, "resource_key", "full")
+        free = F.col("asked") & ~F.coalesce(F.col("active") & (F.lit(now) - F.col("renewed_at") < stale), F.lit(False))
+        free = F.coalesce(free, F.lit(False))
+        state = met.select(
+            "resource_key", F.when(free, F.lit(owner)).otherwise(F.col("owner_id")).alias("owner_id"), F.when(free, F.coalesce("generation", F.lit(0)) + 1).otherwise(F.col("generation")).alias("generation"),
+            F.when(free, F.lit(now)).otherwise(F.col("renewed_at")).alias("renewed_at"), F.when(free, F.lit(True)).otherwise(F.col("active")).alias("active"), free.alias("granted"),
+        )
+        got[:] = [cut_lineage(state)]
+        return [got[0].drop("granted")]
+
+    update([tables.leases], change)
+    return got[0].where("granted").drop("granted")
+
+
+def _own(granted: DataFrame) -> DataFrame:
+    return granted.select("resource_key", F.col("owner_id").alias("o"), F.col("generation").alias("g"))
 
 
 def release(tables: Tables, granted: DataFrame) -> None:
     """Set granted leases inactive, where owner and generation still match."""
-    mine = granted.select("resource_key", F.col("owner_id").alias("o"), F.col("generation").alias("g"))
-    met = tables.leases.read().join(mine, "resource_key", "left")
-    own = F.coalesce((F.col("owner_id") == F.col("o")) & (F.col("generation") == F.col("g")), F.lit(False))
-    tables.leases.write(cut_lineage(met.withColumn("active", F.col("active") & ~own).drop("o", "g")))
+
+    def change(version: int) -> list[DataFrame]:
+        met = tables.leases.read(version).join(_own(granted), "resource_key", "left")
+        own = F.coalesce((F.col("owner_id") == F.col("o")) & (F.col("generation") == F.col("g")), F.lit(False))
+        return [met.withColumn("active", F.col("active") & ~own).drop("o", "g")]
+
+    update([tables.leases], change)
 
 
-def still_held(tables: Tables, granted: DataFrame, now: float, stale: float = LEASE_STALE_S) -> DataFrame:
+def renew(tables: Tables, granted: DataFrame, now: float, stale: float = LEASE_STALE_S) -> None:
+    """Renew granted leases that are still held; lost and stale ones stay as they are."""
+
+    def change(version: int) -> list[DataFrame]:
+        met = tables.leases.read(version).join(_own(granted), "resource_key", "left")
+        own = F.coalesce(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale), F.lit(False))
+        return [met.withColumn("renewed_at", F.when(own, F.lit(now)).otherwise(F.col("renewed_at"))).drop("o", "g")]
+
+    update([tables.leases], change)
+
+
+def still_held(tables: Tables, granted: DataFrame, now: float, stale: float = LEASE_STALE_S, version: int | None = None) -> DataFrame:
     """paper_hash of the granted leases that are current: what a write at now may touch."""
-    mine = granted.select("resource_key", F.col("owner_id").alias("o"), F.col("generation").alias("g"))
-    met = tables.leases.read().join(mine, "resource_key").where(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale))
+    met = tables.leases.read(version).join(_own(granted), "resource_key").where(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale))
     return met.select(F.regexp_replace("resource_key", "^sha256:", "").alias("paper_hash"))
 
 
+class LeaseLost(RuntimeError):
+    """No lease of the batch is held any more, or renewal has failed for half its time to live."""
+
+
+class Heartbeat:
+    """Renews a batch's leases in a thread of its own, beside the jobs that work under them."""
+
+    def __init__(self, tables: Tables, granted: DataFrame, clock: Callable[[], float], interval: float = HEARTBEAT_S, stale: float = LEASE_STALE_S):
+        if interval <= 0 or stale <= 0:
+            raise ValueError("heartbeat and time to live must be positive")
+        if interval >= stale / 2:
+            raise ValueError("a heartbeat must come more than twice in a lease's time to live")
+        self.tables, self.granted, self.clock, self.interval, self.stale = tables, granted, clock, interval, stale
+        self.renewed_at, self.error = clock(), None
+        self._stop, self._one = threading.Event(), threading.Lock()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def __enter__(self) -> Heartbeat:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stop()
+
+    def stop(self) -> None:
+        self._stop.set()
+        if self._thread.is_alive():
+            self._thread.join()
+
+    def beat(self) -> None:
+        with self._one:
+            try:
+                now = self.clock()
+                renew(self.tables, self.granted, now, self.stale)
+                self.renewed_at, self.error = now, None
+            except Exception as e:  # judged by held()
+                self.error = f"{type(e).__name__}: {e}"
+
+    def _run(self) -> None:
+        while not self._stop.wait(self.interval):
+            self.beat()
+
+    def held(self) -> DataFrame:
+        """paper_hash of what the batch may go on with, renewed now. Raises where that is nothing."""
+        self.beat()
+        if self.error and self.clock() - self.renewed_at >= self.stale / 2:
+            raise LeaseLost(f"renewal has failed since {self.renewed_at}: {self.error}")
+        own = cut_lineage(still_held(self.tables, self.granted, self.clock(), self.stale))
+        if own.isEmpty():
+            raise LeaseLost("every lease of the batch is lost")
+        return own
+
+
+@dataclass
+class Ocr:
+    """How pages with little text are read: by read (content, page from 0) -> text, under a profile that names the reader's settings."""
+
+    read: Callable[[bytes, int], str] | None = None
+    profile: str = ""
+    mode: str = "auto"
+    budget: int = OCR_BUDGET
+
+
+def page_texts(tables: Tables, files: DataFrame, ocr: Ocr) -> tuple[DataFrame, DataFrame]:
+    """Routed pages of files (paper, pages, content), and what was read afresh as rows of the cache.
+
+    The cache counts under its reader's profile only. Pages are routed once to find those to
+    be read; a failed page reads as empty.
+    """
+    raw = files.select("paper", F.posexplode("pages").alias("at", "text")).select("paper", (F.col("at") + 1).alias("number"), "text")
+    cache = tables.ocr_cache.read().where(F.col("ocr_profile") == ocr.profile).select(F.col("paper_hash").alias("paper"), "page_idx", "text")
+    how = {"mode": ocr.mode, "available": ocr.read is not None, "budget": ocr.budget}
+    none = F.lit(None).cast("string")
+    first = cut_lineage(pages.route_pages(raw.withColumn("ocr", none), cache, **how))
+    wanted = first.where("wants and not cached and not capped").groupBy("paper").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    read = ocr.read
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def texts(content: pd.Series, numbers: pd.Series) -> pd.Series:
+        def safe(raw: bytes, at: int) -> str:
+            try:
+                return read(raw, at) or ""
+            except Exception:  # a page that can't be read is an empty one
+                return ""
+
+        return pd.Series([[safe(bytes(c), int(n) - 1) for n in ns] for c, ns in zip(content, numbers, strict=True)])
+
+    if read is None:
+        return first, tables.spark.createDataFrame([], OCR_CACHE)
+    told = files.join(wanted, "paper").select("paper", F.explode(F.arrays_zip("numbers", texts("content", "numbers").alias("texts"))).alias("x"))
+    told = cut_lineage(told.select("paper", F.col("x.numbers").alias("number"), F.col("x.texts").alias("ocr")))
+    routed = cut_lineage(pages.route_pages(raw.join(told, ["paper", "number"], "left"), cache, **how))
+    fresh = told.select(F.col("paper").alias("paper_hash"), (F.col("number") - 1).alias("page_idx"), F.lit(ocr.profile).alias("ocr_profile"), F.col("ocr").alias("text"))
+    return routed, fresh
+
+
 def run_batch(
     tables: Tables, root: str, generator: Generator, clock: Callable[[], float], owner: str = "batch", pattern: str = "*.txt", reader: Callable[[bytes], list[str]] = text_pages,
     prompts: dict[str, str] = PROMPTS, model: str | None = None, code_model: str | None = None, reprocess: str | None = None,
+    ocr: Ocr | None = None, render: Callable[[str], str | None] | None = None, only: str | None = None, interval: float = HEARTBEAT_S, stale: float = LEASE_STALE_S,
 ) -> DataFrame:
     """Process every document below root that is not complete; paper_hash and status of each.
 
-    clock gives epoch seconds. Same bytes are one paper. Evidence of a former run is taken
-    from its bundle where that may be reused, so a resumed paper only writes what is missing.
+    clock gives epoch seconds; only names one file. Same bytes are one paper. Evidence of a
+    former run is taken from its bundle where that may be reused, so a resumed paper only
+    writes what is missing. Leases are renewed beside the work and judged before each step:
+    papers lost meanwhile are worked on no further. Papers, diagrams and cached page texts are
+    committed in one step, on top of the leases they were judged by. A paper whose evidence or
+    reduction fails is FAILED and nothing of it is stored but its cached pages.
     """
     if reprocess not in (None, "all", *SECTIONS):
         raise ValueError(f"unknown section {reprocess!r}")
-    spark, now = tables.spark, clock()
+    spark, now, ocr = tables.spark, clock(), ocr or Ocr()
     stamp = pd.Timestamp(now, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")
     known = cut_lineage(tables.papers.read())
     files = list_files(spark, root, pattern).select("path", content_hash().alias("paper_hash"), "content")
+    if only:
+        files = files.where(F.element_at(F.split("path", "/"), -1) == only)
     first = files.groupBy("paper_hash").agg(F.min_by(F.struct("path", "content"), "path").alias("f")).select("paper_hash", "f.path", "f.content")
     done = known.where(store.is_complete(F.col("sections_completed"))).select("paper_hash")
     todo = first if reprocess else first.join(done, "paper_hash", "left_anti")
@@ -101,43 +230,82 @@ def run_batch(
     def split(content: pd.Series) -> pd.Series:
         return content.map(lambda raw: reader(bytes(raw)))
 
-    todo = cut_lineage(todo.select("paper_hash", "path", split("content").alias("pages")))
-    granted = claim(tables, todo.select(F.concat(F.lit("sha256:"), "paper_hash").alias("resource_key")), owner, now)
+    todo = cut_lineage(todo.select("paper_hash", "path", "content", split("content").alias("pages")))
+    granted = claim(tables, todo.select(F.concat(F.lit("sha256:"), "paper_hash").alias("resource_key")), owner, now, stale)
     mine = granted.select(F.regexp_replace("resource_key", "^sha256:", "").alias("paper_hash"))
     work = cut_lineage(todo.join(mine, "paper_hash", "left_semi"))
-    raw = work.select(F.col("paper_hash").alias("paper"), F.posexplode("pages").alias("at", "text")).select("paper", (F.col("at") + 1).alias("number"), "text", F.lit("").alias("ocr"))
-    cache = tables.ocr_cache.read().select(F.col("paper_hash").alias("paper"), "page_idx", "text")
-    texts = pages.extracted(pages.route_pages(raw, cache, mode="never"))
-    count = F.size("pages")
-    papers = work.join(known.select("paper_hash", "sections_completed", "source_corpus", "model_used"), "paper_hash", "left").select(
-        F.col("paper_hash").alias("paper"), "paper_hash", "path", count.alias("page_count"), select_model(count, F.lit(model)).alias("model"), F.lit(code_model).cast("string").alias("code_model"),
-        F.coalesce("sections_completed", F.array().cast("array<string>")).alias("sections_completed"), "source_corpus", "model_used",
-    )
-    papers = cut_lineage(papers)
-    fresh = papers if reprocess == "all" else papers.join(bundles.reusable(papers.withColumn("model_used", F.col("model"))).where("reusable").select("paper_hash"), "paper_hash", "left_anti")
-    found = paper_run.extract(texts.join(fresh.select("paper"), "paper", "left_semi"), fresh.select("paper", "model"), generator)
-    made = cut_lineage(paper_run.corpora(found, fresh))
-    kept = papers.join(fresh.select("paper"), "paper", "left_anti").select("paper_hash", "source_corpus")
-    corpora = made.unionByName(kept)
-    loaded = paper_run.load(corpora.join(papers.drop("source_corpus"), "paper_hash"))
-    answers = cut_lineage(paper_run.write_up(loaded, papers, generator, prompts, reprocess))
-
-    own = still_held(tables, granted, clock())  # fence: writes of papers lost meanwhile go nowhere
-    state, drawn = tables.papers.read(), tables.diagrams.read()
-    meta = papers.join(own, "paper_hash", "left_semi").select(
-        "paper_hash", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("paper_name"), F.col("path").alias("pdf_path"), "page_count", F.col("model").alias("model_used"), F.col("code_model").alias("code_model_used"),
-        F.lit(None).cast("string").alias("strategy"), F.lit(stamp).alias("processed_at"), F.lit(None).cast("string").alias("source_corpus"),
-    )
-    state = store.write_corpus(store.upsert_meta(state, meta, stamp), corpora.join(own, "paper_hash", "left_semi"), stamp)
-    state, drawn = paper_run.store_answers(state, drawn, answers.join(own, "paper_hash", "left_semi"), stamp)
-    state, drawn = cut_lineage(state), cut_lineage(drawn)
-    check_identities(state)
-    tables.papers.write(state)
-    tables.diagrams.write(drawn)
-    release(tables, granted)
-    ended = first.select("paper_hash").join(state.select("paper_hash", "sections_completed"), "paper_hash", "left").join(todo.select("paper_hash", F.lit(1).alias("todo")), "paper_hash", "left").join(own.withColumn("own", F.lit(1)), "paper_hash", "left").join(loaded.items.select(F.col("paper").alias("paper_hash")).distinct().withColumn("facts", F.lit(1)), "paper_hash", "left")
-    status = F.when(F.col("todo").isNull(), "ALREADY_COMPLETE").when(F.col("own").isNull(), "CLAIMED_ELSEWHERE").when(store.is_complete(F.col("sections_completed")), "COMPLETE").when(F.col("facts").isNull(), "FAILED").otherwise("PARTIAL")
-    return ended.select("paper_hash", status.alias("status"))
+    none = work.select("paper_hash").where("false")
+    own, failed, state = none, none, known
+    beat = Heartbeat(tables, granted, clock, interval, stale)
+    try:
+        if not work.isEmpty():
+            with beat:
+                routed, fresh_pages = page_texts(tables, work.select(F.col("paper_hash").alias("paper"), "pages", "content"), ocr)
+                own = beat.held()
+                count = F.size("pages")
+                papers = work.join(own, "paper_hash", "left_semi").join(known.select("paper_hash", "sections_completed", "source_corpus", "model_used"), "paper_hash", "left").select(
+                    F.col("paper_hash").alias("paper"), "paper_hash", "path", count.alias("page_count"), select_model(count, F.lit(model)).alias("model"), F.lit(code_model).cast("string").alias("code_model"),
+                    F.coalesce("sections_completed", F.array().cast("array<string>")).alias("sections_completed"), "source_corpus", "model_used",
+                )
+                papers = cut_lineage(papers)
+                fresh = papers if reprocess == "all" else papers.join(bundles.reusable(papers.withColumn("model_used", F.col("model"))).where("reusable").select("paper_hash"), "paper_hash", "left_anti")
+                found = paper_run.extract(pages.extracted(routed).join(fresh.select("paper"), "paper", "left_semi"), fresh.select("paper", "model"), generator)
+                failed = cut_lineage(found.failed.select(F.col("paper").alias("paper_hash")).distinct())
+                made = cut_lineage(paper_run.corpora(found, fresh))
+                kept = papers.join(fresh.select("paper"), "paper", "left_anti").select("paper_hash", "source_corpus")
+                own = beat.held()  # before sections are written: lost papers cost no further answer
+                good = cut_lineage(papers.join(failed, "paper_hash", "left_anti").join(own, "paper_hash", "left_semi"))
+                corpora = cut_lineage(made.unionByName(kept).join(good.select("paper_hash"), "paper_hash", "left_semi"))
+                loaded = paper_run.load(corpora.join(good.drop("source_corpus"), "paper_hash"))
+                answers = cut_lineage(paper_run.write_up(loaded, good, generator, prompts, reprocess))
+                beat.held()
+            own, state = _commit(tables, granted, good, corpora, answers, fresh_pages, stamp, clock(), stale, render)
+    except LeaseLost:
+        own = none
+    finally:
+        beat.stop()
+        release(tables, granted)
+    ended = first.select("paper_hash").join(state.select("paper_hash", "sections_completed"), "paper_hash", "left").join(todo.select("paper_hash", F.lit(1).alias("todo")), "paper_hash", "left").join(own.withColumn("own", F.lit(1)), "paper_hash", "left").join(failed.withColumn("failed", F.lit(1)), "paper_hash", "left")
+    status = F.when(F.col("todo").isNull(), "ALREADY_COMPLETE").when(F.col("failed").isNotNull(), "FAILED").when(F.col("own").isNull(), "CLAIMED_ELSEWHERE").when(store.is_complete(F.col("sections_completed")), "COMPLETE").otherwise("PARTIAL")
+    return cut_lineage(ended.select("paper_hash", status.alias("status")))
+
+
+def _commit(tables: Tables, granted: DataFrame, papers: DataFrame, corpora: DataFrame, answers: DataFrame, read: DataFrame, stamp: str, now: float, stale: float, render) -> tuple[DataFrame, DataFrame]:
+    """One commit of papers, diagrams and cached texts on top of the leases they are judged by; what is held, and papers' state."""
+    out: list[DataFrame] = []
+
+    def change(version: int) -> list[DataFrame]:
+        own = cut_lineage(still_held(tables, granted, now, stale, version))
+        state, drawn, cache = tables.papers.read(version), tables.diagrams.read(version), tables.ocr_cache.read(version)
+        b = F.from_json("source_corpus", BUNDLE)
+        told = corpora.select("paper_hash", strategy(F.size(b["chunks"]), b["reduction_levels"], F.size(F.flatten(F.transform(b["chunks"], lambda c: c["evidence"])))).alias("strategy"))
+        meta = papers.join(own, "paper_hash", "left_semi").join(told, "paper_hash", "left").select(
+            "paper_hash", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("paper_name"), F.col("path").alias("pdf_path"), "page_count", F.col("model").alias("model_used"), F.col("code_model").alias("code_model_used"),
+            "strategy", F.lit(stamp).alias("processed_at"), F.lit(None).cast("string").alias("source_corpus"),
+        )
+        state = store.write_corpus(store.upsert_meta(state, meta, stamp), corpora.join(own, "paper_hash", "left_semi"), stamp)
+        state, drawn = paper_run.store_answers(state, drawn, answers.join(own, "paper_hash", "left_semi"), stamp, render)
+        state = cut_lineage(state)
+        check_identities(state)
+        keys = ["paper_hash", "page_idx", "ocr_profile"]
+        out[:] = [own, state]
+        return [state, drawn, store.put_first(cache, read.withColumn("seq", F.lit(0)), keys, "seq")]
+
+    update([tables.papers, tables.diagrams, tables.ocr_cache], change)
+    return out[0], out[1]
+
+
+def clear(tables: Tables, section: str, now: float, paper_hash: str | None = None) -> None:
+    """Forget a section, or ``all`` of them, of one paper or of every one, in one commit."""
+    stamp = pd.Timestamp(now, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def change(version: int) -> list[DataFrame]:
+        state, drawn = tables.papers.read(version), tables.diagrams.read(version)
+        mine = F.lit(True) if paper_hash is None else F.col("paper_hash") == paper_hash
+        cleared, left = store.clear_section(state.where(mine), drawn.where(mine), section, stamp)
+        return [cleared.unionByName(state.where(~mine)), left.unionByName(drawn.where(~mine))]
+
+    update([tables.papers, tables.diagrams], change)
 
 
 def status_of(tables: Tables, root: str, now: float, pattern: str = "*.txt") -> DataFrame:

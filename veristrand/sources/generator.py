@@ -19,20 +19,40 @@ class Generator(Protocol):
     def __call__(self, model: str, prompt: str) -> str: ...
 
 
-def generate(prompts: DataFrame, generator: Generator, check: Callable[[str], str | None] | None = None, retries: int = 1) -> DataFrame:
+class EmptyAnswer(RuntimeError):
+    """The model answered nothing: it may hang, so it is loaded anew before the next try."""
+
+
+class AnswerTimeout(RuntimeError):
+    """The model did not answer in time; asking again at once would only wait again."""
+
+
+def generate(prompts: DataFrame, generator: Generator, check: Callable[..., str | None] | None = None, retries: int = 1) -> DataFrame:
     """prompts (model, prompt, other columns) with answer, error, attempts.
 
     check names what is wrong with an answer, or None; a wrong one is asked for again with a
-    repair prompt. Failures are told in error, never raised, so one paper stops no other.
+    repair prompt. Where prompts have a column ``allowed``, check gets its value as well. After
+    an empty answer the generator's ``reload(model)``, if it has one, comes before the next try;
+    a timeout isn't tried again. Failures are told in error, never raised, so one paper stops
+    no other.
     """
+    bound = "allowed" in prompts.columns
 
-    def one(model: str, prompt: str) -> tuple[str | None, str | None, int]:
+    def one(model: str, prompt: str, *allowed) -> tuple[str | None, str | None, int]:
         answer, error = None, None
         for attempt in range(retries + 1):
             try:
                 ask = prompt if attempt == 0 else repair_prompt(prompt, answer or "", error or "")
                 answer = generator(model, ask)
-                error = "empty answer" if not answer.strip() else check(answer) if check else None
+                if not answer.strip():
+                    raise EmptyAnswer("empty answer")
+                error = check(answer, *allowed) if check else None
+            except EmptyAnswer as e:
+                error = str(e)
+                if attempt < retries and hasattr(generator, "reload"):
+                    generator.reload(model)
+            except AnswerTimeout as e:
+                return answer, f"AnswerTimeout: {e}", attempt + 1
             except Exception as e:  # told in its row
                 error = f"{type(e).__name__}: {e}"
             if error is None:
@@ -41,7 +61,7 @@ def generate(prompts: DataFrame, generator: Generator, check: Callable[[str], st
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            out = [one(m, p) for m, p in zip(pdf["model"], pdf["prompt"], strict=True)]
+            out = [one(*x) for x in zip(*(pdf[c] for c in ["model", "prompt", *["allowed"] * bound]), strict=True)]
             yield pdf.assign(answer=[x[0] for x in out], error=[x[1] for x in out], attempts=[x[2] for x in out])
 
     schema = T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
@@ -67,8 +87,17 @@ def extractive_proposals(members: DataFrame, every: int = 3) -> DataFrame:
     return both.select("paper", "chunk_index", (F.col("number") * 2 + F.col("x.side")).cast("int").alias("ord"), "kind", F.concat(F.lit("page "), F.col("number").cast("string")).alias("statement"), F.col("x.support").alias("support"), F.col("number").cast("string").alias("page"))
 
 
-def map_prompt(content: Column) -> Column:
-    return F.concat(F.lit("Quote evidence from these pages as a JSON object with chunk_summary and evidence (kind, statement, support, page).\n\n"), content)
+def repair_of(prompt: Column, answer: Column, error: Column) -> Column:
+    """``repair_prompt`` over columns."""
+    none = F.lit("")
+    return F.concat(prompt, F.lit("\n\nThe last response failed validation. Return a corrected JSON object only.\nError: "), F.coalesce(error, none), F.lit("\nLast response:\n"), F.substring(F.coalesce(answer, none), 1, 8000))
+
+
+def map_prompt(content: Column, chunk: Column | None = None, numbers: Column | None = None) -> Column:
+    """Asks for evidence out of a chunk; with its number and pages where they are given."""
+    ask = F.lit("Quote evidence from these pages as a JSON object with chunk_summary and evidence (kind, statement, support, page).\n\n")
+    which = F.lit("") if chunk is None else F.format_string("Chunk: %d; allowed pages: [%s]\n\n", chunk, F.array_join(numbers, ", "))
+    return F.concat(ask, which, content)
 
 
 def stream_answer(lines: DataFrame) -> DataFrame:

@@ -18,16 +18,18 @@ def needs_ocr(text: Column, least: int = OCR_MIN_CHARS) -> Column:
     return F.length(strip(text)) < least
 
 
-def route_pages(pages: DataFrame, cache: DataFrame, mode: str = "auto", available: bool = True, budget: int = OCR_BUDGET, least: int = OCR_MIN_CHARS) -> DataFrame:
+def route_pages(pages: DataFrame, cache: DataFrame, mode: str = "auto", available: bool = True, budget: int = OCR_BUDGET, least: int = OCR_MIN_CHARS, profile: str | None = None) -> DataFrame:
     """Each page's route and the text it yields.
 
     pages: paper, number, text, ocr (what reading its image would give). cache: paper,
     page_idx (from 0), text. Result: paper, number, native, wants, cached, capped, text,
     method; text is null for a page left blank. A cached page is free, even one cached
-    empty; a fresh one counts against the budget of its paper (0: no limit), in page order.
+    empty, under the profile if one is given (column ocr_profile); a fresh one counts against the budget of its paper (0: no limit), in page order.
     """
     if mode not in ("auto", "always", "never"):
         raise ValueError(f"unknown mode {mode!r}: auto, always or never")
+    if profile is not None:
+        cache = cache.where(F.col("ocr_profile") == profile)
     native = strip("text")
     wants = F.lit(available and mode != "never") & (F.lit(mode == "always") | (F.length(native) < least))
     hits = cache.select("paper", (F.col("page_idx") + 1).alias("number"), F.col("text").alias("hit"))

@@ -174,8 +174,8 @@ def page_texts(tables: Tables, files: DataFrame, ocr: Ocr) -> tuple[DataFrame, D
     be read; a failed page reads as empty.
     """
     raw = files.select("paper", F.posexplode("pages").alias("at", "text")).select("paper", (F.col("at") + 1).alias("number"), "text")
-    cache = tables.ocr_cache.read().where(F.col("ocr_profile") == ocr.profile).select(F.col("paper_hash").alias("paper"), "page_idx", "text")
-    how = {"mode": ocr.mode, "available": ocr.read is not None, "budget": ocr.budget}
+    cache = tables.ocr_cache.read().withColumnRenamed("paper_hash", "paper")
+    how = {"profile": ocr.profile, "mode": ocr.mode, "available": ocr.read is not None, "budget": ocr.budget}
     none = F.lit(None).cast("string")
     first = cut_lineage(pages.route_pages(raw.withColumn("ocr", none), cache, **how))
     wanted = first.where("wants and not cached and not capped").groupBy("paper").agg(F.sort_array(F.collect_list("number")).alias("numbers"))

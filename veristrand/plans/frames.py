@@ -6,12 +6,15 @@ and stored rows are derived by fixed rules, so every query has one right result.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SECTIONS
 from ..operators import chunks, evidence, pages
-from ..sources.generator import extractive_proposals
+from ..sources.generator import extractive_proposals, map_prompt
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,24 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.check_proposals(extractive_proposals(m), chunks.chunk_pages(m))
 
 
+def stubborn(model: str, prompt: str) -> str:
+    """A generator by chunk number, mod 5: 1 gives no object at first, 2 a made-up quote at first, 3 always; the others quote the first page."""
+    again = "failed validation" in prompt
+    rest = int(re.search(r"Chunk: (\d+)", prompt)[1]) % 5
+    number, line = re.search(r"\[PAGE (\d+)\]\n([^\n]*)", prompt).groups()
+    if rest == 1 and not again:
+        return "Here is what I found."
+    support = f"never said: {line[:40]}" if rest == 3 or rest == 2 and not again else line[:60]
+    return json.dumps({"chunk_summary": "a chunk", "evidence": [{"kind": "method", "statement": "said", "support": support, "page": int(number)}]})
+
+
+def asked(held: DataFrame, found: DataFrame) -> DataFrame:
+    """Prompts for chunks (members found, their pages held): paper, chunk_index, model, prompt."""
+    numbers = held.groupBy("paper", "chunk_index").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    rows = chunks.render(found).join(numbers, ["paper", "chunk_index"])
+    return rows.select("paper", "chunk_index", F.lit("m").alias("model"), map_prompt(F.col("content"), F.col("chunk_index"), F.col("numbers")).alias("prompt"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated evidence."""
     return evidence.first_claims(evidence.with_ids(checked(spark, sf_dir)))

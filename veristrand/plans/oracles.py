@@ -159,7 +159,15 @@ ORACLES = {
     "relationship_validate": f"""WITH RECURSIVE {_RELATIONS}
         SELECT paper, nth::BIGINT AS nth, array_to_string(selected, ',') AS ids, trim(description) AS description FROM relation WHERE NOT list_contains(ids, 'C999-E999')""",
     "relationship_pairs": f"WITH RECURSIVE {_GRAPH} SELECT src, dst, description FROM edge",
-    "graph_nodes": f"WITH RECURSIVE {_GRAPH} SELECT qid, paper, evidence_id, kind, page::BIGINT AS page FROM node",
+    "graph_nodes": f"WITH RECURSIVE {_GRAPH} SELECT qid, sha256(paper::VARCHAR) AS paper_hash, evidence_id, kind, page::BIGINT AS page FROM node",
+    "chunk_retry": f"""WITH RECURSIVE {chunks()},
+      c AS (SELECT paper, chunk_index, arg_min(text, pos) AS line FROM member GROUP BY ALL),
+      r AS (SELECT paper, chunk_index, (chunk_index % 5 <> 3 AND trim(substring(line, 1, 60)) <> '')::BIGINT AS ok FROM c)
+      SELECT paper, chunk_index::BIGINT AS chunk_index, CASE WHEN ok = 0 THEN 'all proposed evidence failed source verification' END AS error, ok AS accepted_items, 1 - ok AS rejected_items FROM r""",
+    "cache_profiles": f"""WITH {PAGES}, raw AS (SELECT paper, number, trim(text) AS native, CASE WHEN number % 3 = 0 THEN 'b ' || text END AS hit FROM pages_)
+      SELECT paper, number, hit IS NOT NULL AS cached, nullif(coalesce(nullif(trim(hit), ''), native), '') AS text FROM raw""",
+    "heartbeat_loss": f"""WITH {_EVENTS}, g AS (SELECT key, ts, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS after FROM log)
+      SELECT key, min(ts + 7200) AS lost_at FROM g WHERE after - ts >= 7200 GROUP BY key""",
     "graph_edges": f"WITH RECURSIVE {_GRAPH} SELECT src, dst, description FROM edges_",
     "graph_endpoints": f"WITH RECURSIVE {_GRAPH} SELECT qid AS id, evidence_id AS label FROM node WHERE qid IN (SELECT src FROM edges_ UNION ALL SELECT dst FROM edges_)",
     "context_prefix_fit": f"WITH {PAGES}, r AS (SELECT paper, number, sum(length(text)) OVER (PARTITION BY paper ORDER BY number) AS used FROM pages_) SELECT paper, number, used::BIGINT AS used FROM r WHERE used <= 1500",

@@ -14,6 +14,7 @@ from ..session import cut_lineage
 from ..sources.generator import stream_answer as read_stream
 from . import frames
 from .oracles import ORACLES
+from .paper_run import ask_chunks
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -62,6 +63,15 @@ def page_ocr_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).select("paper", long("number"), "wants", "cached", "capped", "text", "method")
 
 
+@query
+def cache_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readers' texts of one page lie in the cache; only those of the profile at hand count."""
+    p = frames.paper_pages(spark, sf_dir)
+    texts = lambda name, every: p.where(F.col("number") % every == 0).select("paper", (F.col("number") - 1).alias("page_idx"), F.lit(name).alias("ocr_profile"), F.concat(F.lit(f"{name} "), "text").alias("text"))
+    routed = pages.route_pages(p.withColumn("ocr", F.lit("")), texts("a", 5).unionByName(texts("b", 3)), mode="always", budget=0, profile="b")
+    return routed.select("paper", long("number"), "cached", "text")
+
+
 @query
 def ocr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _routed(spark, sf_dir)
@@ -139,6 +149,15 @@ def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.checked(spark, sf_dir).select("paper", long("chunk_index"), long("ord"), "kind", "support", long("page"), "accepted")
 
 
+@query
+def chunk_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each chunk after answers that can't be read or verified are asked again."""
+    found = cut_lineage(frames.members(spark, sf_dir))
+    held = cut_lineage(chunks.chunk_pages(found))
+    judged, _ = ask_chunks(frames.asked(held, found), held, frames.stubborn)
+    return judged.select("paper", long("chunk_index"), "error", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("accepted_items", "rejected_items")))
+
+
 @query
 def evidence_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rejected_counts(frames.checked(spark, sf_dir)).withColumn("chunk_index", long("chunk_index"))
@@ -358,12 +377,17 @@ def fenced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.fenced_writes(writes, leases.replay(e)).select("key", "write_id", "accepted")
 
 
+@query
+def heartbeat_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leases.lost_by_silence(frames.lease_events(spark, sf_dir))
+
+
 # Graph
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Evidence nodes and relation pairs, papers named by a digest."""
-    items = frames.items(spark, sf_dir)
+    items = cut_lineage(frames.items(spark, sf_dir))
     nodes = items.select(F.concat_ws(":", hashed("paper"), "evidence_id").alias("qid"), "paper", "evidence_id", "kind", "page")
     pairs = graph.relation_pairs(frames.relations(items).withColumn("paper_hash", hashed("paper")))
     return nodes, pairs
@@ -371,7 +395,10 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[0].withColumn("page", long("page"))
+    fact = F.struct("chunk_index", "ord", "evidence_id", "kind", "statement", "support", "page")
+    facts = frames.items(spark, sf_dir).groupBy(hashed("paper").alias("paper_hash")).agg(F.sort_array(F.collect_list(fact)).alias("evidence"))
+    bundle = F.struct(F.array(F.struct("evidence")).alias("chunks"))
+    return graph.evidence_nodes(facts.select("paper_hash", bundle.alias("bundle"))).select("qid", "paper_hash", "evidence_id", "kind", long("page"))
 
 
 @query

@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,14 +33,18 @@ BUDGET = 32_000_000
 QUICK_MARGIN, MARGIN = 0.05, 0.01
 PIECE = 1 << 15
 UNKNOWN = "und"
-#: Word characters that are no letters: numerals such as a superscript two or a half.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Runs of letters, and of numerals such as a superscript two or a half, which ``plain`` takes out.
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str | None) -> bytes:
     """Lower-cased words of letters, joined by spaces."""
-    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "replace") if text else b""
+    if not text:
+        return b""
+    words = _LETTERS.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return " ".join(words).encode("utf-8", "replace")
 
 
 def _excerpt(text: bytes, at: int) -> bytes:

@@ -170,14 +170,19 @@ def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_slices(df: DataFrame, f: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
     """Like ``mapInPandas``, but f meets small frames: a worker's memory doesn't follow the batch size."""
     small_batches(df.sparkSession)

@@ -24,12 +24,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,22 @@ class Model:
     weights: tuple[float, ...] = (1.0, *(0.0,) * _EVIDENCE)
     bias: float = -1.0
 
+    def features(self, text: str | None) -> list[float]:
+        return Scorer(self).features(text)
+
+    def score(self, text: str | None) -> float:
+        return Scorer(self).score(text)
+
+
+class Scorer:
+    """A model as workers hold it: sorted digests and their evidence, some 16 bytes an entry."""
+
+    def __init__(self, model: Model):
+        self.weights, self.bias = model.weights, model.bias
+        self.words = _sorted(_digests(model.words), model.words)
+        cut = [p.partition(" ") for p in model.pairs]
+        self.pairs = _sorted(_behind(_digests(v for v, _, _ in cut), _digests(x for _, _, x in cut)), model.pairs)
+
     def features(self, text: str | None) -> list[float]:
         """Length-normalised evidence of the strongest stretches and of the whole, and the length.
 
@@ -76,9 +93,9 @@ class Model:
         w = tokens(text)
         if not w:
             return [0.0] * (_EVIDENCE + 1)
-        one, two = self.words.get, self.pairs.get
-        single = [one(x, 0.0) for x in w]
-        pair = [single[0], *(two(f"{v} {x}", e) for v, x, e in zip(w, w[1:], single[1:], strict=False))]
+        keys = _digests(w)
+        single = _looked_up(self.words, keys, np.zeros(len(w)))
+        pair = np.r_[single[:1], _looked_up(self.pairs, _behind(keys[:-1], keys[1:]), single[1:])]
         out = []
         for e in (single, pair):
             run = np.concatenate(([0.0], np.cumsum(e)))
@@ -93,6 +110,29 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.logit(text)))))
 
 
+def _digests(words: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
+
+
+def _behind(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A digest of each pair out of those of its words."""
+    return before * np.uint64(0x9E3779B97F4A7C15) + word
+
+
+def _sorted(keys: np.ndarray, evidence: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(evidence.values(), dtype=np.float64, count=len(evidence))[order]
+
+
+def _looked_up(of: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The evidence of each key, or the other value where the model has none."""
+    known, evidence = of
+    if not len(known):
+        return other
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, evidence[at], other)
+
+
 def _discounted(n: Column, d: tuple[float, ...]) -> Column:
     """n less its discount; null counts are none."""
     n = F.coalesce(n, F.lit(0)).cast("double")
@@ -199,7 +239,7 @@ def _evidence(words: DataFrame, pairs: DataFrame, shared: DataFrame) -> Model:
 
 def _calibrate(rows: DataFrame, model: Model) -> None:
     """Logistic weights out of the calibration fold, and the bias with fewest errors there."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = rows.sparkSession.sparkContext.broadcast(Scorer(model))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def features(text: pd.Series) -> pd.Series:
@@ -251,7 +291,7 @@ def _threshold(s: np.ndarray, y: np.ndarray) -> float:
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score; one pass, no shuffle, all columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(Scorer(model))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:

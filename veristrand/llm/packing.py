@@ -45,7 +45,7 @@ class Encoder(dict):
     through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -88,7 +88,7 @@ class Encoder(dict):
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """A worker keeps the words it has seen from one task to the next."""
+    """A worker keeps the vocabulary from one task to the next, the words it has seen for one task only."""
     return Encoder(path)
 
 
@@ -164,6 +164,8 @@ def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str)
                     first, held, tokens = first + n, [], 0
         if held:
             yield lay(held, first, length)[0]
+        words.clear()  # idle workers stay around, and any of them may have had a task
+        held = []
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), schema)

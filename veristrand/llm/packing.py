@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from .common import small_batches, tidied
 LENGTH = 2048
 END = 1
 BIN_TOKENS = 2_000_000
+#: Words whose ids a worker holds at most, and those of them that outlast a task.
+WORDS, KEPT = 150_000, 50_000
 #: Relative cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
@@ -40,12 +43,13 @@ class Encoder(dict):
     """White-space separated word -> its ids as little-endian 32-bit integers.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of
-    its words in turn. Words seen are kept, up to a bound; new ones made of Latin letters,
-    with or without punctuation behind, go straight to the vocabulary's merges, all others
-    through the whole tokenizer.
+    its words in turn. Words seen are kept, up to a bound; beyond it those seen first stay,
+    since the frequent ones are among them. New ones made of Latin letters, with or without
+    punctuation behind, go straight to the vocabulary's merges, all others through the whole
+    tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -58,10 +62,16 @@ class Encoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.bound:
-            self.clear()
+            self.trim()
         x = self[word] = self._encode(word)
         return x
 
+    def trim(self) -> None:
+        """Only the words seen first stay, KEPT or half the bound."""
+        first = list(islice(self.items(), min(KEPT, self.bound // 2)))
+        self.clear()
+        self.update(first)
+
     def _encode(self, word: bytes) -> bytes:
         core = word.rstrip(b".,!?;:")
         mark = word[len(core) :]
@@ -88,7 +98,7 @@ class Encoder(dict):
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """A worker keeps the vocabulary from one task to the next, the words it has seen for one task only."""
+    """A worker keeps the vocabulary from one task to the next, and the words it saw first."""
     return Encoder(path)
 
 
@@ -164,7 +174,7 @@ def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str)
                     first, held, tokens = first + n, [], 0
         if held:
             yield lay(held, first, length)[0]
-        words.clear()  # idle workers stay around, and any of them may have had a task
+        words.trim()  # idle workers stay around, and any of them may have had a task
         held = []
 
     small_batches(docs.sparkSession)

@@ -37,6 +37,8 @@ WORDS, KEPT = 150_000, 50_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 _TASK = 40
+#: Sequences of a frame that goes back to the JVM: arrays of ids are large.
+FRAME = 64
 
 
 class Encoder(dict):
@@ -155,7 +157,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
 
 
 def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str) -> DataFrame:
-    """lay's frames for each bin of a task's rows: (row_id, doc_id, ids) triples, first sequence, length."""
+    """lay's frames for each bin of a task's rows: (row_id, doc_id, ids) triples, first sequence, length.
+
+    lay gives an iterator of frames and the number of sequences.
+    """
 
     def run(batches: Iterator) -> Iterator:
         words = encoder(tokenizer_path)
@@ -169,11 +174,11 @@ def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str)
                 row += 1
                 tokens += len(ids) // 4
                 if tokens >= BIN_TOKENS:
-                    out, n = lay(held, first, length)
-                    yield out
+                    frames, n = lay(held, first, length)
+                    yield from frames
                     first, held, tokens = first + n, [], 0
         if held:
-            yield lay(held, first, length)[0]
+            yield from lay(held, first, length)[0]
         words.trim()  # idle workers stay around, and any of them may have had a task
         held = []
 
@@ -181,11 +186,11 @@ def _binned(docs: DataFrame, tokenizer_path: str, length: int, lay, schema: str)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), schema)
 
 
-def _packed(held: list[tuple], first: int, length: int) -> tuple[pd.DataFrame, int]:
+def _packed(held: list[tuple], first: int, length: int) -> tuple[Iterator[pd.DataFrame], int]:
     pieces, n = plan([len(ids) // 4 for _, _, ids in held], length)
     rows = [(held[i][1], at, m, zlib.crc32(memoryview(held[i][2])[4 * at : 4 * (at + m)]), len(held[i][2]) // 4, first + s, o, held[i][0]) for i, at, m, s, o in pieces]
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id"])
-    return out.astype({"doc_id": "Int64"}), n
+    return iter([out.astype({"doc_id": "Int64"})]), n
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, pad: int = 0) -> DataFrame:
@@ -196,25 +201,31 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, pad: i
     ``pack`` treats them.
     """
 
-    def lay(held: list[tuple], first: int, length: int) -> tuple[pd.DataFrame, int]:
+    def lay(held: list[tuple], first: int, length: int) -> tuple[Iterator[pd.DataFrame], int]:
         return _laid(held, first, length, pad)
 
     return _binned(docs, tokenizer_path, length, lay, "sequence_id long, ids array<int>, segments array<int>, doc_ids array<long>, row_ids array<long>, starts array<long>")
 
 
-def _laid(held: list[tuple], first: int, length: int, pad: int) -> tuple[pd.DataFrame, int]:
+def _laid(held: list[tuple], first: int, length: int, pad: int) -> tuple[Iterator[pd.DataFrame], int]:
     pieces, n = plan([len(ids) // 4 for _, _, ids in held], length)
     by: list[list] = [[] for _ in range(n)]
     for i, at, m, s, o in pieces:
-        by[s].append((o, np.frombuffer(held[i][2], dtype="<i4", count=m, offset=4 * at), None if pd.isna(held[i][1]) else int(held[i][1]), held[i][0], at))
+        by[s].append((o, i, at, m))
+    return (_rows(held, by[k : k + FRAME], first + k, length, pad) for k in range(0, n, FRAME)), n
+
+
+def _rows(held: list[tuple], by: list[list], first: int, length: int, pad: int) -> pd.DataFrame:
+    """Sequences numbered from first on; by: the pieces of each (offset, place in held, start, length)."""
     out: dict[str, list] = {k: [] for k in ("ids", "segments", "doc_ids", "row_ids", "starts")}
     for own in by:
-        own.sort(key=lambda x: x[0])
-        row = np.concatenate([x[1] for x in own])
-        seg = np.repeat(np.arange(1, len(own) + 1, dtype=np.int32), [len(x[1]) for x in own])
+        own.sort()
+        row = np.concatenate([np.frombuffer(held[i][2], dtype="<i4", count=m, offset=4 * at) for _, i, at, m in own])
+        seg = np.repeat(np.arange(1, len(own) + 1, dtype=np.int32), [m for *_, m in own])
         lack = 0 if len(row) & (len(row) - 1) == 0 else length - len(row)
         out["ids"].append(np.pad(row, (0, lack), constant_values=pad))
         out["segments"].append(np.pad(seg, (0, lack)))
-        for k, at in (("doc_ids", 2), ("row_ids", 3), ("starts", 4)):
-            out[k].append([x[at] for x in own])
-    return pd.DataFrame({"sequence_id": np.arange(first, first + n), **out}), n
+        out["doc_ids"].append([None if pd.isna(held[i][1]) else int(held[i][1]) for _, i, _, _ in own])
+        out["row_ids"].append([held[i][0] for _, i, _, _ in own])
+        out["starts"].append([at for _, _, at, _ in own])
+    return pd.DataFrame({"sequence_id": np.arange(first, first + len(by)), **out})

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -258,7 +258,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
-    """docs with ``packed`` in place of text, and ``spans``: the runs to remove, or null."""
+    """docs with ``packed`` in place of text, and ``spans``: the runs to remove, or null; without rows of a null doc_id."""
     n = n_partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     met = _meet(_seeds(known.where("text is not null").select(F.col("doc_id").cast("long"), "text"), _frequent(known)))
@@ -267,9 +267,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     span = F.collect_list(F.struct("start", "windows", "check")).alias("spans")
     look = met.where("not settled").groupBy("doc_id").agg(span)
     late = _meet(_windows(texts.join(look, "doc_id", "left"))).where("settled")
-    found = texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
-    alone = _packed(docs.where("doc_id is null")).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
-    return found.unionByName(alone)
+    return texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
 
 
 def _removed(t: Text, spans) -> np.ndarray:
@@ -289,21 +287,27 @@ def substring_report(docs: DataFrame) -> DataFrame:
     empty string. Rows with a null doc_id, and repeated rows among themselves, lose nothing
     to each other. Columns other than doc_id and text are ignored.
     """
-    rows = _resolved(docs.select(F.col("doc_id").cast("long"), "text"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    found = _resolved(docs).select("doc_id", "packed", "spans")
+    alone = docs.where("doc_id is null").select("doc_id", F.col("text").cast("binary"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
 
-    def run(batches: Iterator) -> Iterator:
-        cache = _Hashes()
-        for pdf in batches:
-            out = []
-            for raw, spans in zip(pdf["packed"], pdf["spans"], strict=True):
-                words = kept = _unpack(raw).split()
-                if spans is not None and len(spans):
-                    gone = _removed(Text(words, cache), spans)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
+    def counted(read: Callable[[bytes | None], bytes]) -> Callable[[Iterator], Iterator]:
+        def run(batches: Iterator) -> Iterator:
+            cache = _Hashes()
+            for pdf in batches:
+                out = []
+                for raw, spans in zip(pdf.iloc[:, 1], pdf["spans"], strict=True):
+                    words = kept = read(raw).split()
+                    if spans is not None and len(spans):
+                        gone = _removed(Text(words, cache), spans)
+                        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
+
+        return run
 
-    return map_slices(rows.select("doc_id", "packed", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return map_slices(found, counted(_unpack), schema).union(map_slices(alone, counted(lambda text: text or b""), schema))
 
 
 def cut_passages(text: str, gone: list[bool]) -> str:
@@ -333,7 +337,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
     counted = names.index("n_chars") if "n_chars" in names else -1
     inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]  # columns of any name pass
-    rows = _resolved(docs.toDF(*inner))
+    docs = docs.toDF(*inner)
+    rows = _resolved(docs)
     rows = rows.select(*("packed" if c == "text" else c for c in inner), "spans")
 
     def run(batches: Iterator) -> Iterator:
@@ -355,4 +360,4 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             gone = pa.compute.and_(b.column(b.num_columns - 1).is_valid(), columns[at].is_null())
             yield out.filter(pa.compute.invert(gone))
 
-    return rows.mapInArrow(tidied(run), schema)
+    return rows.mapInArrow(tidied(run), schema).union(docs.where("doc_id is null"))

@@ -28,7 +28,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op") and n[2].isdigit()]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in e.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in e.queries()
 
 
 def test_pipeline(spark, sf_dir):

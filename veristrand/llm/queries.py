@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embedding_dedup, language_id, license_scan, mixing, packing, simhash, substring_dedup, toxicity, url_filter
+from . import ann_forest, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, mixing, packing, periodic_runs, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -48,6 +48,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": lambda spark, sf_dir: embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings")),
+    "op11_fill_in_middle": lambda spark, sf_dir: fill_middle.fim_report(table(spark, sf_dir, "documents")),
+    "op12_line_dedup": lambda spark, sf_dir: line_dedup.line_report(table(spark, sf_dir, "documents")),
+    "op13_periodic_runs": lambda spark, sf_dir: periodic_runs.runs_report(table(spark, sf_dir, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +73,6 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM split LEFT JOIN best USING (n)
     """,
+    "op11_fill_in_middle": fill_middle.ORACLE_SQL,
+    "op12_line_dedup": line_dedup.ORACLE_SQL,
 }

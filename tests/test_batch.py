@@ -124,6 +124,47 @@ def test_heartbeat(spark, tmp_path):
         beat.held()
 
 
+def test_commit_survives_other_heartbeats(spark, tmp_path, monkeypatch):
+    """Each time a batch has staged its papers another batch renews and claims: the papers are still staged once."""
+    from pyspark.sql import functions as F
+
+    from veristrand.plans import batch
+    from veristrand.sources import tables
+
+    t = Tables(spark, f"file://{tmp_path}/tables")
+    key = lambda c: spark.createDataFrame([("sha256:" + c * 64,)], "resource_key string")
+    mine, yours = claim(t, key("a"), "me", 0.0), claim(t, key("b"), "you", 0.0)
+    paper = spark.createDataFrame([("a" * 64, "a" * 64, "/p/one.txt", 3, "m", None)], "paper string, paper_hash string, path string, page_count int, model string, code_model string")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    args = (paper, none("paper_hash string, source_corpus string"), none("paper_hash string, section string, answer string, error string"), none("paper_hash string, page_idx int, ocr_profile string, text string"), "t1")
+    staged, publish = [], tables.Root._publish
+
+    def crowded(self, state, number):
+        if "papers" in state["wrote"]:
+            staged.append(state["wrote"]["papers"]["at"])
+            if len(staged) < 4:
+                batch.renew(t, yours, float(len(staged)))
+        publish(self, state, number)
+
+    monkeypatch.setattr(tables.Root, "_publish", crowded)
+    own, state = batch._commit(t, mine, *args, lambda: 5.0, 100.0, None)
+    assert len(staged) == 4 and len(set(staged)) == 1 and state.count() == own.count() == 1
+    assert t.papers.read().first()["paper_name"] == "one" and t.leases.read().where(F.col("renewed_at") == 3.0).count() == 1
+    # a lease that is lost before the commit is no longer written under
+    batch.release(t, mine)
+    own, state = batch._commit(t, mine, *args, lambda: 5.0, 100.0, None)
+    assert own.count() == 0 and t.papers.read().count() == 1
+
+
+def test_interrupted(spark, folder, tmp_path):
+    """A batch that is asked to stop stores nothing and gives its leases back."""
+    t = Tables(spark, f"file://{tmp_path}/tables")
+    asked = []
+    got = run_batch(t, str(folder), drawing(tmp_path / CALLS), lambda: 1.0, stop=lambda: asked.append(1) or len(asked) > 2)
+    assert statuses(got) == ["INTERRUPTED"] * 2 and t.papers.read().count() == 0
+    assert t.leases.read().where("active").count() == 0
+
+
 def test_lost_leases_stop_before_sections(spark, folder, tmp_path):
     """A batch whose papers another claims while it reads evidence writes no section and no row."""
     t = Tables(spark, f"file://{tmp_path}/tables")

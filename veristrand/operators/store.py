@@ -15,6 +15,37 @@ from ..constants import SECTION_COLUMNS, SECTIONS
 META = ["paper_name", "pdf_path", "page_count", "model_used", "code_model_used", "strategy", "processed_at"]
 
 
+#: Marks, in a delta, a key that has no row any more.
+GONE = "__gone"
+
+
+def merged(base: DataFrame, deltas: list[DataFrame], key: list[str]) -> DataFrame:
+    """base with deltas (oldest first; the columns of base and ``GONE``) on top: of each key the newest delta that names it counts.
+
+    Only rows of deltas are ordered; the base is read past their keys, which are few.
+    """
+    if not deltas:
+        return base
+    rows = deltas[0].withColumn("__seq", F.lit(0))
+    for i, d in enumerate(deltas[1:], 1):
+        rows = rows.unionByName(d.withColumn("__seq", F.lit(i)))
+    newest = rows.withColumn("__n", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("__seq")))).where("__n = 1")
+    left = base.join(rows.select(*key).distinct(), key, "left_anti")
+    return left.select(*base.columns).unionByName(newest.where(f"not {GONE}").select(*base.columns))
+
+
+def touched(writes: DataFrame, log: DataFrame) -> DataFrame:
+    """writes (write_id, key, base, at) with ``conflict``: whether log (version, key) has a version after base and before at that wrote the key.
+
+    One union ordered by version carries the last write of a key to what comes after it.
+    """
+    a = log.select("key", F.col("version").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("write_id"), F.lit(None).cast("long").alias("base"), F.col("version").alias("last"))
+    b = writes.select("key", "at", F.lit(-1).alias("side"), "write_id", "base", F.lit(None).cast("long").alias("last"))
+    run = Window.partitionBy("key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = a.unionByName(b).withColumn("last", F.last("last", ignorenulls=True).over(run)).where("side = -1")
+    return met.select("write_id", "key", "base", "at", F.coalesce(F.col("last") > F.col("base"), F.lit(False)).alias("conflict"))
+
+
 def all_sections() -> Column:
     return F.array(*map(F.lit, SECTIONS))
 
@@ -114,12 +145,22 @@ def clear_section(papers: DataFrame, diagrams: DataFrame, section: str, now: str
     return papers.select(*(values.get(c, F.col(c)).alias(c) for c in papers.columns)), diagrams
 
 
-def put_first(cache: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Next state of a cache where the first write of a key stays."""
+def replaced(rows: DataFrame, keys: DataFrame, key: str = "paper_hash") -> DataFrame:
+    """rows as a delta that stands for all rows of keys: a key without any is marked gone."""
+    gone = keys.select(key).distinct().join(rows.select(key), key, "left_anti").withColumn(GONE, F.lit(True))
+    return rows.join(keys.select(key).distinct(), key, "left_semi").withColumn(GONE, F.lit(False)).unionByName(gone, allowMissingColumns=True)
+
+
+def first_new(cache: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first of incoming rows of each key that the cache has not."""
     fresh = incoming.join(cache, keys, "left_anti")
     values = [c for c in cache.columns if c not in keys]
-    first = fresh.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("v")).select(*keys, "v.*")
-    return cache.unionByName(first.select(*cache.columns))
+    return fresh.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("v")).select(*keys, "v.*").select(*cache.columns)
+
+
+def put_first(cache: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Next state of a cache where the first write of a key stays."""
+    return cache.unionByName(first_new(cache, incoming, keys, order))
 
 
 def dangling(diagrams: DataFrame, papers: DataFrame) -> DataFrame:

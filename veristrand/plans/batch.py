@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 from ..constants import HEARTBEAT_S, LEASE_STALE_S, OCR_BUDGET, SECTIONS
 from ..functions.text import select_model, strategy
 from ..operators import bundles, leases, pages, reports, store
-from ..schemas import BUNDLE, DIAGRAMS, LEASES, OCR_CACHE, PAPERS
+from ..schemas import BUNDLE, OCR_CACHE
 from ..session import cut_lineage
+from ..sources import migrations
 from ..sources.files import content_hash, list_files
 from ..sources.generator import Generator
-from ..sources.tables import Table, check_identities, update
+from ..sources.tables import Reads, Table, check_identities, update
 from . import paper_run
 
 #: Instructions of the sections; callers may bring their own.
@@ -37,39 +38,43 @@ def text_pages(raw: bytes) -> list[str]:
 
 
 class Tables:
-    """The four stored tables below one root folder."""
+    """The four stored tables below one root folder; tables of an older layout are brought up to date first."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.papers, self.diagrams = Table(spark, root, "papers", PAPERS), Table(spark, root, "diagrams", DIAGRAMS)
-        self.ocr_cache, self.leases = Table(spark, root, "ocr_cache", OCR_CACHE), Table(spark, root, "processing_leases", LEASES)
+        migrations.migrate_root(spark, root)
+        of = lambda name: Table(spark, root, name, migrations.SCHEMAS[name], migrations.KEYS[name])
+        self.papers, self.diagrams, self.ocr_cache, self.leases = map(of, ("papers", "diagrams", "ocr_cache", "processing_leases"))
         self.commits = self.papers.commits
 
 
+def _some(rows: DataFrame) -> list[DataFrame] | None:
+    """rows as a delta, None where there are none: then nothing is committed."""
+    rows = cut_lineage(rows)
+    return None if rows.isEmpty() else [rows]
+
+
 def claim(tables: Tables, keys: DataFrame, owner: str, now: float, stale: float = LEASE_STALE_S) -> DataFrame:
     """Claim keys (resource_key) for owner; the rows of those granted, with their generation.
 
-    A key is refused while another claim on it is active and fresh. Of two claimants at once
-    one commits first; the other judges anew on what it finds then.
+    A key is refused while another claim on it is active and fresh. Of two claimants of a key
+    at once one commits first; the other judges anew on what it finds then.
     """
     if stale <= 0:
         raise ValueError("a lease needs a positive time to live")
-    asked = cut_lineage(keys.select("resource_key").distinct().withColumn("asked", F.lit(True)))
+    asked = cut_lineage(keys.select("resource_key").distinct())
     got: list[DataFrame] = []
 
-    def change(version: int) -> list[DataFrame]:
-        met = tables.leases.read(version).join(asked, "resource_key", "full")
-        free = F.col("asked") & ~F.coalesce(F.col("active") & (F.lit(now) - F.col("renewed_at") < stale), F.lit(False))
-        free = F.coalesce(free, F.lit(False))
-        state = met.select(
-            "resource_key", F.when(free, F.lit(owner)).otherwise(F.col("owner_id")).alias("owner_id"), F.when(free, F.coalesce("generation", F.lit(0)) + 1).otherwise(F.col("generation")).alias("generation"),
-            F.when(free, F.lit(now)).otherwise(F.col("renewed_at")).alias("renewed_at"), F.when(free, F.lit(True)).otherwise(F.col("active")).alias("active"), free.alias("granted"),
-        )
-        got[:] = [cut_lineage(state)]
-        return [got[0].drop("granted")]
+    def change(version: int) -> list[DataFrame] | None:
+        met = asked.join(tables.leases.rows_of(asked, version), "resource_key", "left")
+        free = met.where(~F.coalesce(F.col("active") & (F.lit(now) - F.col("renewed_at") < stale), F.lit(False)))
+        granted = free.select("resource_key", F.lit(owner).alias("owner_id"), (F.coalesce("generation", F.lit(0)) + 1).cast("long").alias("generation"), F.lit(float(now)).alias("renewed_at"), F.lit(True).alias("active"))
+        some = _some(granted)
+        got[:] = some or [granted.where("false")]
+        return some
 
     update([tables.leases], change)
-    return got[0].where("granted").drop("granted")
+    return got[0]
 
 
 def _own(granted: DataFrame) -> DataFrame:
@@ -79,10 +84,10 @@ def _own(granted: DataFrame) -> DataFrame:
 def release(tables: Tables, granted: DataFrame) -> None:
     """Set granted leases inactive, where owner and generation still match."""
 
-    def change(version: int) -> list[DataFrame]:
-        met = tables.leases.read(version).join(_own(granted), "resource_key", "left")
-        own = F.coalesce((F.col("owner_id") == F.col("o")) & (F.col("generation") == F.col("g")), F.lit(False))
-        return [met.withColumn("active", F.col("active") & ~own).drop("o", "g")]
+    def change(version: int) -> list[DataFrame] | None:
+        met = tables.leases.rows_of(granted, version).join(_own(granted), "resource_key")
+        own = met.where(F.col("active") & (F.col("owner_id") == F.col("o")) & (F.col("generation") == F.col("g")))
+        return _some(own.withColumn("active", F.lit(False)).drop("o", "g"))
 
     update([tables.leases], change)
 
@@ -90,17 +95,17 @@ def release(tables: Tables, granted: DataFrame) -> None:
 def renew(tables: Tables, granted: DataFrame, now: float, stale: float = LEASE_STALE_S) -> None:
     """Renew granted leases that are still held; lost and stale ones stay as they are."""
 
-    def change(version: int) -> list[DataFrame]:
-        met = tables.leases.read(version).join(_own(granted), "resource_key", "left")
-        own = F.coalesce(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale), F.lit(False))
-        return [met.withColumn("renewed_at", F.when(own, F.lit(now)).otherwise(F.col("renewed_at"))).drop("o", "g")]
+    def change(version: int) -> list[DataFrame] | None:
+        met = tables.leases.rows_of(granted, version).join(_own(granted), "resource_key")
+        own = met.where(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale))
+        return _some(own.withColumn("renewed_at", F.lit(float(now))).drop("o", "g"))
 
     update([tables.leases], change)
 
 
 def still_held(tables: Tables, granted: DataFrame, now: float, stale: float = LEASE_STALE_S, version: int | None = None) -> DataFrame:
     """paper_hash of the granted leases that are current: what a write at now may touch."""
-    met = tables.leases.read(version).join(_own(granted), "resource_key").where(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale))
+    met = tables.leases.rows_of(granted, version).join(_own(granted), "resource_key").where(leases.is_current(F.col("o"), F.col("g"), F.lit(now), stale))
     return met.select(F.regexp_replace("resource_key", "^sha256:", "").alias("paper_hash"))
 
 
@@ -108,6 +113,10 @@ class LeaseLost(RuntimeError):
     """No lease of the batch is held any more, or renewal has failed for half its time to live."""
 
 
+class Interrupted(RuntimeError):
+    """The batch was asked to stop."""
+
+
 class Heartbeat:
     """Renews a batch's leases in a thread of its own, beside the jobs that work under them."""
 
@@ -204,14 +213,18 @@ def run_batch(
     tables: Tables, root: str, generator: Generator, clock: Callable[[], float], owner: str = "batch", pattern: str = "*.txt", reader: Callable[[bytes], list[str]] = text_pages,
     prompts: dict[str, str] = PROMPTS, model: str | None = None, code_model: str | None = None, reprocess: str | None = None,
     ocr: Ocr | None = None, render: Callable[[str], str | None] | None = None, only: str | None = None, interval: float = HEARTBEAT_S, stale: float = LEASE_STALE_S,
+    stop: Callable[[], bool] = lambda: False, found: DataFrame | None = None,
 ) -> DataFrame:
     """Process every document below root that is not complete; paper_hash and status of each.
 
-    clock gives epoch seconds; only names one file. Same bytes are one paper. Evidence of a
+    clock gives epoch seconds; only names one file; found (path, content) are files at hand in
+    place of those below root. stop is asked before each step: where it says so, what is not
+    committed is INTERRUPTED and its leases are released. Same bytes are one paper. Evidence of a
     former run is taken from its bundle where that may be reused, so a resumed paper only
     writes what is missing. Leases are renewed beside the work and judged before each step:
     papers lost meanwhile are worked on no further. Papers, diagrams and cached page texts are
-    committed in one step, on top of the leases they were judged by. A paper whose evidence or
+    committed in one step that writes the batch's own rows alone and rests on its leases, so
+    other batches' commits don't stand in its way. A paper whose evidence or
     reduction fails is FAILED and nothing of it is stored but its cached pages.
     """
     if reprocess not in (None, "all", *SECTIONS):
@@ -219,7 +232,7 @@ def run_batch(
     spark, now, ocr = tables.spark, clock(), ocr or Ocr()
     stamp = pd.Timestamp(now, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")
     known = cut_lineage(tables.papers.read())
-    files = list_files(spark, root, pattern).select("path", content_hash().alias("paper_hash"), "content")
+    files = (list_files(spark, root, pattern) if found is None else found).select("path", content_hash().alias("paper_hash"), "content")
     if only:
         files = files.where(F.element_at(F.split("path", "/"), -1) == only)
     first = files.groupBy("paper_hash").agg(F.min_by(F.struct("path", "content"), "path").alias("f")).select("paper_hash", "f.path", "f.content")
@@ -235,12 +248,19 @@ def run_batch(
     mine = granted.select(F.regexp_replace("resource_key", "^sha256:", "").alias("paper_hash"))
     work = cut_lineage(todo.join(mine, "paper_hash", "left_semi"))
     none = work.select("paper_hash").where("false")
-    own, failed, state = none, none, known
+    own, failed, state, stopped = none, none, known, none
     beat = Heartbeat(tables, granted, clock, interval, stale)
+
+    def go_on() -> None:
+        if stop():
+            raise Interrupted
+
     try:
         if not work.isEmpty():
             with beat:
+                go_on()
                 routed, fresh_pages = page_texts(tables, work.select(F.col("paper_hash").alias("paper"), "pages", "content"), ocr)
+                go_on()
                 own = beat.held()
                 count = F.size("pages")
                 papers = work.join(own, "paper_hash", "left_semi").join(known.select("paper_hash", "sections_completed", "source_corpus", "model_used"), "paper_hash", "left").select(
@@ -249,34 +269,44 @@ def run_batch(
                 )
                 papers = cut_lineage(papers)
                 fresh = papers if reprocess == "all" else papers.join(bundles.reusable(papers.withColumn("model_used", F.col("model"))).where("reusable").select("paper_hash"), "paper_hash", "left_anti")
-                found = paper_run.extract(pages.extracted(routed).join(fresh.select("paper"), "paper", "left_semi"), fresh.select("paper", "model"), generator)
-                failed = cut_lineage(found.failed.select(F.col("paper").alias("paper_hash")).distinct())
-                made = cut_lineage(paper_run.corpora(found, fresh))
+                read = paper_run.extract(pages.extracted(routed).join(fresh.select("paper"), "paper", "left_semi"), fresh.select("paper", "model"), generator)
+                failed = cut_lineage(read.failed.select(F.col("paper").alias("paper_hash")).distinct())
+                made = cut_lineage(paper_run.corpora(read, fresh))
                 kept = papers.join(fresh.select("paper"), "paper", "left_anti").select("paper_hash", "source_corpus")
+                go_on()
                 own = beat.held()  # before sections are written: lost papers cost no further answer
                 good = cut_lineage(papers.join(failed, "paper_hash", "left_anti").join(own, "paper_hash", "left_semi"))
                 corpora = cut_lineage(made.unionByName(kept).join(good.select("paper_hash"), "paper_hash", "left_semi"))
                 loaded = paper_run.load(corpora.join(good.drop("source_corpus"), "paper_hash"))
                 answers = cut_lineage(paper_run.write_up(loaded, good, generator, prompts, reprocess))
+                go_on()
                 beat.held()
-            own, state = _commit(tables, granted, good, corpora, answers, fresh_pages, stamp, clock(), stale, render)
+            own, state = _commit(tables, granted, good, corpora, answers, fresh_pages, stamp, clock, stale, render)
     except LeaseLost:
         own = none
+    except Interrupted:
+        stopped = work.select("paper_hash")
     finally:
         beat.stop()
         release(tables, granted)
-    ended = first.select("paper_hash").join(state.select("paper_hash", "sections_completed"), "paper_hash", "left").join(todo.select("paper_hash", F.lit(1).alias("todo")), "paper_hash", "left").join(own.withColumn("own", F.lit(1)), "paper_hash", "left").join(failed.withColumn("failed", F.lit(1)), "paper_hash", "left")
-    status = F.when(F.col("todo").isNull(), "ALREADY_COMPLETE").when(F.col("failed").isNotNull(), "FAILED").when(F.col("own").isNull(), "CLAIMED_ELSEWHERE").when(store.is_complete(F.col("sections_completed")), "COMPLETE").otherwise("PARTIAL")
+    ended = first.select("paper_hash").join(state.select("paper_hash", "sections_completed"), "paper_hash", "left").join(todo.select("paper_hash", F.lit(1).alias("todo")), "paper_hash", "left").join(own.withColumn("own", F.lit(1)), "paper_hash", "left").join(failed.withColumn("failed", F.lit(1)), "paper_hash", "left").join(stopped.withColumn("stopped", F.lit(1)), "paper_hash", "left")
+    status = F.when(F.col("todo").isNull(), "ALREADY_COMPLETE").when(F.col("stopped").isNotNull(), "INTERRUPTED").when(F.col("failed").isNotNull(), "FAILED").when(F.col("own").isNull(), "CLAIMED_ELSEWHERE").when(store.is_complete(F.col("sections_completed")), "COMPLETE").otherwise("PARTIAL")
     return cut_lineage(ended.select("paper_hash", status.alias("status")))
 
 
-def _commit(tables: Tables, granted: DataFrame, papers: DataFrame, corpora: DataFrame, answers: DataFrame, read: DataFrame, stamp: str, now: float, stale: float, render) -> tuple[DataFrame, DataFrame]:
-    """One commit of papers, diagrams and cached texts on top of the leases they are judged by; what is held, and papers' state."""
+def _commit(tables: Tables, granted: DataFrame, papers: DataFrame, corpora: DataFrame, answers: DataFrame, read: DataFrame, stamp: str, clock: Callable[[], float], stale: float, render) -> tuple[DataFrame, DataFrame]:
+    """One commit of papers, diagrams and cached texts that rests on the leases they are judged by; what is held, and its papers' state.
+
+    It is written anew only if a paper's lease is lost meanwhile, or one of its rows was written.
+    """
     out: list[DataFrame] = []
 
+    def held(version: int) -> bool:
+        return out[0].join(still_held(tables, granted, clock(), stale, version), "paper_hash", "left_anti").isEmpty()
+
     def change(version: int) -> list[DataFrame]:
-        own = cut_lineage(still_held(tables, granted, now, stale, version))
-        state, drawn, cache = tables.papers.read(version), tables.diagrams.read(version), tables.ocr_cache.read(version)
+        own = cut_lineage(still_held(tables, granted, clock(), stale, version))
+        state, drawn = (t.rows_of(own, version) for t in (tables.papers, tables.diagrams))
         b = F.from_json("source_corpus", BUNDLE)
         told = corpora.select("paper_hash", strategy(F.size(b["chunks"]), b["reduction_levels"], F.size(F.flatten(F.transform(b["chunks"], lambda c: c["evidence"])))).alias("strategy"))
         meta = papers.join(own, "paper_hash", "left_semi").join(told, "paper_hash", "left").select(
@@ -289,9 +319,10 @@ def _commit(tables: Tables, granted: DataFrame, papers: DataFrame, corpora: Data
         check_identities(state)
         keys = ["paper_hash", "page_idx", "ocr_profile"]
         out[:] = [own, state]
-        return [state, drawn, store.put_first(cache, read.withColumn("seq", F.lit(0)), keys, "seq")]
+        return [state, store.replaced(drawn, own), store.first_new(tables.ocr_cache.read(version), read.withColumn("seq", F.lit(0)), keys, "seq")]
 
-    update([tables.papers, tables.diagrams, tables.ocr_cache], change)
+    leased = Reads(tables.leases, granted.select("resource_key"), held)
+    update([tables.papers, tables.diagrams, tables.ocr_cache], change, (leased,))
     return out[0], out[1]
 
 
@@ -300,10 +331,11 @@ def clear(tables: Tables, section: str, now: float, paper_hash: str | None = Non
     stamp = pd.Timestamp(now, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def change(version: int) -> list[DataFrame]:
-        state, drawn = tables.papers.read(version), tables.diagrams.read(version)
         mine = F.lit(True) if paper_hash is None else F.col("paper_hash") == paper_hash
-        cleared, left = store.clear_section(state.where(mine), drawn.where(mine), section, stamp)
-        return [cleared.unionByName(state.where(~mine)), left.unionByName(drawn.where(~mine))]
+        state = tables.papers.read(version).where(mine)
+        cleared, left = store.clear_section(state, tables.diagrams.read(version).where(mine), section, stamp)
+        check_identities(cleared)
+        return [cleared, store.replaced(left, state.select("paper_hash"))]
 
     update([tables.papers, tables.diagrams], change)
 

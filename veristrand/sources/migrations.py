@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import SCHEMA_VERSION
+from ..constants import IDENTITY_SCHEME, SCHEMA_VERSION
 from ..schemas import DIAGRAMS, LEASES, OCR_CACHE, PAPERS
-from .tables import Root, Table, check_identities, check_version, locks_to_leases, migrate
+from .tables import WHOLE, Conflict, Root, Table, check_identities, check_version, locks_to_leases, migrate
 
 State = dict[str, DataFrame]
 SCHEMAS = {"papers": PAPERS, "diagrams": DIAGRAMS, "ocr_cache": OCR_CACHE, "processing_leases": LEASES}
 
+#: Columns by which a table's rows change: a paper's diagrams are replaced together.
+KEYS = {"papers": ("paper_hash",), "diagrams": ("paper_hash",), "ocr_cache": ("paper_hash", "page_idx", "ocr_profile"), "processing_leases": ("resource_key",)}
+
 
 def _fitted(df: DataFrame | None, schema: T.StructType, spark: SparkSession) -> DataFrame:
     """df with exactly the schema's columns; missing ones are null."""
@@ -57,5 +60,32 @@ def upgrade(spark: SparkSession, state: State, version: int, marker: str | None
 def adopt(spark: SparkSession, root: str, state: State, version: int, marker: str | None = None) -> int:
     """Upgrade tables of an older layout and commit them below root, all in one step, where nothing is yet."""
     ready = upgrade(spark, state, version, marker)
-    staged = {k: v for name, schema in SCHEMAS.items() for k, v in Table(spark, root, name, schema).stage(_fitted(ready.get(name), schema, spark)).items()}
-    return Root(spark, root).commit(staged, 0)
+    return Root(spark, root).commit(_staged(spark, root, ready), 0)
+
+
+def _staged(spark: SparkSession, root: str, ready: State) -> dict:
+    return {k: v for name, schema in SCHEMAS.items() for k, v in Table(spark, root, name, schema, KEYS[name]).stage(_fitted(ready.get(name), schema, spark)).items()}
+
+
+def migrate_root(spark: SparkSession, root: str) -> int:
+    """Bring a root in use to the present version, in one commit; the number of its newest commit.
+
+    The steps run on what the newest commit names, as its files have it, and are published
+    under the next number: where another writer was first they run again on what it left, and
+    of two migrations at once the later finds nothing to do. A failing step changes nothing.
+    """
+    commits = Root(spark, root)
+    while True:
+        number = commits.version()
+        found = commits.commit_at(number)
+        if found["schema_version"] >= SCHEMA_VERSION:
+            return number
+        state = {name: spark.read.parquet(*(f"{commits.root}/{p}" for p in commits.entry(number, name)["base"].values())) for name in found["tables"]}
+        ready = upgrade(spark, state, found["schema_version"], found.get("identity_scheme"))
+        tables = {name: {"base": c.base, "deltas": []} for name, c in _staged(spark, root, ready).items()}
+        others = {k: v for k, v in found["tables"].items() if k not in (*SCHEMAS, "processing_locks")}
+        wrote = {name: {"at": WHOLE, "keys": None} for name in tables}
+        try:
+            return commits.replace({"schema_version": SCHEMA_VERSION, "identity_scheme": IDENTITY_SCHEME, "tables": others | tables, "wrote": wrote}, number)
+        except Conflict:
+            continue

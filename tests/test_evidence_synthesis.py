@@ -2,16 +2,20 @@ import itertools
 
 import pytest
 from pyspark.sql import functions as F
+from restated import coverage
 
 from veristrand.operators import evidence, synthesis
 from veristrand.operators.context import contexts
+from veristrand.schemas import MAP_ANSWER
 
 
 def test_verification(spark):
     page = spark.createDataFrame([(1, 1, 7, " The  Straße is LONG. " + "q" * 700)], "paper int, chunk_index int, number int, text string")
     rows = [
         ("method", "s", "the strasse is long.", "7", True),
-        (" METHOD ", "s", "THE STRASSE", "7.9", True),
+        (" METHOD ", "s", "THE STRASSE", " +7 ", True),
+        ("method", "s", "the strasse", "7.9", False),  # a text is no number with a fraction
+        ("method", "s", "the strasse", "7.0", False),
         ("method", "s", "not there", "7", False),
         ("method", "s", "the strasse", "8", False),
         ("guess", "s", "the strasse", "7", False),
@@ -26,7 +30,15 @@ def test_verification(spark):
     checked = evidence.check_proposals(proposals, page)
     assert [r["accepted"] for r in checked.orderBy("ord").collect()] == [r[4] for r in rows]
     assert [r["evidence_id"] for r in evidence.with_ids(checked).orderBy("ord").collect()] == ["C001-E001", "C001-E002", "C001-E003"]
-    assert evidence.rejected_counts(checked).first()["rejected_items"] == 7
+    assert evidence.rejected_counts(checked).first()["rejected_items"] == 9
+
+
+def test_page_numbers_by_json_type(spark):
+    """A JSON number is cut towards zero, a JSON text must be whole; null, objects and numbers beyond an int name no page."""
+    want = {"7": 7, "7.9": 7, "-0.5": 0, "7e0": 7, '"7"': 7, '" 7 "': 7, '"7.0"': None, '"7.9"': None, '"seven"': None, '""': None, "true": 1, "null": None, "[7]": None, '{"a":7}': None, "12345678901234567890123": None}
+    rows = spark.createDataFrame([(k,) for k in want], "given string").select("given", F.from_json(F.concat(F.lit('{"evidence":[{"page":'), "given", F.lit("}]}")), MAP_ANSWER)["evidence"][0]["page"].alias("page"))
+    got = rows.select("given", evidence.page_number(F.col("page"), rows.schema["page"].dataType).alias("n"))
+    assert {r["given"]: r["n"] for r in got.collect()} == want
 
 
 def test_dedupe_keeps_gaps(spark):
@@ -39,9 +51,19 @@ def test_dedupe_keeps_gaps(spark):
 def test_coverage_vectors():
     want = {0: [], 1: [0], 2: [0, 1], 3: [0, 2, 1], 4: [0, 3, 1, 2], 5: [0, 4, 2, 1, 3], 8: [0, 7, 3, 1, 2, 4, 6, 5], 16: [0, 15, 7, 1, 6, 3, 8, 14, 11, 2, 4, 5, 9, 10, 12, 13]}
     for n, order in want.items():
-        assert list(synthesis.coverage(n)) == order
+        assert list(coverage(n)) == order
     for n in range(120):
-        assert sorted(synthesis.coverage(n)) == list(range(n))
+        assert sorted(coverage(n)) == list(range(n))
+
+
+def test_coverage_order_is_native(spark):
+    rows = [(n, i) for n in (1, 2, 3, 7, 16, 65, 300, 1000) for i in range(n)]
+    df = synthesis.coverage_order(spark.createDataFrame(rows, "paper int, page int"), ["paper"], ["page"], "page")
+    got: dict = {}
+    for r in df.orderBy("paper", "ord").collect():
+        got.setdefault(r["paper"], []).append(r["page"])
+    assert got == {n: list(coverage(n)) for n in got} and len(got) == 8
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_coverage_of_two_stays_as_given(spark):
@@ -52,7 +74,7 @@ def test_coverage_of_two_stays_as_given(spark):
 
 def spread(ids, pages):
     known = [i for i in ids if i in pages]
-    order = known if len(known) < 3 else [sorted(known, key=pages.get)[i] for i in synthesis.coverage(len(known))]
+    order = known if len(known) < 3 else [sorted(known, key=pages.get)[i] for i in coverage(len(known))]
     return order
 
 

@@ -2,6 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from restated import windows
+
 from veristrand.operators import chunks, pages
 
 
@@ -44,7 +46,7 @@ def test_budget_counts_fresh_pages_only(spark):
 
 def test_golden_windows():
     def bounds(sizes, **options):
-        return [(a + 1, b + 1) for a, b in chunks.windows(sizes, **options)]
+        return [(a + 1, b + 1) for a, b in windows(sizes, **options)]
 
     assert bounds([3000] * 20) == [(1, 12), (11, 20)]
     assert bounds([3000] * 35) == [(1, 12), (11, 22), (21, 32), (31, 35)]
@@ -53,6 +55,22 @@ def test_golden_windows():
     assert bounds([]) == []
 
 
+def test_bounds_are_those_windows(spark):
+    """The native fold against the plain walk, over stretches of a list's limits and beyond."""
+    import random
+
+    r = random.Random(4)
+    lists = {i: [r.choice((0, 5, 900, 2500, 5000)) for _ in range(r.choice((0, 1, 2, 7, 60)))] for i in range(60)} | {100: [r.randrange(700) for _ in range(3000)], 101: [6000] * 1030}
+    rows = [(p, i, n) for p, sizes in lists.items() for i, n in enumerate(sizes)]
+    frags = spark.createDataFrame(rows, "paper int, pos int, n int").selectExpr("paper", "pos", "repeat('x', n) AS text")
+    for window, overlap, cap in ((12, 2, 4000), (1, 0, 1000), (5, 4, 2500)):
+        got: dict = {}
+        for x in chunks.chunk_bounds(frags, window, overlap, cap).orderBy("paper", "chunk_index").collect():
+            got.setdefault(x["paper"], []).append((x["first"], x["last"]))
+            assert x["chunk_index"] == len(got[x["paper"]])
+        assert got == {p: list(windows(sizes, window, overlap, cap)) for p, sizes in lists.items() if sizes}
+
+
 def test_long_page_in_fragments(spark):
     p = spark.createDataFrame([(1, 1, "a" * 10, "native"), (1, 2, "b" * 100_000, "native"), (1, 3, "c" * 10, "native")], "paper int, number int, text string, method string")
     f = chunks.fragments(p)
@@ -75,7 +93,7 @@ def test_bad_windows(args):
 @given(st.lists(st.integers(0, 3000), max_size=60), st.integers(1, 8), st.data())
 def test_windows_cover_in_order(sizes, window, data):
     overlap = data.draw(st.integers(0, window - 1))
-    found = list(chunks.windows(sizes, window, overlap, 4000))
+    found = list(windows(sizes, window, overlap, 4000))
     assert sorted({i for a, b in found for i in range(a, b + 1)}) == list(range(len(sizes)))
     for (a, b), (c, _) in zip(found, found[1:], strict=False):
         assert a < c <= b + 1

@@ -7,17 +7,14 @@ from veristrand.plans.queries import QUERIES
 #: A semi-join with one row that says whether there is any edge.
 ONE_ROW = {"graph_endpoints"}
 #: Steps that are sequential by nature or not relational.
-PYTHON = {
-    "chunk_bounds", "chunk_render", "evidence_verify", "evidence_reject", "evidence_ids", "evidence_dedupe", "evidence_by_kind", "kind_rank_order", "coverage_order", "reduce_groups", "reduce_levels",
-    "reduce_root", "relationship_validate", "section_contexts", "lease_replay", "fenced_writes", "owned_leases", "graph_nodes", "graph_edges", "graph_endpoints", "relationship_pairs", "json_repair",
-}
+PYTHON = {"lease_replay", "fenced_writes", "owned_leases", "json_repair"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"reduce_root", "section_contexts"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_products(name, spark, sf_dir):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text

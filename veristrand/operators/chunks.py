@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHAR_CAP, FRAGMENT_CHARS_EXTRA, FRAGMENT_SLACK, MIN_CHAR_CAP, OVERLAP, WINDOW
@@ -25,37 +22,41 @@ def fragments(pages: DataFrame, char_cap: int = CHAR_CAP) -> DataFrame:
     return cut.select("paper", pos.alias("pos"), "number", "part", "text", "method")
 
 
+#: Windows are listed by stretches of so many fragments, since a list is copied to append to it.
+_STRETCH = 1024
+
+
 def chunk_bounds(frags: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, char_cap: int = CHAR_CAP) -> DataFrame:
     """paper, chunk_index (from 1), first, last: the windows as ranges of pos.
 
-    A window's end depends on lengths, and the next start on the end, so each paper's lengths
-    are folded in order; texts stay out of it.
+    Where a window from each fragment would end follows from running sums of lengths. The next
+    window's start follows from that end and lies behind this one's, so one pass over a
+    paper's fragments, which carries the next start, names the windows; texts stay out of it.
     """
     check_windows(window, overlap, char_cap)
-    size = F.struct("pos", F.length("text").cast("int").alias("n"))
-    sizes = frags.groupBy("paper").agg(F.transform(F.sort_array(F.collect_list(size)), lambda x: x["n"]).alias("sizes"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, *w) for p, n in zip(pdf["paper"], pdf["sizes"], strict=True) for i, w in enumerate(windows(n.tolist(), window, overlap, char_cap), 1)]
-            yield pd.DataFrame(rows, columns=["paper", "chunk_index", "first", "last"])
-
-    kind = frags.schema["paper"].dataType.simpleString()
-    return sizes.mapInPandas(fold, f"paper {kind}, chunk_index int, first int, last int")
-
-
-def windows(sizes: list[int], window: int = WINDOW, overlap: int = OVERLAP, char_cap: int = CHAR_CAP) -> Iterator[tuple[int, int]]:
-    """Ranges of fragments of these lengths. A window takes its first fragment whatever its length."""
-    first, total = 0, len(sizes)
-    while first < total:
-        room, last = char_cap - sizes[first] - FRAGMENT_CHARS_EXTRA, first
-        while last + 1 < total and last + 1 - first < window and sizes[last + 1] + FRAGMENT_CHARS_EXTRA <= room:
-            last += 1
-            room -= sizes[last] + FRAGMENT_CHARS_EXTRA
-        yield first, last
-        if last + 1 == total:
-            return
-        first = max(first + 1, last + 1 - min(overlap, last - first))
+    run = Window.partitionBy("paper").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = frags.select("paper", "pos", (F.length("text") + FRAGMENT_CHARS_EXTRA).cast("long").alias("n"))
+    sums = sizes.withColumn("upto", F.sum("n").over(run)).groupBy("paper").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "upto"))), lambda x: x["upto"]).alias("upto"))
+    fits = lambda i: F.size(F.filter(F.slice("upto", i + 2, F.lit(window - 1)), lambda x: x - F.coalesce(F.get("upto", i - 1), F.lit(0)) <= char_cap))
+    ends = sums.select("paper", F.transform("upto", lambda _, i: i + fits(i)).alias("last"))
+    total = F.size("last")
+    after = lambda i, last: F.when(last + 1 == total, total).otherwise(F.greatest(i + 1, last + 1 - F.least(F.lit(overlap), last - i)))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def step(state: Column, i: Column) -> Column:
+        last = F.get("last", i)
+        taken = F.struct(after(i, last).cast("int").alias("at"), F.array_append(state["out"], F.struct(i.alias("first"), last.alias("last"))).alias("out"))
+        return F.when(i == state["at"], taken).otherwise(state)
+
+    def stretch(state: Column, low: Column) -> Column:
+        own = F.sequence(low, F.least(low + _STRETCH, total) - 1)
+        done = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.array_append(state["out"], done["out"]).alias("out"))
+
+    lows = F.sequence(F.lit(0), total - 1, F.lit(_STRETCH))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<first:int,last:int>>>").alias("out"))
+    listed = F.aggregate(lows, start, stretch, lambda s: F.flatten(s["out"]))
+    return ends.select("paper", F.posexplode(listed).alias("nth", "w")).select("paper", (F.col("nth") + 1).alias("chunk_index"), "w.first", "w.last")
 
 
 def chunk_fragments(frags: DataFrame, bounds: DataFrame) -> DataFrame:

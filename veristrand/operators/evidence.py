@@ -10,20 +10,31 @@ from ..constants import STATEMENT_CHARS, SUPPORT_CHARS
 from ..functions.text import bounded, evidence_id, is_kind, normalise, strip
 
 
+def page_number(page: Column, kind: T.DataType) -> Column:
+    """A page number as it was given: numbers are cut towards zero, texts count if they are whole, true is 1.
+
+    A variant keeps whether JSON had a number or a text, so 7.9 is page 7 and "7.9" is none.
+    """
+    whole = lambda x: F.when(F.regexp_like(x, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(F.regexp_replace(x, r"\s", F.lit(""))).try_cast("int"))
+    if isinstance(kind, T.StringType):
+        return whole(page)
+    if not isinstance(kind, T.VariantType):
+        return page.try_cast("int")
+    given = F.schema_of_variant(page)
+    number = F.try_variant_get(page, "$", "double").try_cast("int")
+    return F.when(given == "STRING", whole(F.try_variant_get(page, "$", "string"))).when(given.isin("VOID", "OBJECT<>"), None).otherwise(number)
+
+
 def check_proposals(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     """Proposals with ``accepted``.
 
-    proposals: paper, chunk_index, ord, kind, statement, support, page (text or number).
+    proposals: paper, chunk_index, ord, kind, statement, support, page (variant, text or number).
     pages: paper, chunk_index, number, text, as ``chunk_pages`` gives them. Accepted is a
     known kind, a statement and a support that are not blank, a page of the chunk, and a
     support (cut first) that its page holds, both normalised. The join is on (paper, chunk,
     page); texts are normalised once, before it.
     """
-    kind_of = proposals.schema["page"].dataType
-    if isinstance(kind_of, T.StringType):  # a text names a page only as a whole number, once blanks around it are gone
-        number = F.when(F.regexp_like(F.trim("page"), F.lit(r"^[+-]?[0-9]+(\.0*)?$")), F.expr("try_cast(try_cast(trim(page) as double) as int)"))
-    else:
-        number = F.expr("try_cast(page as int)")  # a number is cut towards zero
+    number = page_number(F.col("page"), proposals.schema["page"].dataType)
     rows = proposals.select("paper", "chunk_index", "ord", F.lower(strip("kind")).alias("kind"), bounded("statement", STATEMENT_CHARS).alias("statement"), bounded("support", SUPPORT_CHARS).alias("support"), number.alias("page"))
     rows = rows.withColumn("needle", normalise("support"))
     held = pages.select("paper", "chunk_index", F.col("number").alias("page"), normalise("text").alias("hay"))

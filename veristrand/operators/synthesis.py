@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import GROUP, KIND_PRIORITY, MAX_SELECTED, RELATION_CHARS, REPRESENTATIVES
 from ..functions.text import bounded
 from ..session import cut_lineage
 
 
-@lru_cache(maxsize=4096)
-def coverage(n: int) -> tuple[int, ...]:
-    """Positions of n items in coverage order: ends of the range, its middle, then both inner ranges, level by level."""
-    if n < 3:
-        return tuple(range(n))
-    out: dict[int, None] = {}
-    level = [(0, n - 1)]
-    while level:
-        inner = []
-        for low, high in level:
-            mid = (low + high) // 2
-            out.update(dict.fromkeys((low, high, mid)))
-            inner += [(a, b) for a, b in ((low + 1, mid - 1), (mid + 1, high - 1)) if a <= b]
-        level = inner
-    return tuple(out)
-
-
-@F.pandas_udf(T.IntegerType())
-def coverage_rank(n: pd.Series, pos: pd.Series) -> pd.Series:
-    """Where the item at pos of a list of n comes in coverage order."""
-    out = np.empty(len(n), dtype=np.int32)
-    for size in n.unique():
-        at = (n == size).to_numpy()
-        place = np.empty(size, dtype=np.int32)
-        place[list(coverage(int(size)))] = np.arange(size)
-        out[at] = place[pos[at].to_numpy()]
-    return pd.Series(out)
+def coverage_seat(n: Column, pos: Column) -> Column:
+    """Where the item at pos of a list of n comes in coverage order, as a struct to order by.
+
+    Coverage order takes the ends of the range and its middle, then those of both inner
+    ranges, level by level. The range that names pos is found by halving: its level, its place
+    among those of the level, and which of its three it is.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("low"), (n - 1).cast("long").alias("high"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("path"), F.lit(None).cast("int").alias("which"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2)
+        which = F.when(pos == s["low"], 0).when(pos == s["high"], 1).when(pos == mid, 2)
+        right = pos > mid
+        low, high = F.when(right, mid + 1).otherwise(s["low"] + 1), F.when(right, s["high"] - 1).otherwise(mid - 1)
+        inner = F.struct(low.alias("low"), high.alias("high"), (s["level"] + 1).alias("level"), (s["path"] * 2 + right.cast("int")).alias("path"), F.lit(None).cast("int").alias("which"))
+        here = F.struct(s["low"].alias("low"), s["high"].alias("high"), s["level"].alias("level"), s["path"].alias("path"), which.alias("which"))
+        return F.when(s["which"].isNotNull(), s).when(which.isNotNull(), here).otherwise(inner)
+
+    depth = F.ceil(F.log2(n + 1)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), depth), start, halve, lambda s: F.struct(s["level"].alias("level"), s["path"].alias("path"), s["which"].alias("which")))
 
 
 def coverage_order(rows: DataFrame, by: list[str], sort: list[str], given: str) -> DataFrame:
@@ -54,7 +42,8 @@ def coverage_order(rows: DataFrame, by: list[str], sort: list[str], given: str)
     n = F.count(F.lit(1)).over(group)
     place = lambda *o: F.row_number().over(group.orderBy(*o)) - 1
     rows = rows.withColumns({"__n": n.cast("int"), "__pos": F.when(n < 3, place(given)).otherwise(place(*sort, given)).cast("int")})
-    return rows.withColumn("ord", coverage_rank("__n", "__pos")).drop("__n", "__pos")
+    rows = rows.withColumn("__seat", coverage_seat(F.col("__n"), F.col("__pos")))
+    return rows.withColumn("ord", (F.row_number().over(group.orderBy("__seat")) - 1).cast("int")).drop("__n", "__pos", "__seat")
 
 
 def remainder_order(items: DataFrame, section: str) -> DataFrame:

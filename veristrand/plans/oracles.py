@@ -65,6 +65,41 @@ COVERAGE = """tree AS (
     coverage AS (SELECT n, pos, row_number() OVER (PARTITION BY n ORDER BY seat) - 1 AS ord FROM seen
                  UNION ALL SELECT * FROM (VALUES (1, 0, 0), (2, 0, 0), (2, 1, 1)))"""
 
+#: Levels that papers of up to 1,024 chunks are reduced by.
+_DEPTH = 5
+
+
+def _in_order(rows: str, by: str) -> str:
+    """rows (with page and nth) with ord: their place in coverage order within by."""
+    placed = f"SELECT *, CASE WHEN n < 3 THEN row_number() OVER (PARTITION BY {by} ORDER BY nth) ELSE row_number() OVER (PARTITION BY {by} ORDER BY page, nth) END - 1 AS pos FROM (SELECT *, count(*) OVER (PARTITION BY {by}) AS n FROM {rows})"
+    return f"SELECT * FROM ({placed}) JOIN coverage USING (n, pos)"
+
+
+def _reduction() -> str:
+    """CTEs leaf, then d0, d1, ... : the dossiers that each level leaves, four by four; one alone is carried over."""
+    out = f"""{EVIDENCE}, {COVERAGE},
+    span AS (SELECT paper, chunk_index, min(number) AS page_start, max(number) AS page_end FROM member GROUP BY ALL),
+    d0 AS (SELECT paper, chunk_index - 1 AS idx, page_start, page_end, coalesce(ids, []) AS ids
+           FROM span LEFT JOIN (SELECT paper, chunk_index, list(evidence_id ORDER BY ord) AS ids FROM item GROUP BY ALL) USING (paper, chunk_index))"""
+    for k in range(_DEPTH):
+        out += f""",
+    g{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY paper) AS many, (row_number() OVER (PARTITION BY paper ORDER BY idx) - 1) // 4 AS grp FROM d{k}),
+    c{k} AS (SELECT paper, grp, idx, unnest(range(1, len(ids) + 1)) AS nth, unnest(ids) AS evidence_id FROM g{k} WHERE many > 1),
+    k{k} AS (SELECT c.*, page FROM c{k} c JOIN item USING (paper, evidence_id)),
+    m{k} AS MATERIALIZED (SELECT paper, grp, coalesce(list(evidence_id ORDER BY idx, ord) FILTER (ord < 2), []) AS reps, list(evidence_id ORDER BY idx, nth) AS every FROM ({_in_order(f"k{k}", "paper, grp, idx")}) GROUP BY ALL),
+    w{k} AS (SELECT paper, grp, reps || list_filter(every[1:4], lambda x: NOT list_contains(reps, x)) AS ids FROM m{k}),
+    u{k} AS (SELECT paper, grp, unnest(range(1, len(ids) + 1)) AS nth, unnest(ids) AS evidence_id FROM w{k}),
+    v{k} AS (SELECT u.*, page FROM u{k} u JOIN item USING (paper, evidence_id)),
+    s{k} AS (SELECT paper, grp, list(evidence_id ORDER BY ord) AS ids FROM ({_in_order(f"v{k}", "paper, grp")}) WHERE ord < 16 GROUP BY ALL),
+    d{k + 1} AS MATERIALIZED (
+      SELECT paper, idx, page_start, page_end, ids FROM g{k} WHERE many = 1
+      UNION ALL
+      SELECT paper, grp, a, b, coalesce(ids, []) FROM (SELECT paper, grp, min(page_start) AS a, max(page_end) AS b FROM g{k} WHERE many > 1 GROUP BY ALL) LEFT JOIN s{k} USING (paper, grp))"""
+    return f"""{out},
+    depth AS (SELECT paper, CASE WHEN count(*) <= 1 THEN 0 WHEN count(*) <= 4 THEN 1 WHEN count(*) <= 16 THEN 2 WHEN count(*) <= 64 THEN 3 WHEN count(*) <= 256 THEN 4 ELSE 5 END AS levels FROM d0 GROUP BY paper),
+    root AS MATERIALIZED (SELECT paper, page_start, page_end, ids, levels FROM d{_DEPTH} JOIN depth USING (paper))"""
+
+
 _ROUTED = f"""{PAGES},
     raw AS (
       SELECT paper, number, trim(text) AS native, length(trim(text)) < 100 AS wants,
@@ -122,7 +157,31 @@ _GRAPH = f"""{_RELATIONS},
     edge AS (SELECT sha256(paper::VARCHAR) || ':' || a AS src, sha256(paper::VARCHAR) || ':' || b AS dst, arg_max(description, (nth, i, j)) AS description FROM pair GROUP BY paper, a, b),
     edges_ AS (SELECT src, dst, description FROM edge WHERE src IN (SELECT qid FROM node) AND dst IN (SELECT qid FROM node))"""
 
+#: A context is grown as text, so what is used is its length; entries that don't fit are passed over.
+_CONTEXTS = f"""{_reduction()},
+    head AS (SELECT paper, ids, '# Hierarchical evidence synthesis' || chr(10) || 'Physical pages: ' || len(string_split(d.text, chr(10))) || chr(10) || 'Evidence records: ' || coalesce(records, 0) || chr(10)
+               || 'Reduction levels: ' || levels || chr(10) || chr(10) || '## Root synthesis' || chr(10) || 'pages ' || page_start || ' to ' || page_end || chr(10) AS head
+             FROM root JOIN documents d ON d.doc_id = paper LEFT JOIN (SELECT paper, count(*) AS records FROM item GROUP BY paper) USING (paper)),
+    line AS (SELECT paper, '- Pages ' || page_start || '–' || page_end || ': pages ' || page_start || ' to ' || page_end || chr(10) AS entry, count(*) OVER (PARTITION BY paper) AS n,
+               row_number() OVER (PARTITION BY paper ORDER BY page_start, page_end, chunk_index) - 1 AS pos, row_number() OVER (PARTITION BY paper ORDER BY chunk_index) - 1 AS given FROM span),
+    lines AS (SELECT paper, list(entry ORDER BY ord) AS lines FROM line JOIN coverage c ON c.n = line.n AND c.pos = CASE WHEN line.n < 3 THEN given ELSE line.pos END GROUP BY paper),
+    fact AS (SELECT paper, evidence_id, kind, page, '[' || evidence_id || '] ' || kind || '; page ' || page || chr(10) || 'Claim: ' || statement || chr(10) || 'Exact support: "' || support || '"' || chr(10) || chr(10) AS entry FROM item),
+    first_ AS (SELECT r.*, page, entry FROM (SELECT paper, unnest(range(1, len(ids) + 1)) AS nth, unnest(ids) AS evidence_id FROM root) r JOIN fact USING (paper, evidence_id)),
+    facts AS (SELECT paper, list(entry ORDER BY tier, ord) AS facts FROM (
+      SELECT paper, 0 AS tier, ord, entry FROM ({_in_order("first_", "paper")})
+      UNION ALL
+      SELECT paper, 1, row_number() OVER (PARTITION BY paper ORDER BY {_RANK}, page, evidence_id), entry FROM fact f WHERE NOT EXISTS (SELECT 1 FROM first_ g WHERE g.paper = f.paper AND g.evidence_id = f.evidence_id)) GROUP BY paper),
+    own AS (SELECT paper, chunk_index AS nth, list(evidence_id ORDER BY ord) AS own FROM item GROUP BY ALL HAVING count(*) > 1),
+    said AS (SELECT paper, nth, '- ' || array_to_string(own, ', ') || ': chunk ' || nth || chr(10) AS entry FROM own WHERE nth % 3 <> 0),
+    top AS (SELECT paper, head, list_reduce(coalesce(lines, []), lambda a, e: CASE WHEN length(a) + length(e) <= 2520 THEN a || e ELSE a END, head || chr(10) || '## Chunk coverage' || chr(10)) AS top FROM head LEFT JOIN lines USING (paper)),
+    body AS (SELECT paper, head, list_reduce(coalesce(facts, []), lambda a, e: CASE WHEN length(a) + length(e) <= 6000 THEN a || e ELSE a END, top || chr(10) || '## Verified evidence' || chr(10)) || chr(10) || '## Supported relationships' || chr(10) AS body FROM top LEFT JOIN facts USING (paper)),
+    run AS (SELECT paper, nth, entry, sum(length(entry)) OVER (PARTITION BY paper ORDER BY nth) AS upto FROM said),
+    told AS (SELECT paper, string_agg(entry, '' ORDER BY nth) AS told FROM run JOIN body USING (paper) WHERE length(body) + upto <= 6000 GROUP BY paper),
+    context AS (SELECT paper, CASE WHEN length(head) < 6000 THEN body || coalesce(told, '') END AS context FROM body LEFT JOIN told USING (paper))"""
+
 ORACLES = {
+    "reduce_root": f"WITH RECURSIVE {_reduction()} SELECT paper, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, array_to_string(ids, ',') AS ids, levels::BIGINT AS levels FROM root",
+    "section_contexts": f"WITH RECURSIVE {_CONTEXTS} SELECT paper, length(context)::BIGINT AS chars, sha256(context) AS digest, CASE WHEN context IS NULL THEN 'the root synthesis fills the context' END AS error FROM context",
     "page_explode": f"WITH {PAGES} SELECT paper, number, length(text)::BIGINT AS chars, sha256(text) AS digest FROM pages_",
     "page_ocr_route": f"WITH {_ROUTED} SELECT paper, number, wants, cached, capped, text, CASE WHEN text IS NOT NULL THEN way END AS method FROM routed",
     "ocr_budget": f"WITH {_ROUTED} SELECT paper, count(*) FILTER (wants AND NOT cached)::BIGINT AS fresh, count(*) FILTER (capped)::BIGINT AS capped FROM routed GROUP BY paper",
@@ -145,6 +204,14 @@ ORACLES = {
     "chunk_bounds": f"WITH RECURSIVE {chunks(12, 2, 3000)} SELECT paper, chunk_index::BIGINT AS chunk_index, min(number)::BIGINT AS page_start, max(number)::BIGINT AS page_end, count(*)::BIGINT AS fragments, sum(n)::BIGINT AS chars FROM member GROUP BY paper, chunk_index",
     "chunk_render": f"WITH RECURSIVE {chunks()} SELECT paper, chunk_index::BIGINT AS chunk_index, sha256(string_agg('[PAGE ' || number || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS digest FROM member GROUP BY paper, chunk_index",
     "evidence_verify": f"WITH RECURSIVE {EVIDENCE} SELECT paper, chunk_index::BIGINT AS chunk_index, ord::BIGINT AS ord, kind, support, page::BIGINT AS page, accepted FROM checked",
+    "evidence_page_types": f"""WITH RECURSIVE {EVIDENCE},
+      told AS (SELECT paper, chunk_index, number, row_number() OVER (PARTITION BY paper, chunk_index ORDER BY number) - 1 AS ord, nullif(trim(substring(text, 1, 60)), '') AS support FROM member WHERE part = 0)
+      SELECT paper, chunk_index::BIGINT AS chunk_index, ord::BIGINT AS ord, CASE WHEN number % 6 NOT IN (3, 4) THEN number END::BIGINT AS page, number % 6 NOT IN (3, 4) AND support IS NOT NULL AS accepted FROM told""",
+    "merge_on_read": """WITH base AS (SELECT sha256(doc_id::VARCHAR) AS paper_hash, doc_id FROM documents)
+      SELECT paper_hash, CASE WHEN doc_id % 7 = 0 THEN 'second ' WHEN doc_id % 5 IN (1, 2) THEN 'first ' ELSE 'base ' END || doc_id AS paper_name
+      FROM base WHERE doc_id % 7 <> 1 AND (doc_id % 7 = 0 OR doc_id % 5 IN (1, 2) OR doc_id % 3 > 0)""",
+    "commit_conflicts": f"""WITH {_EVENTS}, t AS (SELECT event_id, key, greatest(event_id - 1 - event_id % 400, 0) AS base FROM log WHERE kind = 'renew')
+      SELECT event_id AS write_id, EXISTS (SELECT 1 FROM log l WHERE l.key = t.key AND l.event_id > base AND l.event_id < t.event_id) AS conflict FROM t""",
     "evidence_reject": f"WITH RECURSIVE {EVIDENCE} SELECT paper, chunk_index::BIGINT AS chunk_index, count(*) FILTER (accepted)::BIGINT AS accepted_items, count(*) FILTER (NOT accepted)::BIGINT AS rejected_items FROM checked GROUP BY paper, chunk_index",
     "evidence_ids": f"WITH RECURSIVE {EVIDENCE} SELECT paper, evidence_id, kind, support, page::BIGINT AS page FROM numbered",
     "evidence_dedupe": f"WITH RECURSIVE {EVIDENCE} SELECT paper, evidence_id, kind, support, page::BIGINT AS page FROM item",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import PAPER_STATUSES
 from ..functions import generated, text
 from ..operators import chunks, evidence, graph, leases, pages, reports, store, synthesis
+from ..schemas import BUNDLE, MAP_ANSWER, PAPERS
 from ..session import cut_lineage
 from ..sources.generator import stream_answer as read_stream
 from . import frames
@@ -149,6 +150,21 @@ def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.checked(spark, sf_dir).select("paper", long("chunk_index"), long("ord"), "kind", "support", long("page"), "accepted")
 
 
+@query
+def evidence_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of which each names its pages as JSON has them: by page number mod 6 a number, one with a fraction, or a text, whole or not."""
+    m = frames.members(spark, sf_dir)
+    n = F.col("number").cast("string")
+    given = [n, F.concat(n, F.lit(".9")), *(F.concat(F.lit('"'), x, F.lit('"')) for x in (n, F.concat(n, F.lit(".9")), F.concat(n, F.lit(".0")), F.concat(F.lit(" "), n, F.lit(" "))))]
+    page = F.parse_json(F.get(F.array(*given), F.col("number") % 6))
+    fact = F.struct("number", F.struct(F.lit("method").alias("kind"), F.lit("said").alias("statement"), F.substring("text", 1, 60).alias("support"), page.alias("page")).alias("e"))
+    told = m.where("part = 0").groupBy("paper", "chunk_index").agg(F.transform(F.array_sort(F.collect_list(fact), lambda a, b: a["number"] - b["number"]), lambda x: x["e"]).alias("evidence"))
+    answer = F.to_json(F.struct(F.lit("a chunk").alias("chunk_summary"), "evidence"))
+    read = told.select("paper", "chunk_index", F.from_json(answer, MAP_ANSWER).alias("a"))
+    said = read.select("paper", "chunk_index", F.posexplode("a.evidence").alias("ord", "e")).select("paper", "chunk_index", "ord", "e.kind", "e.statement", "e.support", "e.page")
+    return evidence.check_proposals(said, chunks.chunk_pages(m)).select("paper", long("chunk_index"), long("ord"), long("page"), "accepted")
+
+
 @query
 def chunk_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each chunk after answers that can't be read or verified are asked again."""
@@ -279,8 +295,6 @@ def latest_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _full_papers(rows: DataFrame, **values: Column) -> DataFrame:
-    from ..schemas import PAPERS
-
     return rows.select(*(values.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PAPERS))
 
 
@@ -294,6 +308,25 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert_meta(table, new, "2024-02-01T00:00:00Z").select("paper_hash", "paper_name", "source_corpus", "created_at", "updated_at")
 
 
+@query
+def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base and two deltas of documents, read as one state: the second names keys of the first again, and takes some away."""
+    d = frames.read(spark, sf_dir, "documents").select(hashed("doc_id").alias("paper_hash"), "doc_id")
+    told = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string")).alias("paper_name")
+    delta = lambda rows, x, gone: rows.select("paper_hash", told(x), gone.alias(store.GONE))
+    first = delta(d.where("doc_id % 5 in (1, 2)"), "first ", F.lit(False))
+    second = delta(d.where("doc_id % 7 < 2"), "second ", F.col("doc_id") % 7 == 1)
+    return store.merged(d.where("doc_id % 3 > 0").select("paper_hash", told("base ")), [first, second], ["paper_hash"])
+
+
+@query
+def commit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each renewal tries to commit over the whole log's order, on a state up to 400 commits old."""
+    e = frames.lease_events(spark, sf_dir).select("key", "event_id", "kind", F.col("event_id").alias("version"))
+    tries = e.where("kind = 'renew'").select(F.col("event_id").alias("write_id"), "key", F.greatest(F.col("version") - 1 - F.col("event_id") % 400, F.lit(0)).alias("base"), F.col("version").alias("at"))
+    return store.touched(tries, e.select("version", "key")).select("write_id", "conflict")
+
+
 @query
 def clear_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _full_papers(frames.stored(spark, sf_dir), summary_md=F.lit("summary text"), symbolic_logic_md=F.lit("logic text"), source_corpus=F.lit("corpus"))
@@ -472,8 +505,6 @@ def dot_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit('Sure: ```json\n{"chunk_summary": "'), "lang", F.lit(' \\dot{u} \\u0041", "evidence": []}\n```'))
     d = frames.read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
-    from ..schemas import MAP_ANSWER
-
     return d.select("doc_id", generated.json_object("raw", MAP_ANSWER)["chunk_summary"].alias("summary"), generated.first_json_object("raw").alias("object"))
 
 
@@ -484,8 +515,6 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bundle for each document: by doc_id % 5 sound, of another version, model, kind, or with an unknown id at its root."""
-    from ..schemas import BUNDLE
-
     r = F.col("doc_id") % 5
     fact = lambda i: F.struct(F.lit(f"C001-E00{i}").alias("evidence_id"), F.lit(1).alias("chunk_index"), F.when(r == 3, "guess").otherwise("method").alias("kind"), F.lit("s").alias("statement"), F.lit("q").alias("support"), F.lit(1).alias("page"))
     chunk = F.struct(F.lit(1).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("x").alias("summary"), F.array(fact(1), fact(2)).alias("evidence"), F.lit(0).alias("rejected_items"))

@@ -24,5 +24,5 @@ RELATIONSHIP = _struct(evidence_ids=T.ArrayType(_S), description=_S)
 CHUNK_EVIDENCE = _struct(chunk_index=_I, page_start=_I, page_end=_I, summary=_S, evidence=T.ArrayType(EVIDENCE), rejected_items=_I)
 DOSSIER = _struct(page_start=_I, page_end=_I, summary=_S, selected_evidence_ids=T.ArrayType(_S), relationships=T.ArrayType(RELATIONSHIP))
 BUNDLE = _struct(schema_version=_I, paper_hash=_S, model=_S, physical_page_count=_I, chunks=T.ArrayType(CHUNK_EVIDENCE), root=DOSSIER, reduction_levels=_I)
-MAP_ANSWER = _struct(chunk_summary=_S, evidence=T.ArrayType(_struct(kind=_S, statement=_S, support=_S, page=_S)))
+MAP_ANSWER = _struct(chunk_summary=_S, evidence=T.ArrayType(_struct(kind=_S, statement=_S, support=_S, page=T.VariantType())))
 REDUCE_ANSWER = _struct(summary=_S, selected_evidence_ids=T.ArrayType(_S), relationships=T.ArrayType(RELATIONSHIP))

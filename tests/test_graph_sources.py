@@ -94,3 +94,48 @@ def test_render_hook(spark):
     df = spark.createDataFrame([("graph {}",), ("broken",), (None,)], "dot string")
     got = [r[0] for r in df.select(generator.rendered(F.col("dot"), lambda s: "<svg/>" if s.startswith("graph") else 1 // 0)).collect()]
     assert got == ["<svg/>", None, None]
+
+
+def test_graph_follows_papers(spark, parts, tmp_path):
+    """A changed paper rewrites its own rows only; a gone one loses them; nothing new is no commit."""
+    from pyspark.sql import functions as F
+
+    from veristrand.plans.graph_sync import GraphTables, sync_graph
+
+    papers, drawn = parts
+    t = GraphTables(spark, f"file://{tmp_path}")
+    assert {tuple(r) for r in sync_graph(t, papers, drawn).collect()} == {(A, "new"), (B, "new")}
+    same = lambda p, d: all(sorted(map(str, x.collect())) == sorted(map(str, y.collect())) for x, y in zip(t.read(), graph.graph(p, d), strict=True))
+    assert same(papers, drawn) and t.nodes.version() == 1
+    assert sync_graph(t, papers, drawn).count() == 0 and t.nodes.version() == 1
+    renamed = papers.withColumn("paper_name", F.when(F.col("paper_hash") == B, "two").otherwise(F.col("paper_name")))
+    assert [tuple(r) for r in sync_graph(t, renamed, drawn).collect()] == [(B, "changed")]
+    delta = t.nodes.commits.entry(2, "graph_nodes")["deltas"][-1]
+    assert {r["paper_hash"] for r in spark.read.parquet(f"{tmp_path}/{delta}").collect()} == {B} and same(renamed, drawn)
+    assert [tuple(r) for r in sync_graph(t, renamed.where(F.col("paper_hash") != A), drawn).collect()] == [(A, "gone")]
+    nodes, edges = t.read()
+    assert nodes.count() == 4 and edges.count() == 3 and edges.where("type = 'HAS_DIAGRAM'").count() == 0
+    redrawn = drawn.withColumn("title", F.lit("other"))
+    assert [r["change"] for r in sync_graph(t, renamed, redrawn).collect()] == ["new"] and same(renamed, redrawn)
+
+
+def test_files_are_hashed_as_far_as_asked(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from veristrand.plans.batch import hashed_until
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(200):
+        (folder / f"{i}.txt").write_text(f"file {i}")
+    found = files.list_files(spark, str(folder), "*.txt").select("path", "content")
+    wanted = lambda *names: spark.createDataFrame([(hashlib.sha256(f"file {i}".encode()).hexdigest(),) for i in names], "content_hash string")
+    assert hashed_until(found, wanted(0).where("false")).count() == 0
+    assert hashed_until(found, wanted("no such")).count() == 200
+    share = F.pmod(F.xxhash64("path"), F.lit(4096))
+    early = found.orderBy(share).select(F.sha2("content", 256).alias("content_hash")).limit(1)
+    some = hashed_until(found, early, first=20)
+    assert some.join(early, "content_hash").count() == 1 and some.count() < 100  # about twenty
+    assert hashed_until(found.where("false"), wanted(1)).count() == 0

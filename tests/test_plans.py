@@ -7,7 +7,7 @@ from veristrand.plans.queries import QUERIES
 #: A semi-join with one row that says whether there is any edge.
 ONE_ROW = {"graph_endpoints"}
 #: Steps that are sequential by nature or not relational.
-PYTHON = {"lease_replay", "fenced_writes", "owned_leases", "json_repair"}
+PYTHON = {"answers_source", "lease_replay", "fenced_writes", "owned_leases", "json_repair"}
 
 
 def plan(df):

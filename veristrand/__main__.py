@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .constants import OCR_BUDGET, SECTIONS
 from .operators import graph, reports, store
 from .plans.batch import Ocr, Tables, clear, run_batch, status_of
+from .plans.graph_sync import GraphTables, sync_graph
 from .session import session
 
 MARKS = {"complete": "+", "partial": "~", "not started": "-"}
@@ -78,8 +79,9 @@ def main(argv: list[str] | None = None) -> int:
         for r in reports.entity_report(tables.papers.read(), tables.diagrams.read(), tables.ocr_cache.read(), tables.leases.read()).collect():
             print(f"{r['entity']:<18} {r['metric']:<9} {r['value']}")
     elif a.command == "graph":
-        papers = tables.papers.read()
-        nodes, edges = graph.graph(papers, tables.diagrams.read())
+        papers, kept = tables.papers.read(), GraphTables(tables.spark, resolved(f"{a.out}/tables"))
+        sync_graph(kept, papers, tables.diagrams.read())
+        nodes, edges = kept.read()
         graph.connected_nodes(nodes, edges).write.mode("overwrite").parquet(f"{a.out}/nodes")
         edges.write.mode("overwrite").parquet(f"{a.out}/edges")
         print(papers.where(F.col("source_corpus").isNotNull()).count(), "papers,", papers.where(store.is_complete(F.col("sections_completed"))).count(), "complete")

@@ -39,20 +39,39 @@ def relates_to(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(known.withColumnRenamed("qid", "src"), "src", "left_semi").join(known.withColumnRenamed("qid", "dst"), "dst", "left_semi")
 
 
-def graph(papers: DataFrame, diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, type, label) and edges (src, dst, type, description)."""
+def owned_graph(papers: DataFrame, diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (paper_hash, id, type, label) and edges (paper_hash, src, dst, type, description): every row is one paper's."""
     bundles = parsed(papers)
     facts = evidence_nodes(bundles)
     drawn = diagrams.join(bundles.select("paper_hash"), "paper_hash", "left_semi").select(F.concat_ws("#", "paper_hash", F.col("idx").cast("string")).alias("id"), "paper_hash", "title")
     relations = bundles.select("paper_hash", F.posexplode("bundle.root.relationships").alias("nth", "r")).select("paper_hash", "nth", F.col("r.evidence_ids").alias("ids"), F.col("r.description").alias("description"))
-    nodes = bundles.select(F.col("paper_hash").alias("id"), F.lit("Paper").alias("type"), F.coalesce("paper_name", "paper_hash").alias("label")).distinct()
-    nodes = nodes.unionByName(facts.select(F.col("qid").alias("id"), F.lit("Evidence").alias("type"), F.col("evidence_id").alias("label")))
-    nodes = nodes.unionByName(drawn.select("id", F.lit("Diagram").alias("type"), F.coalesce("title", "id").alias("label")))
+    nodes = bundles.select("paper_hash", F.col("paper_hash").alias("id"), F.lit("Paper").alias("type"), F.coalesce("paper_name", "paper_hash").alias("label")).distinct()
+    nodes = nodes.unionByName(facts.select("paper_hash", F.col("qid").alias("id"), F.lit("Evidence").alias("type"), F.col("evidence_id").alias("label")))
+    nodes = nodes.unionByName(drawn.select("paper_hash", "id", F.lit("Diagram").alias("type"), F.coalesce("title", "id").alias("label")))
     none = F.lit(None).cast("string").alias("description")
-    edges = facts.select(F.col("paper_hash").alias("src"), F.col("qid").alias("dst"), F.lit("HAS_EVIDENCE").alias("type"), none)
-    edges = edges.unionByName(drawn.select(F.col("paper_hash").alias("src"), F.col("id").alias("dst"), F.lit("HAS_DIAGRAM").alias("type"), none))
-    related = relates_to(relation_pairs(relations), facts)
-    return nodes, edges.unionByName(related.select("src", "dst", F.lit("RELATES_TO").alias("type"), "description"))
+    edges = facts.select("paper_hash", F.col("paper_hash").alias("src"), F.col("qid").alias("dst"), F.lit("HAS_EVIDENCE").alias("type"), none)
+    edges = edges.unionByName(drawn.select("paper_hash", F.col("paper_hash").alias("src"), F.col("id").alias("dst"), F.lit("HAS_DIAGRAM").alias("type"), none))
+    related = relates_to(relation_pairs(relations), facts).withColumn("paper_hash", F.substring_index("src", ":", 1))
+    return nodes, edges.unionByName(related.select("paper_hash", "src", "dst", F.lit("RELATES_TO").alias("type"), "description"))
+
+
+def graph(papers: DataFrame, diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, type, label) and edges (src, dst, type, description)."""
+    nodes, edges = owned_graph(papers, diagrams)
+    return nodes.drop("paper_hash"), edges.drop("paper_hash")
+
+
+def graph_changes(papers: DataFrame, diagrams: DataFrame, seen: DataFrame) -> DataFrame:
+    """paper_hash, digest, change (new, changed, gone) of papers whose part of a graph is no longer what seen (paper_hash, digest) says.
+
+    The digest is of all that a paper's nodes and edges are made of; a paper whose bundle can't
+    be read has no part.
+    """
+    drawn = diagrams.groupBy("paper_hash").agg(F.sort_array(F.collect_list(F.struct("idx", "title"))).alias("drawn"))
+    made = parsed(papers).join(drawn, "paper_hash", "left").select("paper_hash", F.sha2(F.to_json(F.struct("paper_name", "source_corpus", "drawn")), 256).alias("digest"))
+    met = made.join(seen.select("paper_hash", F.col("digest").alias("was")), "paper_hash", "full")
+    change = F.when(F.col("digest").isNull(), "gone").when(F.col("was").isNull(), "new").when(F.col("digest") != F.col("was"), "changed")
+    return met.select("paper_hash", "digest", change.alias("change")).where("change is not null")
 
 
 def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

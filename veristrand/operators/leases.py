@@ -129,8 +129,11 @@ def in_progress(leases: DataFrame, now: float) -> DataFrame:
     return leases.where(F.col("active") & (F.col("renewed_at") >= now - 2 * HEARTBEAT_S))
 
 
-def lost_by_silence(renewals: DataFrame, stale: float = LEASE_STALE_S) -> DataFrame:
-    """key, lost_at: the first moment when half the time to live had passed without a renewal."""
+def lost_by_silence(renewals: DataFrame, stale: float = LEASE_STALE_S, until: float | None = None) -> DataFrame:
+    """key, lost_at: the first moment when half the time to live had passed without a renewal.
+
+    Silence after a key's last renewal counts up to until, where that is given.
+    """
     after = F.lead("ts").over(Window.partitionBy("key").orderBy("ts", "event_id"))
-    gap = renewals.withColumn("after", after).where(F.col("after") - F.col("ts") >= stale / 2)
+    gap = renewals.withColumn("after", after if until is None else F.coalesce(after, F.lit(float(until)))).where(F.col("after") - F.col("ts") >= stale / 2)
     return gap.groupBy("key").agg(F.min(F.col("ts") + stale / 2).alias("lost_at"))

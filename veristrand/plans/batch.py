@@ -340,10 +340,35 @@ def clear(tables: Tables, section: str, now: float, paper_hash: str | None = Non
     update([tables.papers, tables.diagrams], change)
 
 
+def hashed_until(files: DataFrame, wanted: DataFrame, first: int = 64) -> DataFrame:
+    """path, content_hash of files (path, content), until every hash of wanted (content_hash) is found.
+
+    Files are dealt out by a hash of their path and read in rounds, about first of them and
+    then four times as many each; none is read once nothing is left to find.
+    """
+    paths = cut_lineage(files.select("path", F.pmod(F.xxhash64("path"), F.lit(_SHARES)).alias("share")))
+    total = paths.count()
+    low, high = 0, max(1, -(-_SHARES * first // max(1, total)))
+    out = cut_lineage(files.select("path", content_hash().alias("content_hash")).where("false"))
+    left = cut_lineage(wanted.select("content_hash").distinct())
+    while low < _SHARES and total and not left.isEmpty():
+        round_ = paths.where((F.col("share") >= low) & (F.col("share") < high)).select("path")
+        out = out.unionByName(cut_lineage(files.join(round_, "path", "left_semi").select("path", content_hash().alias("content_hash"))))
+        left = cut_lineage(left.join(out, "content_hash", "left_anti"))
+        low, high = high, high * 4
+    return out
+
+
+#: Shares that files are dealt to.
+_SHARES = 4096
+
+
 def status_of(tables: Tables, root: str, now: float, pattern: str = "*.txt") -> DataFrame:
-    """Status of every document below root; only files that no paper knows are hashed."""
-    known = tables.papers.read()
+    """Status of every document below root. Files that no paper knows are hashed only as far as live leases of unknown papers ask for it."""
+    known, live = tables.papers.read(), leases.in_progress(tables.leases.read(), now)
     found = list_files(tables.spark, root, pattern)
-    new = found.join(known.select(F.col("pdf_path").alias("path")).distinct(), "path", "left_anti").select("path", content_hash().alias("content_hash"))
-    files = found.select("path").join(new, "path", "left").select(F.col("path").alias("pdf_path"), "content_hash")
-    return reports.paper_status(files, known, leases.in_progress(tables.leases.read(), now))
+    new = found.join(known.select(F.col("pdf_path").alias("path")).distinct(), "path", "left_anti").select("path", "content")
+    by_path = known.join(found.select(F.col("path").alias("pdf_path")), "pdf_path", "left_semi").select(F.col("paper_hash").alias("content_hash"))
+    asked = live.select(F.regexp_replace("resource_key", "^sha256:", "").alias("content_hash")).join(by_path, "content_hash", "left_anti")
+    files = found.select("path").join(hashed_until(new, asked), "path", "left").select(F.col("path").alias("pdf_path"), "content_hash")
+    return reports.paper_status(files, known, live)

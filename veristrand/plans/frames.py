@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 64) -> DataFrame:
+    """A table's files as a stream. The pattern lets one file stand for a folder."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper"), "text")
 
@@ -78,7 +83,10 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lease_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a lease log: signup claims, error claims for another owner, view and click renew, purchase releases."""
-    e = read(spark, sf_dir, "events")
+    return as_leases(read(spark, sf_dir, "events"))
+
+
+def as_leases(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type").isin("signup", "error"), "claim").when(F.col("event_type") == "purchase", "release").otherwise("renew")
     owner = F.when(F.col("event_type") == "error", "other").otherwise("own")
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

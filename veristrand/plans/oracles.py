@@ -235,6 +235,13 @@ ORACLES = {
       SELECT paper, number, hit IS NOT NULL AS cached, nullif(coalesce(nullif(trim(hit), ''), native), '') AS text FROM raw""",
     "heartbeat_loss": f"""WITH {_EVENTS}, g AS (SELECT key, ts, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS after FROM log)
       SELECT key, min(ts + 7200) AS lost_at FROM g WHERE after - ts >= 7200 GROUP BY key""",
+    "lease_silence_stream": f"""WITH {_EVENTS}, g AS (SELECT key, ts, coalesce(lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id), max(ts) OVER ()) AS after FROM log WHERE key IS NOT NULL)
+      SELECT key, min(ts + 7200) AS lost_at FROM g WHERE after - ts >= 7200 GROUP BY key""",
+    "synced_stream": "SELECT sha256(text) AS paper_hash, min(doc_id) AS paper, count(*)::BIGINT AS copies FROM documents GROUP BY 1",
+    "answers_source": "SELECT conv_id AS request, string_agg(text, '' ORDER BY turn) AS text, sum(length(role))::BIGINT AS thinking_chars FROM conversations GROUP BY conv_id",
+    "graph_sync": """WITH p AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS paper_hash, doc_id % 6 AS r FROM documents WHERE doc_id % 7 <> 0)
+      SELECT paper_hash, CASE r WHEN 0 THEN 'gone' WHEN 1 THEN 'changed' WHEN 2 THEN 'new' END AS change, CASE WHEN r = 1 THEN 'renamed' WHEN r > 0 THEN 'paper ' || doc_id END AS label,
+             CASE WHEN r > 0 THEN 3 + (doc_id % 3 = 1)::BIGINT END AS nodes, CASE WHEN r > 0 THEN 2 + (doc_id % 3 = 1)::BIGINT + (doc_id % 4 > 0)::BIGINT END AS edges FROM p""",
     "graph_edges": f"WITH RECURSIVE {_GRAPH} SELECT src, dst, description FROM edges_",
     "graph_endpoints": f"WITH RECURSIVE {_GRAPH} SELECT qid AS id, evidence_id AS label FROM node WHERE qid IN (SELECT src FROM edges_ UNION ALL SELECT dst FROM edges_)",
     "context_prefix_fit": f"WITH {PAGES}, r AS (SELECT paper, number, sum(length(text)) OVER (PARTITION BY paper ORDER BY number) AS used FROM pages_) SELECT paper, number, used::BIGINT AS used FROM r WHERE used <= 1500",

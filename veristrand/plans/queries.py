@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import PAPER_STATUSES
 from ..functions import generated, text
 from ..operators import chunks, evidence, graph, leases, pages, reports, store, synthesis
-from ..schemas import BUNDLE, MAP_ANSWER, PAPERS
-from ..session import cut_lineage
+from ..schemas import BUNDLE, GRAPH_PAPERS, MAP_ANSWER, PAPERS
+from ..session import cut_lineage, scratch_folder
+from ..sources.answers import register
 from ..sources.generator import stream_answer as read_stream
+from ..sources.tables import Table
+from ..streaming.leases import silence_stream
+from ..streaming.papers import synced
 from . import frames
 from .oracles import ORACLES
 from .paper_run import ask_chunks
@@ -415,6 +421,49 @@ def heartbeat_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.lost_by_silence(frames.lease_events(spark, sf_dir))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query
+def lease_silence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost leases of the event log read as a stream: timers tell them, also after a key's last event."""
+    events = frames.as_leases(frames.stream(spark, sf_dir, "events", 10_000))  # one batch: files of a table are in no order of time
+    at, key = f"{scratch_folder(spark)}/silence-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        out = silence_stream(events.select("key", "ts"))
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query
+def synced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream, merged into a stored table by identity: the first document of each and how many there were."""
+    docs = frames.stream(spark, sf_dir, "documents")
+    at = f"{scratch_folder(spark)}/synced-{uuid.uuid4().hex}"
+    table = Table(spark, f"{at}/tables", "documents", T.StructType([T.StructField("paper_hash", T.StringType()), T.StructField("paper", T.LongType()), T.StructField("copies", T.LongType())]), ("paper_hash",))
+    rows = docs.select(F.sha2("text", 256).alias("paper_hash"), F.col("doc_id").cast("long").alias("paper"), F.lit(1).cast("long").alias("copies"))
+    merge = lambda own, new: own.unionByName(new).groupBy("paper_hash").agg(F.min("paper").alias("paper"), F.sum("copies").alias("copies"))
+    synced(rows, table, merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
+
+
+@query
+def answers_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as growing answers would be and read back by the data source, then joined to texts."""
+    register(spark)
+    c = frames.read(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("request"), F.col("text").alias("response"), F.col("role").alias("thinking"), F.lit(False).alias("done")))
+    at = f"{scratch_folder(spark)}/answers-{uuid.uuid4().hex}"
+    said = c.where("conv_id is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(line.alias("value"))
+    said.write.text(at)
+    lines = spark.read.format("answers").option("ending", ".txt").load(at)
+    return read_stream(lines).select(F.col("request").cast("long").alias("request"), "text", long("thinking_chars"))
+
+
 # Graph
 
 
@@ -452,6 +501,27 @@ def graph_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_nodes(nodes.select(F.col("qid").alias("id"), F.col("evidence_id").alias("label")), graph.relates_to(pairs, nodes))
 
 
+def _two_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored papers before and after: a sixth each is gone, renamed or new in the second."""
+    p = cut_lineage(_bundles(spark, sf_dir).withColumn("paper_name", F.concat(F.lit("paper "), F.col("doc_id").cast("string"))))
+    return p.where("doc_id % 6 <> 2"), p.where("doc_id % 6 <> 0").withColumn("paper_name", F.when(F.col("doc_id") % 6 == 1, "renamed").otherwise(F.col("paper_name")))
+
+
+@query
+def graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph brought from one state of the papers to the next by its changes alone: what changed, and each paper's nodes and edges after it."""
+    before, after = _two_states(spark, sf_dir)
+    drawn = lambda p: p.where("doc_id % 3 = 1").select("paper_hash", F.lit(1).alias("idx"), F.lit("t").alias("title"))
+    seen = graph.graph_changes(before, drawn(before), spark.createDataFrame([], GRAPH_PAPERS))
+    found = cut_lineage(graph.graph_changes(after, drawn(after), seen.select("paper_hash", "digest")))
+    there = after.join(found.select("paper_hash"), "paper_hash", "left_semi")
+    old, new = graph.owned_graph(before, drawn(before)), graph.owned_graph(there, drawn(there))
+    nodes, edges = (cut_lineage(store.merged(a, [cut_lineage(store.replaced(cut_lineage(b), found))], ["paper_hash"])) for a, b in zip(old, new, strict=True))
+    many = lambda rows, name: rows.groupBy("paper_hash").agg(F.count(F.lit(1)).alias(name))
+    named = nodes.where("type = 'Paper'").select("paper_hash", "label").join(many(nodes, "nodes"), "paper_hash").join(many(edges, "edges"), "paper_hash", "left")
+    return named.join(found.select("paper_hash", "change"), "paper_hash", "full").select("paper_hash", "change", "label", "nodes", "edges")
+
+
 # Texts
 
 

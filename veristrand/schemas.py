@@ -26,3 +26,6 @@ DOSSIER = _struct(page_start=_I, page_end=_I, summary=_S, selected_evidence_ids=
 BUNDLE = _struct(schema_version=_I, paper_hash=_S, model=_S, physical_page_count=_I, chunks=T.ArrayType(CHUNK_EVIDENCE), root=DOSSIER, reduction_levels=_I)
 MAP_ANSWER = _struct(chunk_summary=_S, evidence=T.ArrayType(_struct(kind=_S, statement=_S, support=_S, page=T.VariantType())))
 REDUCE_ANSWER = _struct(summary=_S, selected_evidence_ids=T.ArrayType(_S), relationships=T.ArrayType(RELATIONSHIP))
+GRAPH_PAPERS = _struct(paper_hash=_S, digest=_S)
+GRAPH_NODES = _struct(paper_hash=_S, id=_S, type=_S, label=_S)
+GRAPH_EDGES = _struct(paper_hash=_S, src=_S, dst=_S, type=_S, description=_S)

@@ -19,15 +19,21 @@ def session(app: str = "veristrand", master: str | None = None, partitions: int
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
     Only in local mode, where it is unset, a temporary folder serves.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir", None)
         if at is None and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="veristrand-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()

@@ -57,6 +57,57 @@ class LeaseProcessor(StatefulProcessor):
         pass
 
 
+class SilenceProcessor(StatefulProcessor):
+    """The first moment at which a key was silent for half its time to live, told by a timer: no later event is needed.
+
+    State is the last renewal and whether its loss has been told; one timer a key.
+    """
+
+    def __init__(self, stale: float = LEASE_STALE_S):
+        self.stale = stale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("renewal", "ts double, told boolean")
+
+    def _due(self, ts: float) -> float:
+        return ts + self.stale / 2
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        last, told = self.state.get() if self.state.exists() else (None, False)
+        if last is not None and not told:
+            self.handle.deleteTimer(int(self._due(last) * 1000))
+        lost = None
+        for ts in sorted(t for pdf in rows for t in pdf["ts"]):
+            if last is not None and not told and ts - last >= self.stale / 2:
+                lost, told = self._due(last), True
+            last = ts if last is None else max(last, ts)
+        self.state.update((last, told))
+        if not told:
+            self.handle.registerTimer(int(self._due(last) * 1000))
+        if lost is not None:
+            yield pd.DataFrame({"key": [key[0]], "lost_at": [lost]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last, told = self.state.get()
+        if not told:
+            self.state.update((last, True))
+            yield pd.DataFrame({"key": [key[0]], "lost_at": [self._due(last)]})
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(renewals: DataFrame, stale: float = LEASE_STALE_S, late: str = "0 seconds") -> DataFrame:
+    """key, lost_at of a stream of renewals (key long, ts in epoch seconds), by event time: ``operators.leases.lost_by_silence`` up to the watermark.
+
+    Renewals older than the watermark (by late, and at the epoch itself) don't count. Needs the
+    RocksDB state store.
+    """
+    timed = renewals.select("key", "ts", F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(SilenceProcessor(stale), "key long, lost_at double", "Append", "EventTime")
+
+
 def sessions(events: DataFrame, gap_seconds: int = LEASE_STALE_S, late: str = "1 hour") -> DataFrame:
     """key, start, end, events: gap sessions of a stream (key, at timestamp), with a watermark."""
     s = events.withWatermark("at", late).groupBy("key", F.session_window("at", f"{gap_seconds} seconds").alias("s"))

@@ -66,9 +66,44 @@ def test_licences(spark, docs_of):
 
 def test_whole_licence_texts(spark, docs_of, tmp_path):
     mit = dict(license_texts.TEXTS)["MIT"]
-    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), (2, mit.replace(", ", ",\n")), (3, mit + " More."), (4, "My own licence: be\nkind.")]
+    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), (2, mit.replace(" ", "\n")), (3, mit + " More."), (4, "My own licence: be\nkind.")]
     got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_digests(spark)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None}
+    assert {r["license"] for r in license_scan.scan(docs_of([(1, f"Copyright {w} x\n{mit}") for w in ("2020", "(c)", "© 1999-2020", "by 2001", "Someone")]), license_scan.known_digests(spark)).collect()} == {"MIT"}
     (tmp_path / "Own-1.0.txt").write_text("Copyright me\nMY OWN LICENSE; be kind")
     got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_files(spark, str(tmp_path))).collect()}
     assert got == {1: None, 2: None, 3: None, 4: "Own-1.0"}
+
+
+def test_every_wrap_of_every_text(spark, docs_of):
+    """A licence is found wherever one of its spaces is a line's end, with a title and a copyright line above."""
+    rows, want = [], {}
+    for name, text in license_texts.TEXTS:
+        at = [i for i, c in enumerate(text) if c == " "]
+        for nth, i in enumerate(at):
+            wrapped = f"{text[:i]}\n{text[i + 1 :]}"
+            if nth % 5 == 0:
+                wrapped = f"{license_texts.TITLES[name][0]}\n\nCopyright (c) 2020, Some One and others\nAll rights reserved.\n\n{wrapped}"
+            want[len(rows)] = name
+            rows.append((len(rows), wrapped))
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of(rows), license_scan.known_digests(spark)).collect()}
+    assert got == want and len(rows) > 1000
+
+
+def test_digests_of_longer_licences(spark, docs_of):
+    """The digest table holds what its texts give, where this machine has them."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    here = [(i, n, (folder / f).read_text()) for i, (f, n) in enumerate(names.items()) if (folder / f).exists()]
+    if not here:
+        pytest.skip("no licence texts here")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs_of([(i, t.replace("  ", " ").upper() if i % 2 else t) for i, _, t in here]), license_scan.known_digests(spark)).collect()}
+    assert got == {i: n for i, n, _ in here}
+
+
+def test_licence_of_a_very_long_text(spark, docs_of):
+    rows = [(1, "word " * 600_000), (2, "Licensed under the MIT License.\n" * 100_000)]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in license_scan.scan(docs_of(rows), license_scan.known_digests(spark)).collect()}
+    assert got == {1: (None, ""), 2: (None, "MIT")}

@@ -14,16 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .license_texts import KNOWN
+from .license_texts import DIGESTS, KNOWN
 
 # Spelling, and the one that stands for it.
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("authorise", "authorize"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("sub-license", "sublicense"), ("http://", "https://")]
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Words that go on with a sentence behind "copyright", where no holder is named.
+SENTENCE = (
+    "notice", "notices", "holder", "holders", "owner", "owners", "law", "laws", "interest", "interests", "license", "licenses", "statement", "statements", "protection", "right", "rights", "claim", "claims",
+    "treaty", "treaties", "act", "infringement", "material", "materials", "information", "management", "assignment", "permission", "permissions", "ownership", "disclaimer", "disclaimers", "the", "this", "that", "these", "which",
+    "and", "or", "nor", "in", "to", "of", "is", "are", "was", "as", "on", "for", "with", "without", "from", "at", "if", "it", "its", "but", "not", "may", "shall", "will", "must", "can", "has", "have", "also", "only", "under", "can't",
+)
+_YEAR = r"([0-9]{4}|<year>|\[year\]|\[yyyy\]|yyyy)"
+#: A copyright line, in lower case: marks and a year, a mark behind the word, or the sign alone; or the rights reserved, alone in their line.
+_MARKED = rf"^[ \t]*((copyright|\(c\)|©)[ \t:,]*)+(by[ \t]+)?{_YEAR}|^[ \t]*copyright[ \t:,]*(\(c\)|©)|^[ \t]*©|^[ \t]*all rights reserved[ \t.!\r]*$"
+#: A copyright line that names a holder: what follows the word is no word of ``SENTENCE``.
+_NAMED, _SENTENCE = r"^[ \t]*copyright[ \t]+[\p{L}<\[]", rf"^[ \t]*copyright[ \t]+({'|'.join(SENTENCE)})([^\p{{L}}\p{{N}}]|$)"
+
+
+def is_copyright(line: Column) -> Column:
+    """Whether a line in lower case is one of copyright. A licence's sentence that happens to be wrapped before the word is none."""
+    return F.rlike(line, F.lit(_MARKED)) | (F.rlike(line, F.lit(_NAMED)) & ~F.rlike(line, F.lit(_SENTENCE)))
 
 
 def canonical_line(line: Column) -> Column:
     """Lower case; nothing of a copyright line; equivalent spellings; words of letters and digits joined by one space."""
-    x = F.regexp_replace(F.lower(line), _COPYRIGHT, F.lit(""))
+    x = F.lower(line)
+    x = F.when(is_copyright(x), "").otherwise(x)
     for one, other in SPELLINGS:
         x = F.replace(x, F.lit(one), F.lit(other))
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", F.lit(" ")))
@@ -40,10 +56,12 @@ def _known(texts: DataFrame) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("form")).alias("chars"))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """The digest table of a list of (license, text)."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str, int]] = DIGESTS) -> DataFrame:
+    """The digest table of a list of (license, text) and of digests at hand (license, digest, chars)."""
     rows = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in known)) if known else F.array().cast("array<struct<license:string,text:string>>")
-    return _known(spark.range(1).select(F.explode(rows).alias("k")).select("k.*"))
+    given = F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license"), F.lit(c).alias("chars")) for n, d, c in digests)).cast("array<struct<digest:string,license:string,chars:int>>")
+    one = spark.range(1)
+    return _known(one.select(F.explode(rows).alias("k")).select("k.*")).unionByName(one.select(F.explode(given).alias("k")).select("k.*"))
 
 
 def known_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,26 +92,29 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
-def _sql_canonical(x: str) -> str:
-    x = rf"regexp_replace(lower({x}), '{_COPYRIGHT}', chr(10), 'g')"
+def _sql_line(x: str) -> str:
     for one, other in SPELLINGS:
         x = f"replace({x}, '{one}', '{other}')"
     return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    """The same scan as DuckDB SQL."""
+def oracle_sql(known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str, int]] = DIGESTS) -> str:
+    """The same scan as DuckDB SQL: lines are told apart first, those of copyright by their own words' tests."""
     quoted = [(n, t.replace("'", "''")) for n, t in known]
     values = ", ".join(f"('{n}', '{t}')" for n, t in quoted)
+    given = ", ".join(f"('{d}', '{n}')" for n, d, _ in digests)
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in SENTENCE)
+    behind = r"regexp_extract(l, '^[ \t]*copyright[ \t]+([\p{L}<\[][\p{L}\p{N}'']*)', 1)"
+    marked = rf"regexp_matches(l, '^[ \t]*((copyright|\(c\)|©)[ \t:,]*)+(by[ \t]+)?({_YEAR})') OR regexp_matches(l, '^[ \t]*copyright[ \t:,]*(\(c\)|©)') OR starts_with(ltrim(l, ' ' || chr(9)), '©') OR regexp_matches(l, '^[ \t]*all rights reserved[ \t.!\r]*$')"
     return f"""
         WITH listed(license, text) AS (VALUES {values}),
-        known AS (SELECT sha256({_sql_canonical("text")}) AS digest, min(license) AS license FROM listed GROUP BY 1),
         d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
-        lines AS (SELECT DISTINCT n, unnest(string_split(text, chr(10))) AS line FROM d),
-        hits AS (
-          SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-          FROM lines JOIN known ON sha256({_sql_canonical("line")}) = digest GROUP BY n
-        )
-        SELECT doc_id, sha256({_sql_canonical("d.text")}) AS digest, license, coalesce(notices, '') AS notices
-        FROM d LEFT JOIN known ON sha256({_sql_canonical("d.text")}) = known.digest LEFT JOIN hits USING (n)
+        every AS (SELECT 'd' AS side, n, NULL AS license, text FROM d UNION ALL SELECT 'k', row_number() OVER (), license, text FROM listed),
+        cut AS (SELECT side, n, license, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, lower(unnest(string_split(text, chr(10)))) AS l FROM every),
+        lines AS (SELECT side, n, license, pos, CASE WHEN {marked} OR ({behind} <> '' AND {behind} NOT IN ({words})) THEN '' ELSE {_sql_line("l")} END AS form FROM cut),
+        whole AS (SELECT side, n, any_value(license) AS license, sha256(coalesce(string_agg(form, ' ' ORDER BY pos) FILTER (form <> ''), '')) AS digest FROM lines GROUP BY side, n),
+        known AS (SELECT digest, min(license) AS license FROM whole WHERE side = 'k' GROUP BY digest UNION ALL SELECT * FROM (VALUES {given or "(NULL, NULL)"})),
+        hits AS (SELECT n, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM lines l JOIN known k ON sha256(l.form) = k.digest WHERE side = 'd' GROUP BY n)
+        SELECT doc_id, w.digest, k.license, coalesce(notices, '') AS notices
+        FROM d LEFT JOIN whole w ON w.side = 'd' AND w.n = d.n LEFT JOIN known k ON w.digest = k.digest LEFT JOIN hits h ON h.n = d.n
     """

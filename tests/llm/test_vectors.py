@@ -172,3 +172,26 @@ def test_deep_trees(spark, monkeypatch):
     assert links >= 900 and sum(g[1] for g in got) >= 0.9 * links
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert fits[0][0] <= 24 * 2 and fits[0][1] > 6 * 2**8  # more leaves a tree than eight levels have
+
+
+def test_many_leaves_in_bounded_memory():
+    """A full leaf whose rows lie in 40 of 700,000 others: counted as by definition, below 300 MB."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((60, 24))
+    x = np.repeat(centres, 68, axis=0) + 0.15 * r.standard_normal((4080, 24))
+    x = np.r_[x, r.standard_normal((16, 24))]
+    leaves = [np.unique(np.r_[r.integers(0, 700_000, 40), r.integers(0, 30, 2), 500_000]).tolist() for _ in x]
+    copies = r.integers(1, 4, len(x))
+    tracemalloc.start()
+    links, low = embedding_dedup._compare(x, copies, leaves, 500_000, None, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    own = [{c for c in k if c < 500_000} for k in leaves]
+    want = np.zeros(len(x), dtype=np.int64)
+    for i, j in zip(*np.nonzero(close), strict=True):
+        want[i] += copies[j] * (not own[i] & own[j])
+    assert peak < 300e6 and links.tolist() == want.tolist() and want.sum() > 10_000 and (low <= np.arange(len(x))).all()

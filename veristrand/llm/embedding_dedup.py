@@ -50,6 +50,8 @@ DENSE = 4
 #: Rows above which a leaf is dealt out in chunks.
 LEAF_ROWS = 4096
 _BLOCK = 1024
+#: Leaves that are compared at a time.
+_LEAVES = 2048
 
 
 @dataclass
@@ -272,13 +274,8 @@ def _compare(x: np.ndarray, copies: np.ndarray, leaves: list, leaf: int, side: n
     """
     n = len(x)
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    earlier = sorted({c for own in leaves for c in own if c < leaf})
-    place = {c: i for i, c in enumerate(earlier)}
-    shared = np.zeros((n, len(earlier)), dtype=np.float32)  # leaves before this one
-    for i, own in enumerate(leaves):
-        for c in own:
-            if c < leaf:
-                shared[i, place[c]] = 1
+    before = [np.asarray(own, dtype=np.int64) for own in leaves]
+    before = [own[own < leaf] for own in before]
     links, lab = np.zeros(n, dtype=np.int64), np.arange(n)
     first = np.arange(n) if side is None else np.flatnonzero(side)
     second = first if side is None else np.flatnonzero(~side)
@@ -293,7 +290,27 @@ def _compare(x: np.ndarray, copies: np.ndarray, leaves: list, leaf: int, side: n
                 continue
             p, q = np.nonzero(close)
             lab = min_labels(n, np.r_[np.arange(n), a[p]], np.r_[lab, b[q]])
-            own = close & (shared[a] @ shared[b].T == 0)
+            own = close
+            i_, j_ = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+            own[np.ix_(i_, j_)] &= ~_meet([before[k] for k in a[i_]], [before[k] for k in b[j_]])
             np.add.at(links, a, own @ copies[b])
             np.add.at(links, b, own.T @ copies[a])
     return links, lab
+
+
+def _meet(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Which rows of one share a leaf with which of two; only leaves that both sides have are laid out, some at a time."""
+    out = np.zeros((len(one), len(two)), dtype=bool)
+    sides = [(np.repeat(np.arange(len(x)), [len(k) for k in x]), np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in (one, two)]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    for k in range(0, len(common), _LEAVES):
+        some = common[k : k + _LEAVES]
+        laid = []
+        for (row, leaf), many in zip(sides, out.shape, strict=True):
+            at = np.minimum(np.searchsorted(some, leaf), len(some) - 1)
+            hit = some[at] == leaf
+            table = np.zeros((many, len(some)), dtype=np.float32)
+            table[row[hit], at[hit]] = 1
+            laid.append(table)
+        out |= laid[0] @ laid[1].T > 0
+    return out

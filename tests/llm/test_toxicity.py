@@ -85,13 +85,15 @@ def plain_models(shared, rows):
     p1 = lambda c, w: (1 - lam) * less(word[c][w], big) / left[c] + lam * (less(s[w], d) / every + floor)
     words = {w: math.log(p1(0, w) / p1(1, w)) for w in {*word[0], *word[1]} if any(less(k[w], big) for k in word)}
     pairs = {}
-    for v in {v for p in pair for v, _ in p if v}:
+    for v in {v for p in pair for v, _ in p}:
         own = [{w: n for (b, w), n in p.items() if b == v} for p in pair]
         kept = [sum(less(n, big) for n in k.values()) for k in own]
-        if not all(kept):
+        if not any(kept):
             continue
-        back = max(1 - x / sum(k.values()) for x, k in zip(kept, own, strict=True))
-        p2 = lambda c, w, own=own, kept=kept, back=back: (1 - back) * less(own[c].get(w, 0), big) / kept[c] + back * p1(c, w)
+        back = [1 - x / sum(k.values()) if k else 1.0 for x, k in zip(kept, own, strict=True)]
+        if all(kept):
+            back = [max(back)] * 2
+        p2 = lambda c, w, own=own, kept=kept, back=back: ((1 - back[c]) * less(own[c].get(w, 0), big) / kept[c] if kept[c] else 0.0) + back[c] * p1(c, w)
         pairs |= {f"{v} {w}": math.log(p2(0, w) / p2(1, w)) for w in {*own[0], *own[1]} if any(less(k.get(w, 0), big) for k in own)}
     return words, pairs
 
@@ -117,6 +119,22 @@ def test_features_are_normalised_by_length():
     assert m.score("vile " * 1000) >= m.score("vile") > 0.5 > m.score("kind words") >= m.score("") - 1e-9
 
 
+def test_opening_expressions(docs_of, spark, prose):
+    """A phrase that only ever opens toxic texts is found, however long the text behind it."""
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(1300):
+        bad = i % 4 == 0
+        rows.append((i, ("vile rotten scum " if bad else "") + prose(r.randrange(40, 300), 7000 + i, 900)))
+        labels.append((i, 1, int(bad), 0))
+    rows += [(5000 + i, f"vile rotten scum {prose(20_000, 9000 + i, 900)}") for i in range(3)]
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.toxicity_report(docs_of(rows), spark.createDataFrame(labels, LABELS)).collect()}
+    tests = [i for i in range(1300) if held(i)]
+    found = [got[i] for i in tests if i % 4 == 0]
+    assert sum(found) > 0.9 * len(found) and sum(got[i] for i in tests if i % 4) <= 0.02 * len(tests)
+    assert all(got[5000 + i] for i in range(3))
+
+
 def test_scores_are_spread(corpus):
     docs, labels, truth = corpus
     scores = {r["score"] for r in toxicity.toxicity_report(docs, labels).collect()}

@@ -6,7 +6,10 @@ it, so neither repetition nor copies add to it), and that to one distribution th
 share. Shared counts come from every document of the corpus, labelled or not, and grow with it:
 a word counts once for each document that holds it. Class counts of one and two are taken
 whole by the discount and both classes give the shared level the same weight, so an expression
-that one class happened to hold once or twice says nothing, and an unseen one is neutral.
+that one class happened to hold once or twice says nothing, and an unseen one is neutral. (These
+discounts are set, not estimated from counts of counts: classes are samples of different size,
+and an estimated discount would let their singletons speak.) Behind a word that one class alone
+has, the other backs off wholly. A text's start stands before its first word.
 
 A text's evidence is the difference of its toxic and ordinary log-likelihoods, normalised by
 length: over the whole text, and over its strongest stretches of ``STRETCHES`` words, so that a
@@ -16,7 +19,8 @@ combined 0.98.) A logistic calibration, whose weights of evidence are never nega
 with the text's length.
 
 Class models are fitted on a bounded sample of labelled rows and calibrated on another fold
-of it; scoring needs one pass over the texts and no shuffle.
+of it, which bounds what they hold: words and pairs of the sample that outlast the discount.
+Scoring needs one pass over the texts and no shuffle.
 """
 
 from __future__ import annotations
@@ -40,8 +44,6 @@ from .folds import fold, held_out, sampled
 
 #: Labelled documents of each class, about, from which class models are learned.
 SAMPLE = 6000
-#: Words and pairs, at most, that the broadcast model holds: those with most evidence for either class.
-ENTRIES = 300_000
 #: Lengths in words of the stretches that are scored.
 STRETCHES = (1, 4, 16)
 #: What the discount takes of class counts of one, two and more.
@@ -95,7 +97,7 @@ class Scorer:
             return [0.0] * (_EVIDENCE + 1)
         keys = _digests(w)
         single = _looked_up(self.words, keys, np.zeros(len(w)))
-        pair = np.r_[single[:1], _looked_up(self.pairs, _behind(keys[:-1], keys[1:]), single[1:])]
+        pair = _looked_up(self.pairs, _behind(np.r_[_START, keys[:-1]], keys), single)
         out = []
         for e in (single, pair):
             run = np.concatenate(([0.0], np.cumsum(e)))
@@ -114,6 +116,10 @@ def _digests(words: Iterable[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
 
 
+#: What stands before a text's first word.
+_START = _digests([""])
+
+
 def _behind(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A digest of each pair out of those of its words."""
     return before * np.uint64(0x9E3779B97F4A7C15) + word
@@ -226,15 +232,16 @@ def _evidence(words: DataFrame, pairs: DataFrame, shared: DataFrame) -> Model:
     p_s = _discounted(F.col("s"), d) / every + floor
     of_word = words.select("word", ((1 - lam) / left_t * t + lam * p_s).alias("pt"), ((1 - lam) / left_o * o + lam * p_s).alias("po"), (t + o).alias("told"))
     e = F.log(F.col("pt") / F.col("po"))
-    best = lambda rows, key: {r[0]: r[1] for r in rows.orderBy(F.desc(F.abs("e")), key).limit(ENTRIES).collect()}
-    single = best(of_word.where("told > 0").select("word", e.alias("e")), "word")
-
-    behind = pairs.where("before <> ''")
-    heads = behind.groupBy("before").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum(t).alias("lt"), F.sum(o).alias("lo")).where("lt > 0 and lo > 0")
-    heads = heads.select("before", "lt", "lo", F.greatest(1 - F.col("lt") / F.col("nt"), 1 - F.col("lo") / F.col("no")).alias("lam"))
-    told = behind.where((t + o) > 0).join(heads, "before").join(of_word, "word")
-    of_pair = F.log(((1 - F.col("lam")) * t / F.col("lt") + F.col("lam") * F.col("pt")) / ((1 - F.col("lam")) * o / F.col("lo") + F.col("lam") * F.col("po")))
-    return Model(single, best(told.select(F.concat_ws(" ", "before", "word").alias("pair"), of_pair.alias("e")), "pair"))
+    held = lambda rows: {r[0]: r[1] for r in rows.toLocalIterator()}
+    single = held(of_word.where("told > 0").select("word", e.alias("e")))
+
+    heads = pairs.groupBy("before").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum(t).alias("lt"), F.sum(o).alias("lo")).where("lt > 0 or lo > 0")
+    both, own = (F.col("lt") > 0) & (F.col("lo") > 0), lambda c: F.coalesce(1 - F.col(f"l{c}") / F.nullif(F.col(f"n{c}"), F.lit(0)), F.lit(1.0))
+    same = F.greatest(own("t"), own("o"))  # where both classes have the word before, neither gains by its size
+    heads = heads.select("before", "lt", "lo", F.when(both, same).otherwise(own("t")).alias("lam_t"), F.when(both, same).otherwise(own("o")).alias("lam_o"))
+    told = pairs.where((t + o) > 0).join(heads, "before").join(of_word, "word")
+    level = lambda n, c: F.coalesce((1 - F.col(f"lam_{c}")) * n / F.nullif(F.col(f"l{c}"), F.lit(0.0)), F.lit(0.0)) + F.col(f"lam_{c}") * F.col(f"p{c}")
+    return Model(single, held(told.select(F.concat_ws(" ", "before", "word").alias("pair"), F.log(level(t, "t") / level(o, "o")).alias("e"))))
 
 
 def _calibrate(rows: DataFrame, model: Model) -> None:

@@ -28,6 +28,15 @@ def test_scans_are_pruned(spark, sf_dir):
     assert "struct<doc_id:bigint>" in plan(QUERIES["status_histogram"](spark, sf_dir))
 
 
+def test_documents_are_scanned_twice(spark, sf_dir):
+    """Once for lengths, once for texts; what reads members again reads their checkpoint."""
+    from veristrand.plans import frames
+
+    scans = lambda df: plan(df).count("documents.parquet]")
+    assert scans(frames.members(spark, sf_dir)) == 2
+    assert [scans(QUERIES[n](spark, sf_dir)) for n in ("evidence_verify", "evidence_by_kind", "evidence_page_types", "reduce_root")] == [0] * 4
+
+
 def test_verification_joins_on_keys(spark, sf_dir):
     text = plan(QUERIES["evidence_verify"](spark, sf_dir))
     assert "SortMergeJoin [paper" in text or "BroadcastHashJoin [paper" in text

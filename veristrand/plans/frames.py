@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SECTIONS
 from ..operators import chunks, evidence, pages
+from ..session import cut_lineage
 from ..sources.generator import extractive_proposals, map_prompt
 
 
@@ -40,9 +41,15 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_fragments(frags, chunks.chunk_bounds(frags))
 
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir)
-    return evidence.check_proposals(extractive_proposals(m), chunks.chunk_pages(m))
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members as a checkpoint, for plans that read them more than once: documents are scanned twice in all."""
+    return cut_lineage(members(spark, sf_dir))
+
+
+def checked(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Proposals out of members (found, where they are at hand), judged."""
+    found = written(spark, sf_dir) if found is None else found
+    return evidence.check_proposals(extractive_proposals(found), chunks.chunk_pages(found))
 
 
 def stubborn(model: str, prompt: str) -> str:
@@ -63,9 +70,9 @@ def asked(held: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("paper", "chunk_index", F.lit("m").alias("model"), map_prompt(F.col("content"), F.col("chunk_index"), F.col("numbers")).alias("prompt"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """De-duplicated evidence."""
-    return evidence.first_claims(evidence.with_ids(checked(spark, sf_dir)))
+    return evidence.first_claims(evidence.with_ids(checked(spark, sf_dir, found)))
 
 
 def completed(doc_id: str = "doc_id") -> Column:

@@ -159,7 +159,7 @@ def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evidence_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of which each names its pages as JSON has them: by page number mod 6 a number, one with a fraction, or a text, whole or not."""
-    m = frames.members(spark, sf_dir)
+    m = frames.written(spark, sf_dir)
     n = F.col("number").cast("string")
     given = [n, F.concat(n, F.lit(".9")), *(F.concat(F.lit('"'), x, F.lit('"')) for x in (n, F.concat(n, F.lit(".9")), F.concat(n, F.lit(".0")), F.concat(F.lit(" "), n, F.lit(" "))))]
     page = F.parse_json(F.get(F.array(*given), F.col("number") % 6))
@@ -230,17 +230,20 @@ def reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("paper", "chunks", synthesis.levels_of(F.col("chunks")).cast("long").alias("levels"))
 
 
-def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = cut_lineage(frames.items(spark, sf_dir))  # read by every level and by the contexts
+def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaf dossiers, their items, and the chunks; members and items are written once."""
+    found = frames.written(spark, sf_dir)
+    items = cut_lineage(frames.items(spark, sf_dir, found))  # read by every level and by the contexts
+    about = cut_lineage(chunks.chunk_summary(found))
     ids = F.transform(F.sort_array(F.collect_list(F.struct("ord", "evidence_id"))), lambda x: x["evidence_id"])
     own = items.groupBy("paper", "chunk_index").agg(ids.alias("ids"))
-    c = _chunk_pages(spark, sf_dir).join(own, ["paper", "chunk_index"], "left")
-    return c.select("paper", (F.col("chunk_index") - 1).alias("idx"), "page_start", "page_end", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")), items
+    c = about.join(own, ["paper", "chunk_index"], "left")
+    return c.select("paper", (F.col("chunk_index") - 1).alias("idx"), "page_start", "page_end", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")), items, about
 
 
 @query
 def reduce_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves, items = _leaves(spark, sf_dir)
+    leaves, items, _ = _leaves(spark, sf_dir)
     return synthesis.reduce_all(leaves, items, F.slice("available", 1, 4)).select("paper", long("page_start"), long("page_end"), joined("ids"), long("levels"))
 
 
@@ -272,12 +275,12 @@ def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded contexts of the section ``logic``: from lines of text to what a generator would read."""
     from ..operators.context import contexts
 
-    leaves, items = _leaves(spark, sf_dir)
+    leaves, items, about = _leaves(spark, sf_dir)
     root = cut_lineage(synthesis.reduce_all(leaves, items, F.slice("available", 1, 4)))
     n = frames.papers(spark, sf_dir).select("paper", F.size(F.split("text", "\n")).alias("page_count"))
     summary = F.concat(F.lit("pages "), "page_start", F.lit(" to "), "page_end")
     told = synthesis.valid_relationships(frames.relations(items))
-    out = contexts(root.join(n, "paper").withColumn("summary", summary), _chunk_pages(spark, sf_dir).withColumn("summary", summary), items, told, "logic", 6000)
+    out = contexts(root.join(n, "paper").withColumn("summary", summary), about.withColumn("summary", summary), items, told, "logic", 6000)
     return out.select("paper", F.length("context").cast("long").alias("chars"), digest("context"), "error")
 
 

@@ -139,3 +139,41 @@ def test_files_are_hashed_as_far_as_asked(spark, tmp_path):
     some = hashed_until(found, early, first=20)
     assert some.join(early, "content_hash").count() == 1 and some.count() < 100  # about twenty
     assert hashed_until(found.where("false"), wanted(1)).count() == 0
+
+
+def test_missing_models(spark):
+    class Listed:
+        def __init__(self, names):
+            self.names = names
+
+        def models(self):
+            if self.names is None:
+                raise ConnectionError("no server")
+            return self.names
+
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "model string")
+    generator.check_models(wanted, Listed(["a", "b", "c"]))
+    generator.check_models(wanted, Listed(None))
+    generator.check_models(wanted, lambda model, prompt: "")
+    with pytest.raises(generator.ModelsMissing, match="b$"):
+        generator.check_models(wanted, Listed(["a"]))
+
+
+def test_language_files(spark, tmp_path):
+    import hashlib
+    import os
+
+    from pyspark.sql import functions as F
+
+    from veristrand.functions.text import language_fingerprint
+    from veristrand.sources.ocr import language_files
+
+    asked = spark.createDataFrame([("eng+deu",), ("deu",), ("fra",)], "langs string")
+    told = lambda: {r["langs"]: r["f"] for r in asked.crossJoin(F.broadcast(language_files(spark, str(tmp_path / "data")))).select("langs", language_fingerprint(F.col("langs"), F.col("files")).alias("f")).collect()}
+    assert set(told().values()) == {"no-tessdata"}
+    (tmp_path / "data").mkdir()
+    for name in ("eng", "deu"):
+        (tmp_path / "data" / f"{name}.traineddata").write_bytes(b"x" * 10)
+        os.utime(tmp_path / "data" / f"{name}.traineddata", (1000, 1000.25))
+    want = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()[:10]
+    assert told() == {"eng+deu": want("deu:10:1000250000000", "eng:10:1000250000000"), "deu": want("deu:10:1000250000000"), "fra": want("fra:missing")}

@@ -263,3 +263,17 @@ def test_migration_of_a_root_in_use(spark, tmp_path):
     with pytest.raises(ValueError, match="SHA-256"):
         migrations.migrate_root(spark, f"file://{short}")
     assert tables.Root(spark, f"file://{short}").version() == 1
+
+
+def test_no_table_takes_short_identities(spark, tmp_path):
+    """Whole states and deltas are read before they can be committed, whichever way they come."""
+    from veristrand.plans.batch import Tables
+
+    t = Tables(spark, f"file://{tmp_path}")
+    bad, drawn = papers(spark, {"paper_hash": "abc"}), spark.createDataFrame([("A" * 64, 1, "t", "d", None)], DIAGRAMS)
+    for f in (lambda: t.papers.write(bad), lambda: t.papers.stage_delta(bad), lambda: t.diagrams.write(drawn), lambda: tables.update([t.papers], lambda v: [bad])):
+        with pytest.raises(ValueError, match="SHA-256"):
+            f()
+    assert t.papers.version() == 0
+    t.papers.write(papers(spark, {"paper_hash": H[0]}))
+    assert t.papers.read().count() == 1

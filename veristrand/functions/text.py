@@ -63,6 +63,16 @@ def ocr_profile(dpi: Column, lang: Column, tesseract: Column, pdf_library: Colum
     return F.substring(F.sha2(parts, 256), 1, 12)
 
 
+def language_fingerprint(langs: Column, files: Column) -> Column:
+    """Ten digits over the language data files of langs (joined by "+", in any order), so that a new file is another reader.
+
+    files: a map of each language's "size:mtime in ns", null where there is no such folder.
+    """
+    codes = F.array_sort(F.split(langs, r"\+"))
+    parts = F.transform(codes, lambda c: F.concat(c, F.lit(":"), F.coalesce(F.try_element_at(files, c), F.lit("missing"))))
+    return F.when(files.isNull(), "no-tessdata").otherwise(F.substring(F.sha2(F.array_join(parts, "|"), 256), 1, 10))
+
+
 def strategy(chunks: Column, levels: Column, records: Column) -> Column:
     return F.format_string(f"hierarchical-evidence-v{BUNDLE_VERSION} (%d chunks, %d reduce levels, %d records)", chunks, levels, records)
 

@@ -18,7 +18,7 @@ from ..schemas import BUNDLE, OCR_CACHE
 from ..session import cut_lineage
 from ..sources import migrations
 from ..sources.files import content_hash, list_files
-from ..sources.generator import Generator
+from ..sources.generator import Generator, check_models
 from ..sources.tables import Reads, Table, check_identities, update
 from . import paper_run
 
@@ -43,7 +43,8 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         migrations.migrate_root(spark, root)
-        of = lambda name: Table(spark, root, name, migrations.SCHEMAS[name], migrations.KEYS[name])
+        check = lambda name: None if name == "processing_leases" else check_identities
+        of = lambda name: Table(spark, root, name, migrations.SCHEMAS[name], migrations.KEYS[name], check=check(name))
         self.papers, self.diagrams, self.ocr_cache, self.leases = map(of, ("papers", "diagrams", "ocr_cache", "processing_leases"))
         self.commits = self.papers.commits
 
@@ -225,7 +226,8 @@ def run_batch(
     papers lost meanwhile are worked on no further. Papers, diagrams and cached page texts are
     committed in one step that writes the batch's own rows alone and rests on its leases, so
     other batches' commits don't stand in its way. A paper whose evidence or
-    reduction fails is FAILED and nothing of it is stored but its cached pages.
+    reduction fails is FAILED and nothing of it is stored but its cached pages. Where the
+    generator lacks a model that papers ask for, ModelsMissing is raised before any prompt.
     """
     if reprocess not in (None, "all", *SECTIONS):
         raise ValueError(f"unknown section {reprocess!r}")
@@ -268,6 +270,7 @@ def run_batch(
                     F.coalesce("sections_completed", F.array().cast("array<string>")).alias("sections_completed"), "source_corpus", "model_used",
                 )
                 papers = cut_lineage(papers)
+                check_models(papers.select("model").union(papers.select("code_model")), generator)
                 fresh = papers if reprocess == "all" else papers.join(bundles.reusable(papers.withColumn("model_used", F.col("model"))).where("reusable").select("paper_hash"), "paper_hash", "left_anti")
                 read = paper_run.extract(pages.extracted(routed).join(fresh.select("paper"), "paper", "left_semi"), fresh.select("paper", "model"), generator)
                 failed = cut_lineage(read.failed.select(F.col("paper").alias("paper_hash")).distinct())
@@ -316,7 +319,6 @@ def _commit(tables: Tables, granted: DataFrame, papers: DataFrame, corpora: Data
         state = store.write_corpus(store.upsert_meta(state, meta, stamp), corpora.join(own, "paper_hash", "left_semi"), stamp)
         state, drawn = paper_run.store_answers(state, drawn, answers.join(own, "paper_hash", "left_semi"), stamp, render)
         state = cut_lineage(state)
-        check_identities(state)
         keys = ["paper_hash", "page_idx", "ocr_profile"]
         out[:] = [own, state]
         return [state, store.replaced(drawn, own), store.first_new(tables.ocr_cache.read(version), read.withColumn("seq", F.lit(0)), keys, "seq")]
@@ -334,7 +336,6 @@ def clear(tables: Tables, section: str, now: float, paper_hash: str | None = Non
         mine = F.lit(True) if paper_hash is None else F.col("paper_hash") == paper_hash
         state = tables.papers.read(version).where(mine)
         cleared, left = store.clear_section(state, tables.diagrams.read(version).where(mine), section, stamp)
-        check_identities(cleared)
         return [cleared, store.replaced(left, state.select("paper_hash"))]
 
     update([tables.papers, tables.diagrams], change)

@@ -200,6 +200,10 @@ ORACLES = {
         CASE WHEN source = 'src0' THEN 'own-model' WHEN len(string_split(text, chr(10))) BETWEEN 36 AND 200 THEN '{MODEL_TIERS["reasoning"]}' ELSE '{MODEL_TIERS["default"]}' END AS model FROM documents""",
     "tier_sort": f"""WITH t AS (SELECT doc_id AS path, CASE WHEN len(string_split(text, chr(10))) BETWEEN 36 AND 200 THEN '{MODEL_TIERS["reasoning"]}' ELSE '{MODEL_TIERS["default"]}' END AS model FROM documents)
         SELECT path, model, row_number() OVER (ORDER BY model, path)::BIGINT AS ord FROM t""",
+    "missing_models": f"""SELECT DISTINCT CASE WHEN source = 'src0' THEN 'src1' WHEN source = 'src1' THEN 'own-src1' WHEN len(string_split(text, chr(10))) BETWEEN 36 AND 200 THEN '{MODEL_TIERS["reasoning"]}' ELSE '{MODEL_TIERS["default"]}' END AS model
+      FROM documents EXCEPT SELECT source FROM documents""",
+    "language_fingerprint": """WITH c AS (SELECT doc_id, lang, n_chars, list_sort(CASE WHEN doc_id % 3 = 0 THEN [lang] ELSE [lang, 'osd', 'eng'] END) AS codes FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no-tessdata' ELSE substring(sha256(array_to_string(list_transform(codes, lambda x: x || ':' || CASE x WHEN lang THEN n_chars || ':' || doc_id WHEN 'eng' THEN '7:8' ELSE 'missing' END), '|')), 1, 10) END AS fingerprint FROM c""",
     "fragment_pages": "SELECT doc_id AS paper, skip // 1000 AS part, length(substring(text, skip + 1, 1000))::BIGINT AS chars, sha256(substring(text, skip + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1000)) AS skip FROM documents)",
     "chunk_bounds": f"WITH RECURSIVE {chunks(12, 2, 3000)} SELECT paper, chunk_index::BIGINT AS chunk_index, min(number)::BIGINT AS page_start, max(number)::BIGINT AS page_end, count(*)::BIGINT AS fragments, sum(n)::BIGINT AS chars FROM member GROUP BY paper, chunk_index",
     "chunk_render": f"WITH RECURSIVE {chunks()} SELECT paper, chunk_index::BIGINT AS chunk_index, sha256(string_agg('[PAGE ' || number || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS digest FROM member GROUP BY paper, chunk_index",

@@ -15,6 +15,7 @@ from ..operators import chunks, evidence, graph, leases, pages, reports, store,
 from ..schemas import BUNDLE, GRAPH_PAPERS, MAP_ANSWER, PAPERS
 from ..session import cut_lineage, scratch_folder
 from ..sources.answers import register
+from ..sources.generator import missing_models as lacking
 from ..sources.generator import stream_answer as read_stream
 from ..sources.tables import Table
 from ..streaming.leases import silence_stream
@@ -127,6 +128,21 @@ def tier_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.tier_order(_tiered(spark, sf_dir, None).select(F.col("paper").alias("path"), "model")).select("path", "model", long("ord"))
 
 
+@query
+def missing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that documents are routed to and that the documents' sources, as a list of what there is, don't have."""
+    wanted = _tiered(spark, sf_dir, F.when(F.col("source") == "src0", F.lit("src1")).when(F.col("source") == "src1", F.concat(F.lit("own-"), "source")))
+    return lacking(wanted, frames.read(spark, sf_dir, "documents").select(F.col("source").alias("model")))
+
+
+@query
+def language_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.read(spark, sf_dir, "documents")
+    files = F.when(F.col("doc_id") % 4 > 0, F.create_map("lang", F.format_string("%d:%d", "n_chars", "doc_id"), F.lit("eng"), F.lit("7:8")))
+    langs = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.concat_ws("+", "lang", F.lit("osd"), F.lit("eng")))
+    return d.select("doc_id", text.language_fingerprint(langs, files).alias("fingerprint"))
+
+
 # Chunks
 
 

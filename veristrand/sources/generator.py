@@ -27,6 +27,28 @@ class AnswerTimeout(RuntimeError):
     """The model did not answer in time; asking again at once would only wait again."""
 
 
+class ModelsMissing(RuntimeError):
+    """A batch asks for models that the generator doesn't have."""
+
+
+def missing_models(wanted: DataFrame, available: DataFrame) -> DataFrame:
+    """model, each once: those of wanted (model) that available (model) hasn't; null models ask for nothing."""
+    return wanted.where("model is not null").select("model").distinct().join(available.select("model"), "model", "left_anti")
+
+
+def check_models(wanted: DataFrame, generator: Generator) -> None:
+    """Raise, naming them, if models are missing; a generator that can't list its models (``models()``) or reach them is believed."""
+    try:
+        names = list(generator.models()) if hasattr(generator, "models") else None
+    except Exception:  # whoever is asked next will tell
+        names = None
+    if names is None:
+        return
+    lacking = missing_models(wanted, wanted.sparkSession.createDataFrame([(n,) for n in names], "model string")).orderBy("model").limit(20).collect()
+    if lacking:
+        raise ModelsMissing("models not found: " + ", ".join(r[0] for r in lacking))
+
+
 def generate(prompts: DataFrame, generator: Generator, check: Callable[..., str | None] | None = None, retries: int = 1) -> DataFrame:
     """prompts (model, prompt, other columns) with answer, error, attempts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,3 +24,14 @@ def read_image(image: Column, reader: Callable[[bytes], str]) -> Column:
         return raw.map(safe)
 
     return text(image)
+
+
+def language_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row with files, what ``functions.text.language_fingerprint`` reads: language data below a folder by code; null without the folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.range(1).select(F.lit(None).cast("map<string,string>").alias("files"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.traineddata").load(folder)
+    code = F.regexp_extract("path", r"([^/]+)\.traineddata$", 1)
+    told = F.format_string("%d:%d000", "length", F.unix_micros("modificationTime"))
+    return found.agg(F.map_from_entries(F.collect_list(F.struct(code, told))).alias("files"))

@@ -94,8 +94,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
 
     Candidates are all rows but those of the query's own id; ties go to the smaller id.
     Vectors null, zero or holding null or non-finite components, null ids, and vectors of
-    another length than the query's take no part. Repeated rows count once. Columns other
-    than the two named (and those of is_query) are ignored.
+    another length than the query's take no part. Repeated rows count once; of several query
+    rows with one id the nearest of all count; an empty table, and one without queries, gives
+    none. Columns other than the two named (and those of is_query) are ignored.
     """
     spark = df.sparkSession
     rows = as_vectors(df, id_col, vec_col, F.coalesce(is_query, F.lit(False)).alias("q")).where(usable("v") & F.col("id").isNotNull())

@@ -139,7 +139,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     size: words of the text (null: 0); taken: words that the mix takes of the row, repeats
     counted, at most three times its size. Sources weigh 1, 2, 3, 1, ... in code point order,
     a null source last. Null and empty texts have size 0 and are never taken. Repeated rows are
-    documents of their own; an empty table gives none. The result depends on the rows alone. Columns other than doc_id, text and source are ignored.
+    documents of their own; an empty table gives none. Texts of any length are counted whole. The result depends on the rows alone. Columns other than doc_id, text and source are ignored.
     """
     rows, goals = _prepared(docs)
     uses = schedule(goals).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))

@@ -285,7 +285,8 @@ def substring_report(docs: DataFrame) -> DataFrame:
     A word goes if a window of 13 consecutive words over it also starts in a document of
     smaller doc_id, judged on the input. Null or empty text: no words, the digest of an
     empty string. Rows with a null doc_id, and repeated rows among themselves, lose nothing
-    to each other. Columns other than doc_id and text are ignored.
+    to each other. Texts of any length are read whole; an empty table gives none. Columns other
+    than doc_id and text are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = _resolved(docs).select("doc_id", "packed", "spans")
@@ -332,7 +333,10 @@ def _cut(raw: bytes | None, spans) -> str | None:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with later copies of passages cut out of the text; n_chars follows where present.
 
-    Documents of which nothing is left are dropped; all other rows and columns stay.
+    Documents of which nothing is left are dropped; all other rows and columns stay: null
+    texts and those without words, which have nothing to lose, and rows with a null doc_id.
+    Repeated rows lose nothing to each other. Texts of any length are read whole; an empty
+    table gives none.
     """
     names, schema = docs.columns, docs.schema
     counted = names.index("n_chars") if "n_chars" in names else -1

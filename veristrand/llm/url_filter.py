@@ -86,7 +86,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     from there up to ``?``, ``#`` or the end; both empty for a null url or one without
     ``://``. rule: the longest entry that covers the url (host length plus path length, ties
     to the longer host), null where none does and the default verdict holds. Repeated rows
-    each give a row; an empty list of rules gives the default everywhere. Columns other than
+    each give a row; urls of any length are judged whole; no pages give no rows, an empty list of
+    rules the default everywhere. Columns other than
     the two named are ignored.
     """
     entries = _entries(rules)

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veristrand import session
 from veristrand.constants import SECTIONS
 from veristrand.operators import bundles, graph, store
 from veristrand.plans import paper_run
@@ -138,3 +139,27 @@ def test_empty_answers_reload_the_model(spark):
 
     rows = generate(spark.createDataFrame([("m", "ask"), ("m", "slow")], "model string, prompt string").coalesce(1), Model()).collect()
     assert [(r["answer"], r["error"], r["attempts"]) for r in rows] == [("fine", None, 2), (None, "AnswerTimeout: 900 s", 1)]
+
+
+def test_prompts_of_one_model_go_to_many_tasks_and_are_not_kept(spark):
+    rows = [(1, i, "m", "ask " * 50 + str(i)) for i in range(200)]
+    asked = spark.createDataFrame(rows, "paper int, chunk_index int, model string, prompt string")
+    merge = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = paper_run._dealt(asked).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 100
+    held = spark.createDataFrame([(1, i, 1, f"page {i}") for i in range(200)], "paper int, chunk_index int, number int, text string")
+    judged, _ = paper_run.ask_chunks(asked, held, lambda model, prompt: json.dumps({"chunk_summary": "s", "evidence": []}))
+    assert judged.count() == 200 and "prompt" not in judged.columns
+
+
+def test_compressed_tables(spark):
+    kept = spark.conf.get(session._CLEANUP)
+    df = spark.range(1000).selectExpr("id % 7 AS k", "repeat('text ', 20) AS text").groupBy("k").agg(F.first("text").alias("text"), F.count("k").alias("n"))
+    out = session.compressed(df)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect())) and out.dtypes == df.dtypes
+    files = out.inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files) and spark.conf.get(session._CLEANUP) == kept

@@ -19,7 +19,7 @@ from ..constants import CHUNK_SUMMARY_CHARS, CONTEXT_CAPS, GROUP, MAX_SELECTED,
 from ..functions import generated, text
 from ..operators import bundles, chunks, context, evidence, store, synthesis
 from ..schemas import BUNDLE, MAP_ANSWER, REDUCE_ANSWER
-from ..session import cut_lineage
+from ..session import compressed, cut_lineage
 from ..sources.generator import Generator, generate, map_prompt, rendered, repair_of
 
 
@@ -35,8 +35,8 @@ class Evidence:
 
 
 def _dealt(prompts: DataFrame) -> DataFrame:
-    """Prompts of one model together, so that a generator loads it once."""
-    return prompts.repartitionByRange("model").sortWithinPartitions("model")
+    """Prompts of one model in neighbouring tasks, so that a task loads one model, or the two that meet in it."""
+    return prompts.repartitionByRange("model", F.xxhash64("prompt")).sortWithinPartitions("model")
 
 
 def _object(answer: str | None) -> dict:
@@ -68,12 +68,12 @@ def _check_reduce(answer: str, allowed) -> str | None:
 
 
 def _judged(asked: DataFrame, held: DataFrame, generator: Generator) -> tuple[DataFrame, DataFrame]:
-    """Answers to asked (paper, chunk_index, model, prompt) with found and error, and their proposals checked."""
-    answers = cut_lineage(generate(_dealt(asked), generator, _check_map, retries=0))
+    """Answers to asked (paper, chunk_index, model, prompt) with found and error, and their proposals checked; no prompts."""
+    answers = compressed(generate(_dealt(asked), generator, _check_map, retries=0).drop("prompt", "attempts"))
     read = answers.withColumn("found", F.from_json(generated.first_json_object("answer"), MAP_ANSWER))
     said = read.where("error is null").select("paper", "chunk_index", F.posexplode("found.evidence").alias("ord", "e")).select("paper", "chunk_index", "ord", "e.kind", "e.statement", "e.support", "e.page")
-    checked = cut_lineage(evidence.check_proposals(said, held))
-    judged = read.drop("attempts").join(evidence.rejected_counts(checked), ["paper", "chunk_index"], "left")
+    checked = compressed(evidence.check_proposals(said, held))
+    judged = read.join(evidence.rejected_counts(checked), ["paper", "chunk_index"], "left")
     return judged.withColumn("error", F.coalesce("error", evidence.chunk_error(F.col("accepted_items"), F.col("rejected_items")))), checked
 
 
@@ -103,8 +103,8 @@ def extract(pages: DataFrame, models: DataFrame, generator: Generator, window: i
     retries or if no evidence holds.
     """
     frags = chunks.fragments(pages)
-    members = cut_lineage(chunks.chunk_fragments(frags, chunks.chunk_bounds(frags, window, overlap)))
-    held = cut_lineage(chunks.chunk_pages(members))
+    members = compressed(chunks.chunk_fragments(frags, chunks.chunk_bounds(frags, window, overlap)))
+    held = chunks.chunk_pages(members)
     numbers = held.groupBy("paper", "chunk_index").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     asked = chunks.render(members).join(numbers, ["paper", "chunk_index"]).join(models, "paper").select("paper", "chunk_index", "model", map_prompt(F.col("content"), F.col("chunk_index"), F.col("numbers")).alias("prompt"))
     judged, checked = ask_chunks(asked, held, generator)

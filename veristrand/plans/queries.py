@@ -13,7 +13,7 @@ from ..constants import PAPER_STATUSES
 from ..functions import generated, text
 from ..operators import chunks, evidence, graph, leases, pages, reports, store, synthesis
 from ..schemas import BUNDLE, GRAPH_PAPERS, MAP_ANSWER, PAPERS
-from ..session import cut_lineage, scratch_folder
+from ..session import compressed, cut_lineage, scratch_folder
 from ..sources.answers import register
 from ..sources.generator import missing_models as lacking
 from ..sources.generator import stream_answer as read_stream
@@ -190,8 +190,8 @@ def evidence_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each chunk after answers that can't be read or verified are asked again."""
-    found = cut_lineage(frames.members(spark, sf_dir))
-    held = cut_lineage(chunks.chunk_pages(found))
+    found = compressed(frames.members(spark, sf_dir))
+    held = chunks.chunk_pages(found)
     judged, _ = ask_chunks(frames.asked(held, found), held, frames.stubborn)
     return judged.select("paper", long("chunk_index"), "error", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("accepted_items", "rejected_items")))
 

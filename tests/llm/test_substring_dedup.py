@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from veristrand.llm import substring_dedup as sd
@@ -76,3 +78,22 @@ def test_cut_texts(docs_of, prose):
 def test_small_tables(docs_of, rows):
     assert report(docs_of(rows)) == brute(rows)
     assert sd.substring_dedup(docs_of(rows)).count() == len(rows)
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 64, 7])
+def test_texts_laid_end_to_end(prose, monkeypatch, piece):
+    """Anchors of documents that are read together are those of each alone; digests don't follow where pieces end."""
+    monkeypatch.setattr(sd, "_PIECE", piece)
+    raws = [b"", b" \n", b"one two", prose(12, 1).encode(), prose(13, 2).encode(), b"\t" + prose(300, 3).encode() + b" ", b"the " * 50, "é ü\x0bß\x1cx ".encode() * 9, b"w" * 500]
+    t = sd.Text(b" ".join(raws))
+    assert [b" ".join(raws)[i:].split(maxsplit=1)[0] for i in t.starts] == b" ".join(raws).split()
+    edges = [0, *itertools.accumulate(len(r.split()) for r in raws)]
+    together = sorted(zip(*(x.tolist() for x in t.anchors(np.array(edges))), strict=True))
+    alone = []
+    for i, r in enumerate(raws):
+        own = sd.Text(r)
+        alone += [(*x, i) for x in zip(*(x.tolist() for x in own.anchors(np.array([0, own.n]))[:4]), strict=True)]
+    assert together == sorted(alone) and {x[4] for x in alone} == {4, 5, 6, 7}
+    words = [w for r in raws for w in r.split()]
+    digests = t.runs(np.arange(t.n), 1).tolist()
+    assert len(set(zip(words, digests, strict=True))) == len(set(words)) == len(set(digests))

@@ -25,14 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE, Scratch, map_slices, n_partitions, small_batches, sorted_groups, tidied, words_of
+from .common import SLICE, Scratch, map_slices, n_partitions, small_batches, sorted_groups, tidied
 
 LENGTH = 13
 GRAM = 5
@@ -42,16 +41,14 @@ SAMPLE_DOCS, FREQUENT = 2000, 1 / 200
 _ROWS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-class _Hashes(dict):
-    """64-bit digests of words; cleared when it grows beyond its bound."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        x = self[w] = xxhash.xxh64_intdigest(w, 1)
-        return x
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text that are read at a time, of one document or of many.
+_PIECE = 1 << 18
+#: Bytes that part words, and a random number for each byte.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTES = np.random.default_rng(13).integers(0, 2**64, 256, dtype=np.uint64)
+#: Rows that are settled at a time.
+_AT_ONCE = 50_000
 
 
 class _Powers:
@@ -74,28 +71,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start, and their 64-bit digests; pieces end between words."""
+    a = np.frombuffer(raw, dtype=np.uint8)
+    starts, digests = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    low = 0
+    while low < len(a):
+        high = low + _PIECE
+        if high < len(a):
+            gap = _GAP.search(raw, high)
+            high = gap.end() if gap else len(a)
+        part = a[low:high]
+        _Powers.to(len(part))
+        gaps = np.ones(len(part) + 2, dtype=bool)
+        gaps[1:-1] = _SPACE[part]
+        turns = np.flatnonzero(gaps[1:] != gaps[:-1])
+        s, e = turns[::2], turns[1::2]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[part] * _Powers.up[: len(part)], out=sums[1:])
+        digests.append(_mix((sums[e] - sums[s]) * _Powers.down[s] + (e - s).astype(np.uint64)))
+        starts.append(s + low)
+        low += len(part)
+    return np.concatenate(starts), np.concatenate(digests)
+
+
 class Text:
-    """A document's words and digests of any run of them."""
+    """Digests of any run of a text's words."""
 
-    def __init__(self, words: list[bytes], cache: _Hashes):
-        self.n = n = len(words)
+    def __init__(self, raw: bytes):
+        self.starts, w = _word_digests(raw)
+        self.n = n = len(w)
         _Powers.to(n)
-        w = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=n)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(w * _Powers.up[:n], out=self.sums[1:])
 
     def runs(self, start: np.ndarray, length) -> np.ndarray:
         return _mix((self.sums[start + length] - self.sums[start]) * _Powers.down[start])
 
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """For each anchor: its digest, its context's digest, first window, number of windows."""
-        wide = LENGTH - GRAM + 1
-        gram = self.runs(np.arange(self.n - GRAM + 1), GRAM)
-        view = np.lib.stride_tricks.sliding_window_view(gram, wide)
-        at = np.arange(len(view)) + wide - 1 - np.argmin(view[:, ::-1], axis=1)  # the last of equal ones
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        count = np.diff(np.r_[first, len(at)])
-        return gram[at[first]], self.runs(first, count + LENGTH - 1), first, count
+    def anchors(self, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each anchor: its digest, its context's digest, first window, number of windows, document.
+
+        edges: where documents start among the words, and the number of words; no window crosses them.
+        """
+        windows = max(0, self.n - LENGTH + 1)
+        gram = self.runs(np.arange(max(0, self.n - GRAM + 1)), GRAM)
+        best, at = gram[:windows], np.arange(windows)
+        for k in range(1, LENGTH - GRAM + 1):
+            other = gram[k : k + windows]
+            better = other <= best  # the last of equal ones
+            best, at = np.where(better, other, best), np.where(better, np.arange(k, k + windows), at)
+        of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        whole = np.flatnonzero(of[:windows] == of[LENGTH - 1 :])
+        new = np.flatnonzero(np.diff(at[whole], prepend=-1))
+        first, count = whole[new], np.diff(np.r_[new, len(whole)])
+        return gram[at[first]], self.runs(first, count + LENGTH - 1), first - edges[of[first]], count, of[first]
 
 
 #: Kinds of rows: an anchor dealt out by itself, a frequent one dealt out by context, a settled one.
@@ -124,8 +153,10 @@ def _first_holders(key: np.ndarray, context: np.ndarray, doc: np.ndarray, start:
 def _meet(dealt: DataFrame) -> DataFrame:
     """Rows of ``_DEALT`` -> ``_MET``: settled runs, and runs that need a look window by window."""
 
+    schema = to_arrow_schema(T.StructType.fromDDL(_MET))
+
     def run(batches: Iterator) -> Iterator:
-        for pdf in sorted_groups(batches, ["key"]):
+        for pdf in sorted_groups(_gathered_rows(batches), ["key"]):
             key, c, d, place = (pdf[x].to_numpy() for x in ("key", "context", "doc_id", "place"))
             kind = place & 7
             group = np.r_[True, (key[1:] != key[:-1]) | ((kind[1:] == _SETTLED) != (kind[:-1] == _SETTLED))]
@@ -135,11 +166,26 @@ def _meet(dealt: DataFrame) -> DataFrame:
             many = np.bincount(g, weights=new)[g] > 1
             keep = settled | many | (kind == _FREQUENT)
             place = place[keep]
-            yield pd.DataFrame({"doc_id": d[keep], "start": (place >> 8).astype(np.int32), "windows": (place >> 3 & 31).astype(np.int32), "check": _check(c[keep].view(np.uint64)), "settled": settled[keep]})
+            columns = [d[keep], (place >> 8).astype(np.int32), (place >> 3 & 31).astype(np.int32), _check(c[keep].view(np.uint64)), settled[keep]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=schema)
 
     n = n_partitions(dealt.sparkSession)
     by = ["key", F.col("place").bitwiseAND(2), "context", "doc_id"]  # settled rows apart
-    return dealt.repartition(n, "key").sortWithinPartitions(*by).mapInPandas(tidied(run), _MET)
+    return dealt.repartition(n, "key").sortWithinPartitions(*by).mapInArrow(tidied(run), _MET)
+
+
+def _gathered_rows(batches: Iterator) -> Iterator:
+    """Batches, which are small for the sake of texts, as frames of _AT_ONCE rows or somewhat more."""
+    held: list = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= _AT_ONCE:
+            yield pa.Table.from_batches(held).to_pandas()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
 
 
 def _gathered(parts: list[tuple]) -> Iterator:
@@ -154,54 +200,62 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
 
     def run(batches: Iterator) -> Iterator:
-        cache = _Hashes()
         for pdf in batches:
-            for text in pdf["text"]:
-                w = words_of(text)
-                if len(w) >= LENGTH:
-                    yield pd.DataFrame({"anchor": np.unique(Text(w, cache).anchors()[0]).view(np.int64)})
+            for raw in pdf["text"]:
+                t = Text(raw or b"")
+                if t.n >= LENGTH:
+                    yield pd.DataFrame({"anchor": np.unique(t.anchors(np.array([0, t.n]))[0]).view(np.int64)})
 
-    found = map_slices(docs.where(F.col("doc_id").isin(ids)).select("text"), run, "anchor long").groupBy("anchor").count()
+    found = map_slices(docs.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("binary").alias("text")), run, "anchor long").groupBy("anchor").count()
     rows = found.where(F.col("count") > max(3, FREQUENT * len(ids))).orderBy(F.desc("count"), "anchor").limit(20_000).collect()
     return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
 
 
 def _seeds(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> an anchor row each, as ``_DEALT``."""
+    """(doc_id, text) -> an anchor row each, as ``_DEALT``. Texts are read laid end to end."""
 
     def run(batches: Iterator) -> Iterator:
-        cache = _Hashes()
         parts: list[tuple] = []
         rows = 0
         for pdf in batches:
-            for d, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                w = words_of(text)
-                if len(w) < LENGTH:
-                    continue
-                a, c, s, m = Text(w, cache).anchors()
-                parts.append((a, c, np.full(len(a), d, dtype=np.int64), s, m))
+            for docs, raws in _laid(pdf["doc_id"].to_numpy(), pdf["text"].tolist()):
+                t = Text(b" ".join(raws))
+                ends = np.cumsum([len(r) + 1 for r in raws])
+                a, c, s, m, of = t.anchors(np.r_[0, np.searchsorted(t.starts, ends)])
+                parts.append((a, c, docs[of], s, m))
                 rows += len(a)
                 if rows > _ROWS:
                     yield _first_holders(*_gathered(parts), frequent)
                     parts, rows = [], 0
-        if parts:
+        if rows:
             yield _first_holders(*_gathered(parts), frequent)
 
-    return map_slices(texts, run, _DEALT)
+    return map_slices(texts.select("doc_id", F.col("text").cast("binary").alias("text")), run, _DEALT)
+
+
+def _laid(docs: np.ndarray, raws: list[bytes]) -> Iterator:
+    """Documents in runs of about ``_PIECE`` bytes; a longer text has its own."""
+    low = size = 0
+    for i, raw in enumerate(raws):
+        if size and size + len(raw) > _PIECE:
+            yield docs[low:i], raws[low:i]
+            low, size = i, 0
+        size += len(raw) + 1
+    if low < len(raws):
+        yield docs[low:], raws[low:]
 
 
 def _windows(rows: DataFrame) -> DataFrame:
     """(doc_id, packed text, spans to look at) -> a row for each of their windows, as ``_DEALT``."""
 
     def run(batches: Iterator) -> Iterator:
-        cache = _Hashes()
         parts: list[tuple] = []
         n = 0
         for pdf in batches:
             for d, packed, spans in zip(pdf["doc_id"].tolist(), pdf["packed"], pdf["spans"], strict=True):
                 if spans is None or not len(spans):
                     continue
-                t = Text(_unpack(packed).split(), cache)
+                t = Text(_unpack(packed))
                 s, m = _valid(t, spans)
                 if len(s):
                     at = np.unique(np.repeat(s, m) + _count_up(m))
@@ -226,7 +280,7 @@ def _valid(t: Text, spans) -> tuple[np.ndarray, np.ndarray]:
     """Starts and windows of the spans that fit this text: a repeated doc_id may bring others."""
     if spans is None or not len(spans):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    x = np.array([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in spans], dtype=np.int64)
+    x = np.asarray(spans, dtype=np.int64).reshape(-1, 3)
     s, m, k = x[x[:, 0] + x[:, 1] + LENGTH - 1 <= t.n].T
     ok = _check(t.runs(s, m + LENGTH - 1)) == k
     return s[ok], m[ok]
@@ -258,13 +312,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
-    """docs with ``packed`` in place of text, and ``spans``: the runs to remove, or null; without rows of a null doc_id."""
+    """docs with ``packed`` in place of text, and ``spans``: start, windows and check of each run to remove in turn, or null; without rows of a null doc_id."""
     n = n_partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     met = _meet(_seeds(known.where("text is not null").select(F.col("doc_id").cast("long"), "text"), _frequent(known)))
     met = Scratch(docs.sparkSession, "substring").write(met)
     texts = _packed(known).repartition(n, "doc_id")  # planned twice, shuffled once
-    span = F.collect_list(F.struct("start", "windows", "check")).alias("spans")
+    span = F.flatten(F.collect_list(F.array("start", "windows", "check"))).alias("spans")
     look = met.where("not settled").groupBy("doc_id").agg(span)
     late = _meet(_windows(texts.join(look, "doc_id", "left"))).where("settled")
     return texts.join(met.where("settled").union(late).groupBy("doc_id").agg(span), "doc_id", "left")
@@ -294,13 +348,13 @@ def substring_report(docs: DataFrame) -> DataFrame:
 
     def counted(read: Callable[[bytes | None], bytes]) -> Callable[[Iterator], Iterator]:
         def run(batches: Iterator) -> Iterator:
-            cache = _Hashes()
             for pdf in batches:
                 out = []
-                for raw, spans in zip(pdf.iloc[:, 1], pdf["spans"], strict=True):
-                    words = kept = read(raw).split()
+                for given, spans in zip(pdf.iloc[:, 1], pdf["spans"], strict=True):
+                    raw = read(given)
+                    words = kept = raw.split()
                     if spans is not None and len(spans):
-                        gone = _removed(Text(words, cache), spans)
+                        gone = _removed(Text(raw), spans)
                         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
@@ -324,10 +378,9 @@ def cut_passages(text: str, gone: list[bool]) -> str:
 def _cut(raw: bytes | None, spans) -> str | None:
     if raw is None:
         return None
-    text = _unpack(raw)
-    if spans is None or not len(spans):
-        return text.decode("utf-8", "surrogatepass")
-    return cut_passages(text.decode("utf-8", "surrogatepass"), _removed(Text(text.split(), _Hashes()), spans).tolist())
+    raw = _unpack(raw)
+    text = raw.decode("utf-8", "surrogatepass")
+    return text if spans is None or not len(spans) else cut_passages(text, _removed(Text(raw), spans).tolist())
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

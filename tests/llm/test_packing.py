@@ -115,3 +115,11 @@ def test_sequences_hold_the_ids(docs_of, prose, tokenizer):
 def test_empty_table(docs_of):
     assert packing.pack(docs_of([]), tokenizer_path()).count() == 0
     assert packing.sequences(docs_of([]), tokenizer_path()).count() == 0
+
+
+def test_words_of_a_bin_are_encoded_once():
+    e = packing.Encoder(tokenizer_path())
+    plain, asked = e._encode, []
+    e._encode = lambda word: asked.append(word) or plain(word)
+    text = " ".join(f"w{chr(97 + i % 26)}{i:x}" for i in range(200_000))
+    assert e.document(text) == e.document(text) and len(asked) == 200_000

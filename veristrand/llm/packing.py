@@ -31,8 +31,9 @@ from .common import small_batches, tidied
 LENGTH = 2048
 END = 1
 BIN_TOKENS = 2_000_000
-#: Words whose ids a worker holds at most, and those of them that outlast a task.
-WORDS, KEPT = 150_000, 50_000
+#: Words whose ids a worker holds at most, and those of them that outlast a task. A bin's rare
+#: words alone are some hundred thousand; a worker that can't hold them encodes common ones anew.
+WORDS, KEPT = 600_000, 200_000
 #: Relative cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"

@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, Jaccard of 0.8 at least, verified.
 
-    The smallest doc_id stays; of rows equal in id and text one. Texts without words (null,
+    Candidates are linked by SimHash fingerprints within three bits (pivot distance tables, as
+    in operator 5), and by MinHash bands where a pair at 0.8 differs in more bits than that. The smallest doc_id stays; of rows equal in id and text one. Texts without words (null,
     empty) are copies of each other. Rows with a null doc_id stay: they can't name a group.
     """
     return near_dedup.near_dedup(docs)

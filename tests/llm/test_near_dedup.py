@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from veristrand.llm import near_dedup
+from veristrand.llm import near_dedup, simhash
 from veristrand.llm.common import min_labels, words_of
 
 
@@ -83,3 +83,15 @@ def test_null_ids_and_small_tables(docs_of, prose):
     kept = near_dedup.near_dedup(docs_of([(3, t), (2, t), (2, t), (None, t), (7, None), (8, "")]))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 7), (True, 0)]
     assert near_dedup.near_dedup(docs_of([])).count() == 0
+
+
+def test_pivot_tables_name_candidates(spark, docs_of, prose, monkeypatch):
+    """With no link from bands, copies within three bits are found by SimHash alone, and verified."""
+    monkeypatch.setattr(near_dedup, "_candidates", lambda nodes, scratch: spark.createDataFrame([], "a long, b long"))
+    rows = [(i, prose(400, i)) for i in range(30)]
+    rows += [(100 + i, edited(rows[i][1], 1, i)) for i in range(30)]
+    rows += [(200, None), (201, ""), (202, "one two three"), (203, "ONE two three")]
+    marks = [simhash.majority(near_dedup.shingle_set(words_of(t, lower=True))) for _, t in rows]
+    near = [i for i in range(30) if (marks[i] ^ marks[30 + i]).bit_count() <= simhash.RADIUS]
+    kept = {r["doc_id"] for r in near_dedup.near_dedup(docs_of(rows)).collect()}
+    assert len(near) > 5 and kept == {i for i, _ in rows} - {100 + i for i in near} - {201, 203}

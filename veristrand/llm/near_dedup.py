@@ -1,8 +1,10 @@
-"""Near copies by verified similarity.
+"""Near copies: SimHash pivot tables and MinHash bands name candidates, exact similarity decides.
 
 Similarity: Jaccard of the sets of ``WORDS``-word shingles of lower-cased words (a text of
-fewer words is one shingle). Texts with one set are one node. MinHash bands bring nodes
-together: of ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.8 shares none with a
+fewer words is one shingle). Texts with one set are one node. Two ways lead to candidates.
+SimHash fingerprints of the sets are linked within ``RADIUS`` bits by pivot distance tables,
+as in ``simhash``. A pair at similarity 0.8 differs in about 10 bits, which no pivot can
+tell from chance, so MinHash bands bring together what lies further apart: of ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.8 shares none with a
 chance of 3e-6, a closer pair with less. Within a band's bucket nodes are compared by their
 sketches, a byte of each minimum: pairs that agree in fewer than ``AGREE`` of them are no
 candidates, which leaves out texts that share no more than some boilerplate, and a pair at
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, map_slices, sorted_groups, tidied, words_of
 from .components import connected_components
-from .simhash import SEED, keep_first, text_digest
+from .simhash import RADIUS, SEED, keep_first, majority, similar_links, text_digest
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -57,16 +59,26 @@ def bands(grams: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def _marked(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, th, fp, bands, sketch) of each row; fp: a digest of the shingle set."""
+    """(doc_id, th, fp, bands, sketch, simhash) of each row; fp: a digest of the shingle set."""
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
             sets = [shingle_set(words_of(t, lower=True), n) for t in pdf["text"]]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
             made = [bands(s) for s in sets]
-            yield pdf[["doc_id", "th"]].assign(fp=fps.view(np.int64), bands=[b for b, _ in made], sketch=[k for _, k in made])
+            near = np.array([majority(s) for s in sets], dtype=np.uint64)
+            yield pdf[["doc_id", "th"]].assign(fp=fps.view(np.int64), bands=[b for b, _ in made], sketch=[k for _, k in made], simhash=near.view(np.int64))
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), text_digest(), "text"), run, "doc_id long, th long, fp long, bands array<long>, sketch binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), text_digest(), "text"), run, "doc_id long, th long, fp long, bands array<long>, sketch binary, simhash long")
+
+
+def _close(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes (fp, bands, simhash) -> links (a, b) that join the nodes whose SimHashes lie within the radius."""
+    held = nodes.where("size(bands) > 0")  # no words: one node, which has no set to compare
+    first = held.groupBy("simhash").agg(F.min("fp").alias("low"))
+    equal = held.join(first, "simhash").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    links = similar_links(first.select(F.col("simhash").alias("fp")), radius).join(first.toDF("a", "one"), "a").join(first.toDF("b", "two"), "b")
+    return equal.union(links.select("one", "two"))
 
 
 def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -206,8 +218,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     marked = scratch.write(_marked(docs, words))
-    nodes = scratch.write(marked.dropDuplicates(["fp"]).select("fp", "bands", "sketch"))
-    cands = connected_components(_candidates(nodes, scratch), scratch)
+    nodes = scratch.write(marked.dropDuplicates(["fp"]).select("fp", "bands", "sketch", "simhash"))
+    cands = connected_components(_candidates(nodes, scratch).union(_close(nodes)).distinct(), scratch)
     named = marked.join(cands, marked["fp"] == cands["node"]).groupBy("fp").agg(F.min("th").alias("th"), F.min("root").alias("root"))
     roots = connected_components(_verified(docs, scratch.write(named), words, similarity, scratch), scratch)
     of = marked.select("fp").distinct().join(roots, F.col("fp") == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))

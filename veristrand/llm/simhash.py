@@ -48,7 +48,11 @@ def fingerprint(words: list[bytes]) -> int:
     size = np.fromiter(map(len, words), dtype=np.int64, count=n) + 1
     ends = np.cumsum(size)
     starts = (ends - size)[:-2].tolist()
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[2:] - 1).tolist(), strict=True)], dtype="<u8")
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[2:] - 1).tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit digests; none: zero."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 15):  # bounded memory for very long texts
         part = h[i : i + (1 << 15)]
